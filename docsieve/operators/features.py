@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stem_word
-from ..functions.text import term_runs
+from ..functions.text import sentences, term_runs
 
 
 def term_counts(df: DataFrame, tokens: str = "tokens", key: str = "pmid") -> DataFrame:
@@ -137,3 +137,8 @@ def term_share(df: DataFrame, label: str, positive: str, min_df: int, tokens: st
         .where(F.col("df") >= min_df)
         .withColumn("share", F.col("df_positive") / F.col("df"))
     )
+
+
+def sentences_table(df: DataFrame, col: str = "abstract", key: str = "pmid") -> DataFrame:
+    """(key, sentence_no, sentence)."""
+    return df.select(key, F.posexplode(sentences(col)).alias("sentence_no", "sentence"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.naming import interval_text, percent
@@ -58,9 +58,18 @@ def leaderboard(summaries: DataFrame, by_text: bool = False) -> DataFrame:
 
     ``by_text=True`` orders the rendered F1 text instead.
     """
+    return summaries.orderBy(*_best_first(by_text))
+
+
+def leaderboard_order(by_text: bool = False) -> WindowSpec:
+    """The same order as a window, to number the places of a leaderboard."""
+    return Window.orderBy(*_best_first(by_text))
+
+
+def _best_first(by_text: bool) -> list:
     if by_text:
-        return summaries.orderBy(F.desc("f1_text"), F.asc("experiment"))
-    return summaries.orderBy(F.desc("f1_mid"), F.desc("f1_lo"), F.desc("f1_hi"), F.asc("experiment"))
+        return [F.desc("f1_text"), F.asc("experiment")]
+    return [F.desc("f1_mid"), F.desc("f1_lo"), F.desc("f1_hi"), F.asc("experiment")]
 
 
 def boxplot_table(metrics: DataFrame, lookup: DataFrame | None = None, by: str = "experiment") -> DataFrame:
