@@ -57,8 +57,9 @@ def field_tokens(
     mode: str = "full",
     stem: bool = True,
     key: str = "pmid",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, one token list per field), suffixed but without n-grams.
+    """(key, keep, one token list per field), suffixed but without n-grams.
 
     Title and abstract take the text path, every other field the list path.  All
     of it stays inside the row; stemming is one Arrow step over all text fields.
@@ -67,6 +68,7 @@ def field_tokens(
         T.field_suffix(f)
     cleaned = df.select(
         key,
+        *keep,
         *[
             text_tokens(f, mode, stop_words, lexicon).alias(f) if f in T.TEXT_FIELDS else F.col(f)
             for f in fields
@@ -74,7 +76,7 @@ def field_tokens(
     )
     if stem:
         cleaned = cleaned.select(
-            key, *[stem_tokens(F.col(f)).alias(f) if f in T.TEXT_FIELDS else F.col(f) for f in fields]
+            key, *keep, *[stem_tokens(F.col(f)).alias(f) if f in T.TEXT_FIELDS else F.col(f) for f in fields]
         )
 
     def finish(f: str) -> Column:
@@ -84,7 +86,7 @@ def field_tokens(
             return F.array(T.scalar_field(f, f))
         return T.list_field(f, f)
 
-    return cleaned.select(key, *[finish(f).alias(f) for f in fields])
+    return cleaned.select(key, *keep, *[finish(f).alias(f) for f in fields])
 
 
 def bag(fields: Sequence[str], ngram: int = 1, keep_empty: bool = False) -> Column:
@@ -102,10 +104,15 @@ def bag(fields: Sequence[str], ngram: int = 1, keep_empty: bool = False) -> Colu
 
 
 def combine_fields(
-    df: DataFrame, fields: Sequence[str], ngram: int = 1, keep_empty: bool = False, key: str = "pmid"
+    df: DataFrame,
+    fields: Sequence[str],
+    ngram: int = 1,
+    keep_empty: bool = False,
+    key: str = "pmid",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, tokens) from a table of field token lists."""
-    return df.select(key, bag(fields, ngram, keep_empty).alias("tokens"))
+    """(key, keep, tokens) from a table of field token lists."""
+    return df.select(key, *keep, bag(fields, ngram, keep_empty).alias("tokens"))
 
 
 def bag_and_text(
@@ -125,10 +132,11 @@ def preprocess(
     stem: bool = True,
     keep_empty: bool = False,
     key: str = "pmid",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, tokens): the token bag of a field list."""
-    lists = field_tokens(df, fields, stop_words, lexicon, mode, stem, key)
-    return combine_fields(lists, fields, ngram, keep_empty, key)
+    """(key, keep, tokens): the token bag of a field list."""
+    lists = field_tokens(df, fields, stop_words, lexicon, mode, stem, key, keep)
+    return combine_fields(lists, fields, ngram, keep_empty, key, keep)
 
 
 def run_matrix(
