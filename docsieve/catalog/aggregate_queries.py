@@ -37,7 +37,7 @@ def _sql_round(cols, digits=6):
 )
 def top_relevant_terms(spark, sf_dir):
     """One scan, one semi-reducing join, one combined shuffle, one top-k."""
-    docs = rows.attach_labels(V.tokens(spark, sf_dir), V.labels(spark, sf_dir), strict=False)
+    docs = rows.attach_labels(V.labelled_tokens(spark, sf_dir), V.labels(spark, sf_dir), strict=False)
     shares = features.term_share(docs, "label", V.POSITIVE, min_df=2)
     top = rows.head(shares, [F.desc("share"), F.desc("df"), F.asc("token")], 20)
     return _rounded(top, "share")
@@ -231,7 +231,7 @@ def boxplot(spark, sf_dir):
 )
 def doc_frequency(spark, sf_dir):
     parts = splits.holdout_splits(V.labels(spark, sf_dir), 3)
-    return features.training_frequency(V.tokens(spark, sf_dir), parts, min_df=2)
+    return features.training_frequency(V.labelled_tokens(spark, sf_dir), parts, min_df=2)
 
 
 @query(
@@ -356,7 +356,7 @@ def best_iteration(spark, sf_dir):
             *[F.when(F.array_contains("tokens", w), F.lit(i)) for i, w in enumerate(_STEPS, 1)]
         )
     )
-    docs = V.tokens(spark, sf_dir).select("pmid", first_hit.alias("first_hit"))
+    docs = V.labelled_tokens(spark, sf_dir).select("pmid", first_hit.alias("first_hit"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(len(_STEPS)))).alias("iteration")
     scored = val.join(docs, "pmid").select("round", "label", "first_hit", steps)
     hit = F.coalesce(F.col("first_hit") <= F.col("iteration"), F.lit(False))

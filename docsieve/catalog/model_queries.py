@@ -27,8 +27,7 @@ def bags(spark, sf_dir):
 
 
 def labelled(spark, sf_dir):
-    lab = V.labels(spark, sf_dir)
-    return rows.select_labelled(V.corpus(spark, sf_dir), lab), lab
+    return V.labelled_corpus(spark, sf_dir), V.labels(spark, sf_dir)
 
 
 def labelled_bags(spark, sf_dir):
@@ -233,7 +232,7 @@ def model_roundtrip(spark, sf_dir):
        WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 )
 def incremental_score(spark, sf_dir):
-    """New documents arrive in files, one document a second time; after the
+    """New documents arrive in files, then all of them a second time; after the
     stream has caught up each newest score equals the batch score."""
     model = final_model(spark, sf_dir)
     source, sink, checkpoint = (scratch_path(spark, n) for n in ("arrivals", "scores", "stream"))
@@ -248,8 +247,7 @@ def incremental_score(spark, sf_dir):
         q.awaitTermination()
 
     run()
-    again = docs.where(F.col("pmid") % 10 == 0)
-    again.write.mode("append").parquet(source)
+    docs.write.mode("append").parquet(source)
     run()
     batch = M.score(model, P.preprocess(docs, FIELDS, 1, V.STOP_WORDS)).select("pmid", F.col("probability").alias("b"))
     streamed = latest_scores(spark, sink)

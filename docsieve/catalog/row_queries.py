@@ -126,8 +126,7 @@ def names_of_files(spark, sf_dir):
     f"WITH {V.SQL_CORPUS} SELECT pmid, title, journal FROM corpus WHERE pmid IN (SELECT doc_id FROM labels)",
 )
 def label_subset(spark, sf_dir):
-    docs = V.corpus(spark, sf_dir)
-    return rows.select_labelled(docs, V.labels(spark, sf_dir)).select("pmid", "title", "journal")
+    return V.labelled_corpus(spark, sf_dir).select("pmid", "title", "journal")
 
 
 @query(
@@ -138,8 +137,7 @@ def label_subset(spark, sf_dir):
 )
 def features_labels(spark, sf_dir):
     lab = V.labels(spark, sf_dir)
-    features = rows.select_labelled(V.tokens(spark, sf_dir), lab)
-    sized = features.select("pmid", F.size("tokens").alias("n_tokens"))
+    sized = V.labelled_tokens(spark, sf_dir).select("pmid", F.size("tokens").alias("n_tokens"))
     return rows.attach_labels(sized, lab, strict=True)
 
 

@@ -375,7 +375,7 @@ def l1_tf(spark, sf_dir):
 def idf_l1(spark, sf_dir):
     """Vocabulary and IDF from each round's training part, weights of its validation part."""
     parts = splits.holdout_splits(V.labels(spark, sf_dir), 2)
-    docs = V.tokens(spark, sf_dir)
+    docs = V.labelled_tokens(spark, sf_dir)
     vocabulary = features.training_frequency(docs, parts, min_df=2).join(features.round_sizes(parts), "round")
     val = parts.where(F.col("split") == "val").select("round", "pmid")
     counts = docs.join(val, "pmid").select("round", "pmid", F.inline(T.term_runs("tokens")))

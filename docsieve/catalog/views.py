@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rows import select_labelled
 from ..operators.splits import BASE_SEED, holdout_splits
 from ..session import spread
 
@@ -40,9 +41,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_corpus(spark, sf_dir), "pmid")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.instr("text", "\n")
-    return spread(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "pmid"), "pmid").select(
-        "pmid",
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("pmid"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.when(cut > 0, F.expr("substr(text, instr(text, '\n') + 1)")).otherwise("").alias("abstract"),
         F.col("source").alias("journal"),
@@ -76,10 +81,21 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("pmid"), words("text").alias("tokens"))
 
 
+def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pmid, tokens) of labelled documents: rows are dropped before any text work."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pmid"), "text")
+    kept = select_labelled(docs, labels(spark, sf_dir))
+    return spread(kept, "pmid").select("pmid", words("text").alias("tokens"))
+
+
+def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus view of labelled documents, reduced at the scan."""
+    return spread(select_labelled(_corpus(spark, sf_dir), labels(spark, sf_dir)), "pmid")
+
+
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pmid, experiment, hit) for labelled documents: each text is tokenised once."""
-    docs = corpus(spark, sf_dir).join(labels(spark, sf_dir).select("pmid"), "pmid", "left_semi")
-    listed = docs.select("pmid", words("title").alias("title"), words("abstract").alias("abstract")).withColumn(
+    listed = labelled_corpus(spark, sf_dir).select("pmid", words("title").alias("title"), words("abstract").alias("abstract")).withColumn(
         "text", F.concat("title", "abstract")
     )
     rules = F.array(
