@@ -230,8 +230,7 @@ def boxplot(spark, sf_dir):
         SELECT round, token, count(*) AS df FROM seen GROUP BY round, token HAVING count(*) >= 2""",
 )
 def doc_frequency(spark, sf_dir):
-    parts = splits.holdout_splits(V.labels(spark, sf_dir), 3)
-    return features.training_frequency(V.labelled_tokens(spark, sf_dir), parts, min_df=2)
+    return features.training_frequency(V.split_tokens(spark, sf_dir, 3), min_df=2)
 
 
 @query(
@@ -268,7 +267,7 @@ _FOLD_SQL = f"""{V.SQL_LABELS},
 
 def _fold_scores(spark, sf_dir):
     folds = splits.stratified_folds(V.labels(spark, sf_dir), 5)
-    hits = V.rule_hits(spark, sf_dir)
+    hits = V.rule_hits(spark, sf_dir).select("pmid", F.inline("hits"))
     said = F.when(F.col("hit"), V.POSITIVE).otherwise(V.NEGATIVE)
     scored = folds.join(hits, "pmid").withColumn("prediction", said)
     order = F.array_position(F.array(*map(F.lit, _GRID)), F.col("experiment"))
@@ -350,15 +349,16 @@ _PATIENCE = 3
         SELECT round, arg_max(best, iteration)::INTEGER AS best_iteration FROM walk GROUP BY round""",
 )
 def best_iteration(spark, sf_dir):
-    val = splits.holdout_splits(V.labels(spark, sf_dir), 4).where(F.col("split") == "val")
     first_hit = F.array_min(
         F.array(
             *[F.when(F.array_contains("tokens", w), F.lit(i)) for i, w in enumerate(_STEPS, 1)]
         )
     )
-    docs = V.labelled_tokens(spark, sf_dir).select("pmid", first_hit.alias("first_hit"))
+    docs = V.split_tokens(spark, sf_dir, 4).select(
+        "label", first_hit.alias("first_hit"), splits.rounds_of("val").alias("_rounds")
+    )
     steps = F.explode(F.sequence(F.lit(1), F.lit(len(_STEPS)))).alias("iteration")
-    scored = val.join(docs, "pmid").select("round", "label", "first_hit", steps)
+    scored = docs.select("label", "first_hit", F.explode("_rounds").alias("round")).select("*", steps)
     hit = F.coalesce(F.col("first_hit") <= F.col("iteration"), F.lit(False))
     scored = scored.withColumn("prediction", F.when(hit, V.POSITIVE).otherwise(V.NEGATIVE))
     scores = metrics.binary_metrics(scored, ["round", "iteration"]).select(

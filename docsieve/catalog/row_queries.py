@@ -70,7 +70,7 @@ NAMES_SQL = ", ".join(f"('{k}', '{v}')" for k, v in DISPLAY_NAMES.items())
         FROM hits LEFT JOIN names ON experiment = name GROUP BY ALL""",
 )
 def rename(spark, sf_dir):
-    hits = V.rule_hits(spark, sf_dir)
+    hits = V.rule_hits(spark, sf_dir).select("pmid", F.inline("hits"))
     counts = hits.groupBy("experiment").agg(F.count("*").alias("n_docs"), F.count_if("hit").alias("n_hits"))
     return rows.rename_values(counts, "experiment", display_names(counts))
 

@@ -374,11 +374,10 @@ def l1_tf(spark, sf_dir):
 )
 def idf_l1(spark, sf_dir):
     """Vocabulary and IDF from each round's training part, weights of its validation part."""
-    parts = splits.holdout_splits(V.labels(spark, sf_dir), 2)
-    docs = V.labelled_tokens(spark, sf_dir)
-    vocabulary = features.training_frequency(docs, parts, min_df=2).join(features.round_sizes(parts), "round")
-    val = parts.where(F.col("split") == "val").select("round", "pmid")
-    counts = docs.join(val, "pmid").select("round", "pmid", F.inline(T.term_runs("tokens")))
+    docs = V.split_tokens(spark, sf_dir, 2)
+    vocabulary = features.training_frequency(docs, min_df=2).join(features.round_sizes(docs), "round")
+    held = features.term_rows(docs, ["pmid", splits.rounds_of("val").alias("_rounds")])
+    counts = held.select(F.explode("_rounds").alias("round"), "pmid", "token", "n")
     return features.l1_weights(counts, vocabulary, ["round"], use_idf=True).withColumn("weight", F.round("weight", 6))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rows import select_labelled
-from ..operators.splits import BASE_SEED, holdout_splits
+from ..operators.splits import BASE_SEED, assign_splits, holdout_cuts, rounds_of
 from ..session import spread
 
 POSITIVE = "Relevant"
@@ -41,12 +41,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_corpus(spark, sf_dir), "pmid")
+    scan = table(spark, sf_dir, "documents")
+    return spread(as_corpus(scan), "pmid", scan)
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_corpus(docs: DataFrame) -> DataFrame:
+    """Title = first line, abstract = the rest."""
     cut = F.instr("text", "\n")
-    return table(spark, sf_dir, "documents").select(
+    return docs.select(
         F.col("doc_id").alias("pmid"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.when(cut > 0, F.expr("substr(text, instr(text, '\n') + 1)")).otherwise("").alias("abstract"),
@@ -83,31 +85,41 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pmid, tokens) of labelled documents: rows are dropped before any text work."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pmid"), "text")
-    kept = select_labelled(docs, labels(spark, sf_dir))
-    return spread(kept, "pmid").select("pmid", words("text").alias("tokens"))
+    scan = table(spark, sf_dir, "documents")
+    kept = select_labelled(scan.select(F.col("doc_id").alias("pmid"), "text"), labels(spark, sf_dir))
+    return spread(kept, "pmid", scan).select("pmid", words("text").alias("tokens"))
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus view of labelled documents, reduced at the scan."""
-    return spread(select_labelled(_corpus(spark, sf_dir), labels(spark, sf_dir)), "pmid")
+    scan = table(spark, sf_dir, "documents")
+    return spread(select_labelled(as_corpus(scan), labels(spark, sf_dir)), "pmid", scan)
+
+
+def split_tokens(spark: SparkSession, sf_dir: str, rounds: int, size: float = 0.2) -> DataFrame:
+    """(label, pmid, tokens, splits) of labelled documents."""
+    lab = labels(spark, sf_dir)
+    return assign_splits(labelled_tokens(spark, sf_dir).join(lab, "pmid"), holdout_cuts(lab, rounds, size))
 
 
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pmid, experiment, hit) for labelled documents: each text is tokenised once."""
-    listed = labelled_corpus(spark, sf_dir).select("pmid", words("title").alias("title"), words("abstract").alias("abstract")).withColumn(
-        "text", F.concat("title", "abstract")
+    """(pmid, hits) of labelled documents: each text is tokenised once, all
+    rules are read off the same lists."""
+    listed = labelled_corpus(spark, sf_dir).select(
+        "pmid", words("title").alias("title"), words("abstract").alias("abstract")
     )
     rules = F.array(
         *[
             F.struct(
                 F.lit(name).alias("experiment"),
-                F.arrays_overlap(F.col(field), F.array(*map(F.lit, lex))).alias("hit"),
+                F.arrays_overlap(
+                    F.concat("title", "abstract") if field == "text" else F.col(field), F.array(*map(F.lit, lex))
+                ).alias("hit"),
             )
             for name, (field, lex) in RULES.items()
         ]
     )
-    return listed.select("pmid", F.inline(rules))
+    return listed.select("pmid", rules.alias("hits"))
 
 
 def predictions(
@@ -115,11 +127,12 @@ def predictions(
 ) -> DataFrame:
     """(experiment, round, pmid, label, prediction) of the test parts."""
     lab = labels(spark, sf_dir)
-    test = holdout_splits(lab, rounds, size).where(F.col("split") == "test").drop("split")
-    hits = rule_hits(spark, sf_dir)
+    rows = assign_splits(rule_hits(spark, sf_dir).join(lab, "pmid"), holdout_cuts(lab, rounds, size))
+    test = rows.select("pmid", "label", "hits", rounds_of("test").alias("_rounds"))
     if experiments:
-        hits = hits.where(F.col("experiment").isin(*experiments))
-    return test.join(hits, "pmid").select(
+        test = test.withColumn("hits", F.filter("hits", lambda h: h["experiment"].isin(*experiments)))
+    each = test.select("pmid", "label", "hits", F.explode("_rounds").alias("round"))
+    return each.select("round", "pmid", "label", F.inline("hits")).select(
         "experiment", "round", "pmid", "label",
         F.when(F.col("hit"), POSITIVE).otherwise(NEGATIVE).alias("prediction"),
     )

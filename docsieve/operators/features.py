@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stem_word
 from ..functions.text import sentences, term_runs
+from .rows import elements
+from .splits import rounds_of
 
 
 def term_counts(df: DataFrame, tokens: str = "tokens", key: str = "pmid") -> DataFrame:
     """(key, token, n).  Counted inside the row, so nothing is shuffled."""
-    return df.select(key, F.inline(term_runs(tokens)))
+    return term_rows(df, [key], tokens)
+
+
+def term_rows(df: DataFrame, keep: Sequence[str | Column], tokens: str = "tokens") -> DataFrame:
+    """(keep, token, n): one row per distinct token of a list."""
+    # Outer form for the reason given at ``elements``.
+    return df.select(*keep, F.inline_outer(term_runs(tokens))).where(F.col("token").isNotNull())
 
 
 def document_frequency(
@@ -26,39 +34,35 @@ def document_frequency(
     partial row per task.
     """
     return (
-        df.select(*by, F.explode(F.array_distinct(tokens)).alias("token"))
+        elements(df, by, F.array_distinct(tokens))
         .groupBy(*by, "token")
         .agg(F.count("*").alias("df"))
         .where(F.col("df") >= min_df)
     )
 
 
-def training_frequency(
-    docs: DataFrame, splits: DataFrame, min_df: int = 2, tokens: str = "tokens", key: str = "pmid"
-) -> DataFrame:
+def training_frequency(docs: DataFrame, min_df: int = 2, tokens: str = "tokens") -> DataFrame:
     """(round, token, df) over the training part of every round, in one plan.
 
-    A document meets the list of its training rounds once, before its tokens
-    are expanded.
+    ``docs`` carries the ``splits`` column of ``assign_splits``, so no join is
+    needed to know the training rounds of a document.
     """
-    in_train = (
-        splits.where(F.col("split") == "train").groupBy(key).agg(F.collect_list("round").alias("_rounds"))
+    per_round = docs.select(F.array_distinct(tokens).alias(tokens), rounds_of("train").alias("_rounds")).select(
+        F.explode_outer("_rounds").alias("round"), tokens
     )
-    expanded = docs.select(key, F.array_distinct(tokens).alias(tokens)).join(in_train, key)
-    per_round = expanded.select(F.explode("_rounds").alias("round"), tokens)
-    return document_frequency(per_round, ["round"], min_df, tokens)
+    return document_frequency(per_round.where(F.col("round").isNotNull()), ["round"], min_df, tokens)
 
 
-def round_sizes(splits: DataFrame, split: str = "train") -> DataFrame:
-    """(round, n_docs) of one part."""
-    return splits.where(F.col("split") == split).groupBy("round").agg(F.count("*").alias("n_docs"))
+def round_sizes(rows: DataFrame, split: str = "train") -> DataFrame:
+    """(round, n_docs) of one part, from rows with a ``splits`` column."""
+    return elements(rows, [], rounds_of(split), "round").groupBy("round").agg(F.count("*").alias("n_docs"))
 
 
 def l1_frequency(df: DataFrame, tokens: str = "tokens", key: str = "pmid") -> DataFrame:
     """(key, token, weight) = n / list length: L1 weights over the whole
     vocabulary, without a shuffle."""
     length = F.size(tokens)
-    return df.select(key, length.alias("_len"), F.inline(term_runs(tokens))).select(
+    return term_rows(df, [key, length.alias("_len")], tokens).select(
         key, "token", (F.col("n") / F.col("_len")).alias("weight")
     )
 
@@ -107,7 +111,7 @@ def feature_count(vocabulary: DataFrame, vectors: DataFrame | None = None, vec:
 
 def stem_vocabulary(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(token, stem) of the distinct vocabulary: each token is stemmed once."""
-    vocabulary = docs.select(F.explode(F.array_distinct(tokens)).alias("token")).distinct()
+    vocabulary = elements(docs, [], F.array_distinct(tokens)).distinct()
     return vocabulary.select("token", stem_word("token").alias("stem"))
 
 
@@ -117,7 +121,7 @@ def stem_rollup(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     Counts are first added up per token, so the stem step and the roll-up see
     the vocabulary and not the corpus.
     """
-    per_token = docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    per_token = elements(docs, [], tokens).groupBy("token").agg(F.count("*").alias("n"))
     return (
         per_token.select(stem_word("token").alias("stem"), "n")
         .groupBy("stem")
@@ -128,10 +132,7 @@ def stem_rollup(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
 def term_share(df: DataFrame, label: str, positive: str, min_df: int, tokens: str = "tokens") -> DataFrame:
     """(token, df, df_positive, share): how often a token's documents are positive."""
     return (
-        df.select(
-            (F.col(label) == positive).cast("bigint").alias("_pos"),
-            F.explode(F.array_distinct(tokens)).alias("token"),
-        )
+        elements(df, [(F.col(label) == positive).cast("bigint").alias("_pos")], F.array_distinct(tokens))
         .groupBy("token")
         .agg(F.count("*").alias("df"), F.sum("_pos").alias("df_positive"))
         .where(F.col("df") >= min_df)

@@ -6,15 +6,25 @@ is under its threshold (AQE re-checks at run time) and shuffles beyond it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import placeholder_if_empty
+from ..functions.text import MASK, placeholder_if_empty
 from .checks import require_n_values, require_same_keys
 
 
+def elements(df: DataFrame, keep: Sequence[str], items: Column | str, name: str = "token") -> DataFrame:
+    """(keep, name): one row per element of a list without NULLs.
+
+    The outer form and a filter stand for a plain explode, because for that one
+    the optimiser adds a size check below, and an expensive list (a tokenised
+    text) would be built twice.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def normalise(
     df: DataFrame, defaults: Mapping[str, str | int | float | bool], placeholder: Mapping[str, str] | None = None
 ) -> DataFrame:
@@ -90,18 +100,34 @@ def latest_by_key(df: DataFrame, order_col: str, key: str = "pmid") -> DataFrame
     )
 
 
+LITERAL_LEXICON = 5000  # words; beyond this a lexicon is joined
+
+
 def mask_tokens(
-    docs: DataFrame, lexicon: DataFrame, mask: str, tokens: str = "tokens", key: str = "pmid"
+    docs: DataFrame,
+    lexicon: DataFrame,
+    mask: str = MASK,
+    tokens: str = "tokens",
+    key: str = "pmid",
+    literal_limit: int = LITERAL_LEXICON,
 ) -> DataFrame:
-    """Mask the tokens found in a lexicon table of any size.
+    """Mask the tokens found in a lexicon table (column ``token``).
 
-    Only the distinct tokens of a document meet the lexicon; the hits (few per
-    document) come back by key and the list itself is rewritten inside its row,
-    so token order never passes a shuffle.
+    A lexicon of at most ``literal_limit`` words becomes a literal hash set and
+    the lists are rewritten where they lie.  A longer one is joined: only the
+    distinct tokens of a document meet it, the hits come back by key, and the
+    list is still rewritten inside its row, so token order never passes a shuffle.
     """
     words = lexicon.select(F.lower("token").alias("_word")).distinct()
+    known = words.limit(literal_limit + 1).collect() if literal_limit else []
+    if literal_limit and len(known) <= literal_limit:
+        wanted = sorted(r["_word"] for r in known)
+        if not wanted:
+            return docs
+        masked = F.transform(tokens, lambda t: F.when(F.lower(t).isin(wanted), F.lit(mask)).otherwise(t))
+        return docs.withColumn(tokens, masked)
     hits = (
-        docs.select(key, F.explode(F.array_distinct(F.transform(tokens, F.lower))).alias("_word"))
+        elements(docs, [key], F.array_distinct(F.transform(tokens, F.lower)), "_word")
         .join(words, "_word", "left_semi")
         .groupBy(key)
         .agg(F.collect_set("_word").alias("_hits"))

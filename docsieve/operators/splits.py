@@ -15,10 +15,11 @@ BASE_SEED = 10042006  # fixed value: round i uses BASE_SEED + i
 BUCKET_DIGITS = 3  # 4,096 hash buckets per class
 
 
-def hash_order(seed: Column | int, key: str = "pmid") -> Column:
+def hash_order(seed: Column | int, key: Column | str = "pmid") -> Column:
     """Reproducible pseudo-random order of the keys."""
     s = F.lit(seed) if isinstance(seed, int) else seed
-    return F.md5(F.concat_ws(":", s.cast("string"), F.col(key).cast("string")))
+    k = F.col(key) if isinstance(key, str) else key
+    return F.md5(F.concat_ws(":", s.cast("string"), k.cast("string")))
 
 
 def round_expand(labels: DataFrame, rounds: int) -> DataFrame:
@@ -53,7 +54,7 @@ def class_quota(labels: DataFrame, size: float, label: str = "label") -> DataFra
     )
 
 
-def holdout_splits(
+def holdout_cuts(
     labels: DataFrame,
     rounds: int,
     size: float = 0.2,
@@ -61,14 +62,15 @@ def holdout_splits(
     key: str = "pmid",
     label: str = "label",
 ) -> DataFrame:
-    """(round, key, label, split) with exact stratified val and test parts.
+    """(label, cuts): per class, the hash positions that bound val and test in
+    every round, as array<struct<round, val, test>> in round order.
 
-    All rounds are one plan.  The rounds x rows expansion is never shuffled: it
-    feeds a map-side histogram, is filtered to the cut buckets, and is finally
-    placed against at most ``rounds x classes`` cuts, the only broadcast.
+    The rounds x rows expansion is never shuffled: it feeds a map-side histogram
+    and is then filtered to the buckets a cut falls into; only their rows are
+    sorted.  The result has one row per class.
     """
     rows = round_expand(labels.select(key, label), rounds).withColumn(
-        "_ord", F.struct(hash_order(F.col("round") + F.lit(seed), key).alias("h"), F.col(key).alias("k"))
+        "_ord", _position(F.col("round") + F.lit(seed), F.col(key))
     )
     bucket = F.substring(F.col("_ord.h"), 1, BUCKET_DIGITS)
     group = ["round", label]
@@ -82,29 +84,77 @@ def holdout_splits(
     )
     cut_buckets = (
         histogram.withColumn("_upto", F.sum("_n").over(running))
-        .join(F.broadcast(quota), label)
+        .join(F.broadcast(quota), label)  # one row per class
         .select(*group, "_bucket", "_n", "_upto", F.inline(targets))
         .where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n")))
         .select(*group, "_bucket", "cut", (F.col("rank") - (F.col("_upto") - F.col("_n"))).alias("_need"))
     )
     in_bucket = Window.partitionBy(*group, "cut").orderBy("_ord")
-    cuts = (
+    found = (
         rows.withColumn("_bucket", bucket)
-        .join(F.broadcast(cut_buckets), [*group, "_bucket"])
+        .join(F.broadcast(cut_buckets), [*group, "_bucket"])  # rounds x classes x 2 rows
         .withColumn("_rank", F.row_number().over(in_bucket))
         .where(F.col("_rank") == F.col("_need"))
+        .select(*group, "cut", "_ord")
+    )
+    # A class with no validation row (quota 0) has no cut: all its rows train.
+    every_round = quota.select(label, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    listed = (
+        every_round.join(found, group, "left")
         .groupBy(*group)
         .agg(
-            F.max(F.when(F.col("cut") == "val", F.col("_ord"))).alias("_val"),
-            F.max(F.when(F.col("cut") == "test", F.col("_ord"))).alias("_test"),
+            F.max(F.when(F.col("cut") == "val", F.col("_ord"))).alias("val"),
+            F.max(F.when(F.col("cut") == "test", F.col("_ord"))).alias("test"),
         )
     )
-    split = (
-        F.when(F.col("_ord") <= F.col("_val"), "val")
-        .when(F.col("_ord") <= F.col("_test"), "test")
-        .otherwise("train")
+    return listed.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("round", "val", "test"))).alias("cuts"))
+
+
+def assign_splits(
+    rows: DataFrame, cuts: DataFrame, seed: int = BASE_SEED, key: str = "pmid", label: str = "label"
+) -> DataFrame:
+    """``rows`` with ``splits``: array<struct<round, split>>, one entry per round
+    in round order.
+
+    A row only compares its own hash with its class's cuts; the broadcast table
+    has one row per class.
+    """
+
+    def place(c: Column) -> Column:
+        ours = _position(c["round"] + F.lit(seed), F.col(key))
+        split = F.when(ours <= c["val"], "val").when(ours <= c["test"], "test").otherwise("train")
+        return F.struct(c["round"].alias("round"), split.alias("split"))
+
+    return (
+        rows.join(F.broadcast(cuts), label)
+        .withColumn("splits", F.transform("cuts", place))
+        .drop("cuts")
     )
-    return rows.join(F.broadcast(cuts), group, "left").select("round", key, label, split.alias("split"))
+
+
+def rounds_of(split: str, splits: str = "splits") -> Column:
+    """Rounds in which a row belongs to one part."""
+    return F.transform(F.filter(splits, lambda s: s["split"] == split), lambda s: s["round"])
+
+
+def holdout_splits(
+    labels: DataFrame,
+    rounds: int,
+    size: float = 0.2,
+    seed: int = BASE_SEED,
+    key: str = "pmid",
+    label: str = "label",
+) -> DataFrame:
+    """(round, key, label, split) with exact stratified val and test parts of
+    all rounds, as one plan."""
+    cuts = holdout_cuts(labels, rounds, size, seed, key, label)
+    assigned = assign_splits(labels.select(key, label), cuts, seed, key, label)
+    return assigned.select(key, label, F.inline("splits")).select("round", key, label, "split")
+
+
+def _position(seed: Column, key: Column) -> Column:
+    """Place of a key in the order of one round."""
+    return F.struct(hash_order(seed, key).alias("h"), key.alias("k"))
 
 
 def stratified_folds(

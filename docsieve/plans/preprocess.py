@@ -95,12 +95,14 @@ def bag(fields: Sequence[str], ngram: int = 1, keep_empty: bool = False) -> Colu
     ``keep_empty`` gives an empty field its empty token, as a joined string
     would; by default empty tokens are dropped.
     """
-    parts = []
-    for f in fields:
-        part = T.ngrams(f, ngram) if f in T.TEXT_FIELDS else F.col(f)
-        parts.append(F.when(F.size(part) == 0, F.array(F.lit(""))).otherwise(part) if keep_empty else part)
-    whole = F.concat(*parts)
-    return whole if keep_empty else F.filter(whole, lambda t: t != "")
+
+    def part(f: str) -> Column:
+        if f not in T.TEXT_FIELDS:  # text tokens are never empty
+            return F.col(f) if keep_empty else F.filter(f, lambda t: t != "")
+        tokens = T.ngrams(f, ngram)
+        return F.when(F.size(f) == 0, F.array(F.lit(""))).otherwise(tokens) if keep_empty else tokens
+
+    return F.concat(*[part(f) for f in fields])
 
 
 def combine_fields(

@@ -39,18 +39,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    A written table survives its executors, is read column by column, and has a
+    known size, so later joins are planned on facts.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, scan: DataFrame | None = None) -> DataFrame:
     """Hash rows by ``key`` when a scan has fewer splits than the cluster has
     cores (one small file); a large scan keeps its own splits and is not shuffled.
+
+    ``scan`` is the table ``df`` comes from, where ``df`` already filters it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if (df if scan is None else scan).rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
 
