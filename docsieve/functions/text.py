@@ -109,14 +109,16 @@ def clean_numbers(tokens: Column | str) -> Column:
         )
 
     def one(t: Column) -> Column:
-        stripped = F.translate(t, ASCII_PUNCTUATION, "")
+        whole = F.translate(t, "\n", "")
+        stripped = F.translate(t, "\n" + ASCII_PUNCTUATION, "")
         return (
-            F.when(~t.rlike(r"\d"), F.array(t))
+            F.when(~t.rlike(r"[\d\n]"), F.array(t))  # most tokens stop here
+            .when(~t.rlike(r"\d"), F.array(whole))
             .when(stripped.rlike(r"^\d"), runs(stripped))
             .otherwise(F.array(stripped))
         )
 
-    return F.flatten(F.transform(_col(tokens), lambda t: one(F.translate(t, "\n", ""))))
+    return F.flatten(F.transform(_col(tokens), one))
 
 
 def suffix(tokens: Column | str, field: str) -> Column:

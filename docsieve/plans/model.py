@@ -15,6 +15,7 @@ from pyspark.ml.feature import (
     IndexToString,
     Normalizer,
     VectorAssembler,
+    VectorSizeHint,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -89,8 +90,21 @@ def vocabulary_table(train: DataFrame, min_df: int, max_terms: int | None = None
     return terms if max_terms is None else terms.limit(max_terms)
 
 
-def encoder(vocabulary: Sequence[str], idf_values: Sequence[float] | None, params: TreeParams) -> list[Transformer]:
-    """Fitted stages from ``tokens`` / ``embedding_vector`` to ``features``."""
+def vector_width(df: DataFrame, embedding: str = "embedding") -> int:
+    """The one width of a vector column; mixed widths are refused."""
+    row = df.agg(F.min(F.size(embedding)).alias("lo"), F.max(F.size(embedding)).alias("hi")).first()
+    if not row["hi"] or row["lo"] != row["hi"]:
+        raise ValueError(f"vectors must share one width, found {row['lo']} to {row['hi']}")
+    return row["hi"]
+
+
+def encoder(
+    vocabulary: Sequence[str], idf_values: Sequence[float] | None, params: TreeParams, width: int | None = None
+) -> list[Transformer]:
+    """Fitted stages from ``tokens`` / ``embedding_vector`` to ``features``.
+
+    ``width`` is the vector width; stating it lets streams be assembled, too.
+    """
     stages: list[Transformer] = []
     inputs = []
     if params.use_bow:
@@ -108,6 +122,7 @@ def encoder(vocabulary: Sequence[str], idf_values: Sequence[float] | None, param
         stages.append(Normalizer(p=1.0, inputCol=source, outputCol="term_weights"))
         inputs.append("term_weights")
     if params.use_embedding:
+        stages.append(VectorSizeHint(inputCol="embedding_vector", size=width))
         inputs.append("embedding_vector")
     if not inputs:
         raise ValueError("use terms, vectors or both")
@@ -120,13 +135,14 @@ def fit_encoder(train: DataFrame, params: TreeParams) -> list[Transformer]:
     The vocabulary lives on the driver, as in any count-vector model; it is as
     long as the terms of the labelled training part.
     """
+    width = vector_width(train) if params.use_embedding else None
     if not params.use_bow:
-        return encoder([], None, params)
+        return encoder([], None, params, width)
     terms = vocabulary_table(train, params.min_df, params.max_terms)
     if not params.use_idf:
-        return encoder([r["token"] for r in terms.collect()], None, params)
+        return encoder([r["token"] for r in terms.collect()], None, params, width)
     pairs = terms.withColumn("n_docs", F.lit(train.count())).select("token", idf().alias("idf")).collect()
-    return encoder([r["token"] for r in pairs], [r["idf"] for r in pairs], params)
+    return encoder([r["token"] for r in pairs], [r["idf"] for r in pairs], params, width)
 
 
 def assemble(df: DataFrame, params: TreeParams) -> DataFrame:

@@ -39,14 +39,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     A written table survives its executors, is read column by column, and has a
     known size, so later joins are planned on facts.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    if partition_by:
+        # One file per value: every reader of one value opens one folder.
+        df.repartition(partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
