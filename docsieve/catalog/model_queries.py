@@ -4,6 +4,9 @@ states it."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -99,7 +102,7 @@ def _encoded(spark, sf_dir):
     parts = splits.holdout_splits(lab, 1).drop("label", "round")
     data = materialise(M.with_target(rows.attach_labels(docs, lab)).join(parts, "pmid"))
     stages = M.fit_encoder(data.where(F.col("split") == "train"), SMALL)
-    encoded = M.PipelineModel(stages).transform(data).select("pmid", "label", "target", "split", "features")
+    encoded = PipelineModel(stages).transform(data).select("pmid", "label", "target", "split", "features")
     return materialise(encoded)
 
 
@@ -109,7 +112,7 @@ def gbt_fit(spark, sf_dir):
     docs, lab = labelled_bags(spark, sf_dir)
     data = materialise(M.with_target(rows.attach_labels(docs, lab)))
     stages = M.fit_encoder(data, SMALL)
-    model = M.fit_trees(M.PipelineModel(stages).transform(data).select("features", "target"), SMALL)
+    model = M.fit_trees(PipelineModel(stages).transform(data).select("features", "target"), SMALL)
     weights = model.featureImportances
     found = [(stages[0].vocabulary[int(i)], float(v)) for i, v in zip(weights.indices, weights.values, strict=True)]
     return spark.createDataFrame(found, "token string, importance double")
@@ -160,14 +163,14 @@ def holdout_metrics(spark, sf_dir):
     docs, lab = labelled_bags(spark, sf_dir)
     both = materialise(docs.join(vectors, "pmid"))
     known = lab.join(both.select("pmid"), "pmid", "left_semi")
-    params = M.replace(SMALL, use_embedding=True, use_idf=True)
+    params = replace(SMALL, use_embedding=True, use_idf=True)
     return X.repeated_holdout(both, known, rounds=1, params=params).metrics
 
 
 @query("m9_grid_search")
 def grid(spark, sf_dir):
     docs, lab = labelled_bags(spark, sf_dir)
-    params = M.replace(SMALL, trees=3, max_depth=2, max_terms=500)
+    params = replace(SMALL, trees=3, max_depth=2, max_terms=500)
     return X.grid_search(docs, lab, {"min_df": [2, 8]}, folds=3, params=params, parallelism=2).scores
 
 

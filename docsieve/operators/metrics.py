@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,27 +131,24 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
     """(bin, lo, hi, n) of equal-width bins over [min, max], empty bins included.
 
     Without ``bins`` the Sturges rule sets their number.  Fails on a constant
-    column.
+    column.  One pass finds the span (one row), the next counts into it.
     """
-    span = df.agg(F.min(col).alias("_min"), F.max(col).alias("_max"), F.count(col).alias("_n"))
-    k = F.lit(bins) if bins else (F.ceil(F.log2("_n")) + 1).cast("int")
-    flat = F.raise_error("histogram of a constant column").cast("int")
-    span = span.select(
-        F.col("_min").cast("double"),
-        F.col("_max").cast("double"),
-        F.when(F.col("_min") == F.col("_max"), flat).otherwise(k.cast("int")).alias("_k"),
-    ).withColumn("_w", (F.col("_max") - F.col("_min")) / F.col("_k"))
-    one_row = F.broadcast(span)
-    index = F.least(F.floor((F.col(col) - F.col("_min")) / F.col("_w")).cast("int"), F.col("_k") - 1)
-    counts = (
-        df.select(col).where(F.col(col).isNotNull()).join(one_row).groupBy(index.alias("bin")).agg(F.count("*").alias("n"))
-    )
-    frame = span.select("_min", "_w", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("bin"))
-    return frame.join(counts, "bin", "left").select(
-        F.col("bin").cast("bigint").alias("bin"),
-        (F.col("_min") + F.col("bin") * F.col("_w")).alias("lo"),
-        (F.col("_min") + (F.col("bin") + 1) * F.col("_w")).alias("hi"),
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+    span = df.agg(
+        F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"), F.count(col).alias("n")
+    ).first()
+    if span["lo"] == span["hi"]:
+        raise ValueError("histogram of a constant column")
+    k = bins or math.ceil(math.log2(span["n"])) + 1
+    low, width = F.lit(span["lo"]), F.lit((span["hi"] - span["lo"]) / k)
+    index = F.least(F.floor((F.col(col) - low) / width), F.lit(k - 1).cast("bigint")).alias("bin")
+    counts = df.where(F.col(col).isNotNull()).groupBy(index).agg(F.count("*").alias("n"))
+    # The frame adds a zero per bin, so empty bins need no join.
+    frame = df.sparkSession.range(k).select(F.col("id").alias("bin"), F.lit(0).cast("bigint").alias("n"))
+    return (
+        counts.unionByName(frame)
+        .groupBy("bin")
+        .agg(F.sum("n").alias("n"))
+        .select("bin", (low + F.col("bin") * width).alias("lo"), (low + (F.col("bin") + 1) * width).alias("hi"), "n")
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -285,7 +285,3 @@ def evaluate(model: PipelineModel, docs: DataFrame, labels: DataFrame) -> tuple[
     )
     return results.orderBy("result", "pmid"), binary_metrics(scored, [], POSITIVE)
 
-
-def final_params(best: TreeParams) -> TreeParams:
-    """The chosen settings with the fixed number of trees and no early stop."""
-    return replace(best, trees=FINAL_TREES)

@@ -160,11 +160,3 @@ def run_matrix(
 def run_fields(runs: Runs) -> list[str]:
     """Fields used by any run, in first-use order."""
     return list(dict.fromkeys(f for fields, _ in runs.values() for f in fields))
-
-
-def write_run_features(df: DataFrame, runs: Runs, path: str, **options) -> None:
-    """Feature tables of all runs, one folder per run."""
-    keep_empty = options.pop("keep_empty", False)
-    lists = field_tokens(df, run_fields(runs), **options)
-    out = run_matrix(lists, runs, keep_empty).withColumn("bow", F.array_join("tokens", T.SEPARATOR))
-    out.select("run", "pmid", "bow").write.mode("overwrite").partitionBy("run").parquet(path)
