@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import interval_text, leading_number
 from ..operators import features, metrics, pooling, report, rows, splits
+from ..operators.expand import elements, records
 from . import views as V
 from .registry import query
 
@@ -267,7 +268,7 @@ _FOLD_SQL = f"""{V.SQL_LABELS},
 
 def _fold_scores(spark, sf_dir):
     folds = splits.stratified_folds(V.labels(spark, sf_dir), 5)
-    hits = V.rule_hits(spark, sf_dir).select("pmid", F.inline("hits"))
+    hits = records(V.rule_hits(spark, sf_dir), ["pmid"], "hits", "experiment")
     said = F.when(F.col("hit"), V.POSITIVE).otherwise(V.NEGATIVE)
     scored = folds.join(hits, "pmid").withColumn("prediction", said)
     order = F.array_position(F.array(*map(F.lit, _GRID)), F.col("experiment"))
@@ -358,7 +359,7 @@ def best_iteration(spark, sf_dir):
         "label", first_hit.alias("first_hit"), splits.rounds_of("val").alias("_rounds")
     )
     steps = F.explode(F.sequence(F.lit(1), F.lit(len(_STEPS)))).alias("iteration")
-    scored = docs.select("label", "first_hit", F.explode("_rounds").alias("round")).select("*", steps)
+    scored = elements(docs, ["label", "first_hit"], "_rounds", "round").select("*", steps)
     hit = F.coalesce(F.col("first_hit") <= F.col("iteration"), F.lit(False))
     scored = scored.withColumn("prediction", F.when(hit, V.POSITIVE).otherwise(V.NEGATIVE))
     scores = metrics.binary_metrics(scored, ["round", "iteration"]).select(

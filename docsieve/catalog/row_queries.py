@@ -8,6 +8,7 @@ from ..functions.arrays import concat_vectors
 from ..functions.naming import experiment_name
 from ..functions.text import MASK, PLACEHOLDER
 from ..operators import checks, metrics, rows, splits
+from ..operators.expand import records
 from ..operators.report import DISPLAY_NAMES, display_names
 from ..sources.readers import cast_key
 from . import views as V
@@ -70,7 +71,7 @@ NAMES_SQL = ", ".join(f"('{k}', '{v}')" for k, v in DISPLAY_NAMES.items())
         FROM hits LEFT JOIN names ON experiment = name GROUP BY ALL""",
 )
 def rename(spark, sf_dir):
-    hits = V.rule_hits(spark, sf_dir).select("pmid", F.inline("hits"))
+    hits = records(V.rule_hits(spark, sf_dir), ["pmid"], "hits", "experiment")
     counts = hits.groupBy("experiment").agg(F.count("*").alias("n_docs"), F.count_if("hit").alias("n_hits"))
     return rows.rename_values(counts, "experiment", display_names(counts))
 

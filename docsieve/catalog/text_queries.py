@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrays import concat_vectors, slice_vector
 from ..operators import features, pooling, splits
+from ..operators.expand import elements
 from ..plans import preprocess as P
 from . import views as V
 from .porter_sql import stem_ctes
@@ -377,7 +378,7 @@ def idf_l1(spark, sf_dir):
     docs = V.split_tokens(spark, sf_dir, 2)
     vocabulary = features.training_frequency(docs, min_df=2).join(features.round_sizes(docs), "round")
     held = features.term_rows(docs, ["pmid", splits.rounds_of("val").alias("_rounds")])
-    counts = held.select(F.explode("_rounds").alias("round"), "pmid", "token", "n")
+    counts = elements(held, ["pmid", "token", "n"], "_rounds", "round")
     return features.l1_weights(counts, vocabulary, ["round"], use_idf=True).withColumn("weight", F.round("weight", 6))
 
 

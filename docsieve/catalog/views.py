@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.expand import elements, records
 from ..operators.rows import select_labelled
 from ..operators.splits import BASE_SEED, assign_splits, holdout_cuts, rounds_of
 from ..session import spread
@@ -131,8 +132,8 @@ def predictions(
     test = rows.select("pmid", "label", "hits", rounds_of("test").alias("_rounds"))
     if experiments:
         test = test.withColumn("hits", F.filter("hits", lambda h: h["experiment"].isin(*experiments)))
-    each = test.select("pmid", "label", "hits", F.explode("_rounds").alias("round"))
-    return each.select("round", "pmid", "label", F.inline("hits")).select(
+    each = elements(test, ["pmid", "label", "hits"], "_rounds", "round")
+    return records(each, ["round", "pmid", "label"], "hits", "experiment").select(
         "experiment", "round", "pmid", "label",
         F.when(F.col("hit"), POSITIVE).otherwise(NEGATIVE).alias("prediction"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stemming import stem_word
 from ..functions.text import sentences, term_runs
-from .rows import elements
+from .expand import elements, numbered, records
 from .splits import rounds_of
 
 
@@ -20,8 +20,7 @@ def term_counts(df: DataFrame, tokens: str = "tokens", key: str = "pmid") -> Dat
 
 def term_rows(df: DataFrame, keep: Sequence[str | Column], tokens: str = "tokens") -> DataFrame:
     """(keep, token, n): one row per distinct token of a list."""
-    # Outer form for the reason given at ``elements``.
-    return df.select(*keep, F.inline_outer(term_runs(tokens))).where(F.col("token").isNotNull())
+    return records(df, keep, term_runs(tokens), "token")
 
 
 def document_frequency(
@@ -47,10 +46,8 @@ def training_frequency(docs: DataFrame, min_df: int = 2, tokens: str = "tokens")
     ``docs`` carries the ``splits`` column of ``assign_splits``, so no join is
     needed to know the training rounds of a document.
     """
-    per_round = docs.select(F.array_distinct(tokens).alias(tokens), rounds_of("train").alias("_rounds")).select(
-        F.explode_outer("_rounds").alias("round"), tokens
-    )
-    return document_frequency(per_round.where(F.col("round").isNotNull()), ["round"], min_df, tokens)
+    distinct = docs.select(F.array_distinct(tokens).alias(tokens), rounds_of("train").alias("_rounds"))
+    return document_frequency(elements(distinct, [tokens], "_rounds", "round"), ["round"], min_df, tokens)
 
 
 def round_sizes(rows: DataFrame, split: str = "train") -> DataFrame:
@@ -142,4 +139,4 @@ def term_share(df: DataFrame, label: str, positive: str, min_df: int, tokens: st
 
 def sentences_table(df: DataFrame, col: str = "abstract", key: str = "pmid") -> DataFrame:
     """(key, sentence_no, sentence)."""
-    return df.select(key, F.posexplode(sentences(col)).alias("sentence_no", "sentence"))
+    return numbered(df, [key], sentences(col), "sentence_no", "sentence")

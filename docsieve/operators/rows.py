@@ -6,23 +6,14 @@ is under its threshold (AQE re-checks at run time) and shuffles beyond it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MASK, placeholder_if_empty
 from .checks import require_n_values, require_same_keys
-
-
-def elements(df: DataFrame, keep: Sequence[str], items: Column | str, name: str = "token") -> DataFrame:
-    """(keep, name): one row per element of a list without NULLs.
-
-    The outer form and a filter stand for a plain explode, because for that one
-    the optimiser adds a size check below, and an expensive list (a tokenised
-    text) would be built twice.
-    """
-    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+from .expand import elements
 
 
 def normalise(

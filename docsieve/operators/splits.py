@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .expand import records
+
 BASE_SEED = 10042006  # fixed value: round i uses BASE_SEED + i
 BUCKET_DIGITS = 3  # 4,096 hash buckets per class
 
@@ -149,7 +151,7 @@ def holdout_splits(
     all rounds, as one plan."""
     cuts = holdout_cuts(labels, rounds, size, seed, key, label)
     assigned = assign_splits(labels.select(key, label), cuts, seed, key, label)
-    return assigned.select(key, label, F.inline("splits")).select("round", key, label, "split")
+    return records(assigned, [key, label], "splits", "round").select("round", key, label, "split")
 
 
 def _position(seed: Column, key: Column) -> Column:

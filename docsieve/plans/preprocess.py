@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stemming import stem_tokens
+from ..operators.expand import records
 
 # Field sets of the stored feature runs, (fields, n-gram size).
 OPTIMAL = ("title", "abstract", "mesh_terms", "publication_types")
@@ -154,7 +155,7 @@ def run_matrix(
             for name, (fields, n) in runs.items()
         ]
     )
-    return lists.select(key, F.inline(bags)).select("run", key, "tokens")
+    return records(lists, [key], bags, "run").select("run", key, "tokens")
 
 
 def run_fields(runs: Runs) -> list[str]:
