@@ -214,6 +214,17 @@ def bulk_score(spark, sf_dir):
     return M.score(model, docs).withColumn("probability", F.round("probability", 6))
 
 
+@query(
+    "m12b_scored_ids",
+    """SELECT doc_id AS pmid, true AS sound FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+)
+def scored_ids(spark, sf_dir):
+    """Every new document is scored once, and its label follows its probability."""
+    scored = bulk_score(spark, sf_dir)
+    says = F.col("prediction") == F.when(F.col("probability") > 0.5, V.POSITIVE).otherwise(V.NEGATIVE)
+    return scored.select("pmid", (says & F.col("probability").between(0, 1)).alias("sound"))
+
+
 @query(
     "s9_model_roundtrip",
     "SELECT doc_id AS pmid, true AS same FROM documents",
