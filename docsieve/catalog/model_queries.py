@@ -209,9 +209,12 @@ def test_results(spark, sf_dir):
 
 @query("m12_bulk_score")
 def bulk_score(spark, sf_dir):
-    model = final_model(spark, sf_dir)
+    return score_new(spark, sf_dir).withColumn("probability", F.round("probability", 6))
+
+
+def score_new(spark, sf_dir):
     docs = P.preprocess(new_documents(spark, sf_dir), FIELDS, 1, V.STOP_WORDS)
-    return M.score(model, docs).withColumn("probability", F.round("probability", 6))
+    return M.score(final_model(spark, sf_dir), docs)
 
 
 @query(
@@ -220,7 +223,7 @@ def bulk_score(spark, sf_dir):
 )
 def scored_ids(spark, sf_dir):
     """Every new document is scored once, and its label follows its probability."""
-    scored = bulk_score(spark, sf_dir)
+    scored = score_new(spark, sf_dir)
     says = F.col("prediction") == F.when(F.col("probability") > 0.5, V.POSITIVE).otherwise(V.NEGATIVE)
     return scored.select("pmid", (says & F.col("probability").between(0, 1)).alias("sound"))
 

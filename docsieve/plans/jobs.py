@@ -24,7 +24,7 @@ from ..operators.rows import normalise, select_labelled
 from ..sources import readers, writers
 from .experiment import Experiment, Search, grid_search, repeated_holdout
 from .model import FINAL_TREES, TreeParams, evaluate, fit_final, score
-from .preprocess import FIELD_RUNS, OPTIMAL, Runs, field_tokens, preprocess, run_fields, run_matrix
+from .preprocess import FIELD_RUNS, OPTIMAL, POOLING_RUNS, Runs, field_tokens, preprocess, run_fields, run_matrix
 
 PROFILE_FIELDS = (
     "title", "abstract", "author", "journal", "keywords", "chemical_list", "mesh_terms",
@@ -103,6 +103,27 @@ def vector_features(tokens: DataFrame, maxmin: bool = False, n: int = 4) -> Data
     )
 
 
+def vector_job(
+    spark: SparkSession, tokens: str, out: str, width: int, runs: Mapping[str, bool] = POOLING_RUNS,
+    overwrite: bool = False,
+) -> list[str]:
+    """Pooled vectors of every pending run below ``out/run=<name>``; returns their names.
+
+    ``runs`` tells whether max and min are added.  Once a run with them is
+    stored, a mean-only run is cut from it instead of pooling again.
+    """
+    done = _finished(lambda: spark.read.parquet(out).select("run"))
+    names = _pending(spark, list(runs), done, overwrite)
+    for name in sorted(names, key=lambda n: not runs[n]):
+        whole = [n for n in runs if runs[n] and n != name and (n in done or n in names)]
+        if not runs[name] and whole:
+            vectors = mean_only(spark.read.parquet(f"{out}/run={whole[0]}"), width)
+        else:
+            vectors = vector_features(spark.read.parquet(tokens), runs[name])
+        writers.write_parquet(vectors, f"{out}/run={name}")
+    return names
+
+
 def mean_only(vectors: DataFrame, width: int) -> DataFrame:
     """The mean part of vectors stored as mean, max and min."""
     return vectors.withColumns(

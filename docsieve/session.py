@@ -54,14 +54,17 @@ def materialise(df: DataFrame, name: str = "table", partition_by: str | None = N
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL_SCAN = 64  # splits; a scan of more is never shuffled for parallelism
+
+
 def spread(df: DataFrame, key: str, scan: DataFrame | None = None) -> DataFrame:
-    """Hash rows by ``key`` when a scan has fewer splits than the cluster has
-    cores (one small file); a large scan keeps its own splits and is not shuffled.
+    """Hash rows by ``key`` when a small scan has fewer splits than the cluster
+    has cores (one file of one row group); any other scan keeps its own splits.
 
     ``scan`` is the table ``df`` comes from, where ``df`` already filters it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if (df if scan is None else scan).rdd.getNumPartitions() >= cores:
+    if (df if scan is None else scan).rdd.getNumPartitions() >= min(cores, SMALL_SCAN):
         return df
     return df.repartition(cores, key)
 

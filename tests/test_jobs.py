@@ -90,5 +90,11 @@ def test_vector_features(spark):
     for r in whole.collect():
         assert np.allclose(r["abstracts_embedded"], want[(r["pmid"], "abstract")])
         assert np.allclose(r["titles_embedded"], want[(r["pmid"], "title")])
+    base = scratch_path(spark, "vectors")
+    writers.write_parquet(df, f"{base}/tokens")
+    assert J.vector_job(spark, f"{base}/tokens", f"{base}/out", 4) == ["biobert_all", "biobert_avg"]
+    assert J.vector_job(spark, f"{base}/tokens", f"{base}/out", 4) == []
+    stored_mean = spark.read.parquet(f"{base}/out/run=biobert_avg").where("pmid = 2").first()
+    assert np.allclose(stored_mean["titles_embedded"], want[(2, "title")][:4])
     mean = J.joined_vectors(J.mean_only(whole, 4)).where("pmid = 1").first()["embedding"]
     assert np.allclose(mean, np.concatenate([want[(1, "abstract")][:4], want[(1, "title")][:4]]))
