@@ -22,6 +22,7 @@ from ..operators.pooling import pool_vectors, token_vectors
 from ..operators.report import boxplot_table, interval_summary, leaderboard
 from ..operators.rows import normalise, select_labelled
 from ..sources import readers, writers
+from .chain import Preprocessor, takes_raw_documents, with_preprocessor
 from .experiment import Experiment, Search, grid_search, repeated_holdout
 from .model import FINAL_TREES, TreeParams, evaluate, fit_final, score
 from .preprocess import FIELD_RUNS, OPTIMAL, POOLING_RUNS, Runs, field_tokens, preprocess, run_fields, run_matrix
@@ -189,11 +190,16 @@ def final_job(
     best: TreeParams,
     out: str,
     trees: int = FINAL_TREES,
+    first_stage: Preprocessor | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
     """Final fit with the chosen settings and a fixed number of trees, stored,
-    and its test results; returns the model and one row of metrics."""
+    and its test results; returns the model and one row of metrics.
+
+    With ``first_stage``, the way ``docs`` were preprocessed, the stored model
+    takes raw documents.
+    """
     model = fit_final(docs, labels, replace(best, trees=trees))
-    writers.save_model(model, f"{out}/optimal_model")
+    writers.save_model(with_preprocessor(model, first_stage) if first_stage else model, f"{out}/optimal_model")
     results, metrics = evaluate(model, test_docs, test_labels)
     writers.write_csv(results, f"{out}/test_results_per_instance")
     return model, metrics
@@ -202,7 +208,11 @@ def final_job(
 def score_job(
     spark: SparkSession, model: str, path: str, stop_words: Sequence[str] = (), lexicon: Sequence[str] = ()
 ) -> DataFrame:
-    """Label new documents of a CSV with a stored model on the optimal fields."""
+    """Label new documents of a CSV with a stored model on the optimal fields.
+
+    Stop words and lexicon count only for a model without its own first stage.
+    """
     filled = {"pmid": 0, **{f: "" for f in OPTIMAL}}
     docs = normalise(readers.read_documents_csv(spark, path), filled)
-    return score(writers.load_model(spark, model), preprocess(docs, OPTIMAL, 1, stop_words, lexicon))
+    stored = writers.load_model(spark, model)
+    return score(stored, docs if takes_raw_documents(stored) else preprocess(docs, OPTIMAL, 1, stop_words, lexicon))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsieve.plans import jobs as J
+from docsieve.plans.chain import Preprocessor
 from docsieve.plans.model import NEGATIVE, POSITIVE, TreeParams
 from docsieve.session import scratch_path
 from docsieve.sources import readers, writers
@@ -62,7 +63,8 @@ def test_jobs_end_to_end(spark, stored):
     assert found.best.min_df == 2
     test = features["optimal"].where("pmid < 40")
     _, metrics = J.final_job(
-        features["optimal"], labels, test, labels.where("pmid < 40"), found.best, f"{stored}/final", trees=2
+        features["optimal"], labels, test, labels.where("pmid < 40"), found.best, f"{stored}/final", trees=2,
+        first_stage=Preprocessor(fields=list(RUNS["optimal"][0]), ngram=2),
     )
     assert metrics.first()["f1"] == 1.0
     corpus = readers.read_corpus(spark, f"{stored}/corpus")
@@ -73,6 +75,20 @@ def test_jobs_end_to_end(spark, stored):
     assert scored.count() == right.count() == 40
 
 
+def test_preprocessor_equals_function(spark):
+    from docsieve.plans.preprocess import preprocess
+
+    df = spark.createDataFrame(
+        [(1, "Oral dosing", "Levels rose.", 7), (2, None, "", 8)], "pmid bigint, title string, abstract string, extra int"
+    )
+    stage = Preprocessor(fields=["title", "abstract"], ngram=2, stopWords=["oral"], lexicon=["levels"])
+    out = stage.transform(df)
+    assert out.columns == ["pmid", "title", "abstract", "extra", "tokens"]
+    want = preprocess(df, ["title", "abstract"], 2, ["oral"], ["levels"]).orderBy("pmid").collect()
+    assert [r["tokens"] for r in out.orderBy("pmid").collect()] == [r["tokens"] for r in want]
+    assert want[0]["tokens"] == ["doseT", "drugnam", "rose", "drugnam rose"]
+
+
 def test_vector_features(spark):
     rng = np.random.default_rng(4)
     rows, want = [], {}
