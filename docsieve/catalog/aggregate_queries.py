@@ -260,7 +260,7 @@ def vector_pooling(spark, sf_dir):
 
 # Parameter sets of a small grid: which rule to apply is the parameter.
 _GRID = ("other_rule", "res_abstract", "res_all", "res_mesh", "res_optimal", "res_title")
-_FOLD_SQL = f"""{V.SQL_LABELS},
+FOLD_SQL = f"""{V.SQL_LABELS},
   ranked AS (SELECT pmid, label, row_number() OVER (PARTITION BY label
                ORDER BY md5('{splits.BASE_SEED}:' || pmid::VARCHAR), pmid) AS rk FROM labels_v),
   folds AS (SELECT pmid, label, ((rk - 1) % 5)::INTEGER AS fold FROM ranked)"""
@@ -277,7 +277,7 @@ def _fold_scores(spark, sf_dir):
 
 @query(
     "a15_best_params",
-    f"""WITH {_FOLD_SQL}, {V.sql_hits()},
+    f"""WITH {FOLD_SQL}, {V.sql_hits()},
         predictions AS (SELECT experiment, fold, label,
                                CASE WHEN hit THEN '{V.POSITIVE}' ELSE '{V.NEGATIVE}' END AS prediction
                         FROM folds JOIN hits ON folds.pmid = hits.pmid),
@@ -309,7 +309,7 @@ def stratified_split(spark, sf_dir):
     return splits.holdout_splits(V.labels(spark, sf_dir), ROUNDS)
 
 
-@query("w2_stratified_folds", f"WITH {_FOLD_SQL} SELECT pmid, label, fold FROM folds")
+@query("w2_stratified_folds", f"WITH {FOLD_SQL} SELECT pmid, label, fold FROM folds")
 def stratified_folds(spark, sf_dir):
     return splits.stratified_folds(V.labels(spark, sf_dir), 5)
 

@@ -18,7 +18,10 @@ from ..session import materialise, scratch_path
 from ..sources import writers
 from ..streaming.scoring import ARRIVAL, latest_scores, score_stream
 from . import views as V
+from .aggregate_queries import FOLD_SQL
+from .porter_sql import stem_ctes
 from .registry import query
+from .text_queries import sql_clean, sql_full, sql_list_field, sql_stop
 
 SMALL = M.TreeParams(max_depth=3, trees=6, patience=3, max_terms=2000)
 FIELDS = ("title", "abstract", "publication_types")
@@ -126,6 +129,19 @@ def prefix_f1(spark, sf_dir):
     return M.prefix_scores(model, encoded.where(F.col("split") == "val"))
 
 
+@query(
+    "m6b_prefix_totals",
+    f"""WITH {V.sql_splits(1)} SELECT i::INTEGER AS iteration, count(*) FILTER (label = '{V.POSITIVE}') AS n_positive,
+               true AS f1_follows FROM splits, range(1, {SMALL.trees + 1}) r(i) WHERE split = 'val' GROUP BY i""",
+)
+def prefix_totals(spark, sf_dir):
+    """What holds for any learned trees: positives per prefix, F1 from the counts."""
+    again = F.coalesce(F.try_divide(F.col("tp") * 2.0, 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    return prefix_f1(spark, sf_dir).select(
+        "iteration", (F.col("tp") + F.col("fn")).alias("n_positive"), (F.abs(F.col("f1") - again) < 1e-12).alias("f1_follows")
+    )
+
+
 @query(
     "m7_predict",
     f"""WITH {V.sql_splits(1)} SELECT pmid, label, true AS same_as_full_prefix FROM splits WHERE split = 'test'""",
@@ -185,6 +201,41 @@ def final_fit(spark, sf_dir):
     return spark.createDataFrame(sizes, "stage int, kind string, size int")
 
 
+def _sql_terms(field: str, mark: str) -> str:
+    clean = sql_clean(f"list_transform({sql_stop(sql_full(field))}, lambda t: lower(t))")
+    return f"SELECT pmid, '{mark}' AS mark, unnest({clean}) AS token FROM train"
+
+
+@query(
+    "m10b_final_vocabulary",
+    f"""WITH {FOLD_SQL}, {V.SQL_CORPUS},
+        train AS (SELECT * FROM corpus WHERE pmid IN (SELECT pmid FROM folds WHERE fold <> 0)),
+        raw AS ({_sql_terms('title', 'T')} UNION ALL {_sql_terms('abstract', '')}),
+        counted AS (SELECT token, count(*) AS n FROM raw GROUP BY token), {stem_ctes('counted')},
+        terms AS (SELECT pmid, stem || mark AS term FROM raw JOIN stemmed ON raw.token = stemmed.token
+                  UNION SELECT pmid, unnest({sql_list_field('publication_types')}) FROM train),
+        df AS (SELECT term, count(DISTINCT pmid) AS df FROM terms WHERE term <> '' GROUP BY term HAVING count(DISTINCT pmid) >= 2)
+        SELECT (row_number() OVER (ORDER BY df DESC, term) - 1)::INTEGER AS place, term AS token
+        FROM df ORDER BY place LIMIT {SMALL.max_terms}""",
+)
+def final_vocabulary(spark, sf_dir):
+    """Terms of the fitted final model in order: the whole text path with stemming."""
+    words = list(enumerate(final_model(spark, sf_dir).stages[0].vocabulary))
+    return spark.createDataFrame(words, "place int, token string")
+
+
+@query(
+    "m11c_test_totals",
+    f"""WITH {FOLD_SQL} SELECT count(*) FILTER (label = '{V.POSITIVE}') AS n_positive,
+               count(*) FILTER (label <> '{V.POSITIVE}') AS n_negative FROM folds WHERE fold = 0""",
+)
+def test_totals(spark, sf_dir):
+    """The confusion counts add up to the classes of the test set."""
+    return test_eval(spark, sf_dir).select(
+        (F.col("tp") + F.col("fn")).alias("n_positive"), (F.col("fp") + F.col("tn")).alias("n_negative")
+    )
+
+
 @query("m11_test_eval")
 def test_eval(spark, sf_dir):
     model = final_model(spark, sf_dir)
