@@ -1,5 +1,5 @@
 """The stemming rules as a chain of SQL steps, with regular expressions for the
-letter classes: an answer independent of the Arrow function."""
+letter classes.  It shares the suffix tables with the Arrow function, not its logic."""
 
 from __future__ import annotations
 
