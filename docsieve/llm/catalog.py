@@ -1,6 +1,6 @@
 """Imports every operator module, which registers its query."""
 
-from . import bpe, decontaminate, secrets, url_reputation  # noqa: F401
+from . import bpe, decontaminate, licenses, secrets, url_reputation  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
