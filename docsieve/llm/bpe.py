@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -87,24 +87,29 @@ def _ship(spark: SparkSession, rank_file: str) -> str:
 
 
 def encode_texts(
-    docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "text", keep_ids: bool = True, chunk: int = CHUNK
+    docs: DataFrame,
+    rank_file: str,
+    keep: Sequence[str] = ("doc_id",),
+    text: str = "text",
+    keep_ids: bool = True,
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """(key, n_tokens, ids, ids_sha256, decoded_sha256), one row per input row.
+    """The ``keep`` columns, n_tokens, ids, ids_sha256 and decoded_sha256, one row per input row.
 
     ``ids`` (absent with ``keep_ids=False``) are unsigned 32-bit little-endian
     integers in one binary value.  The digests are of those bytes and of the bytes
-    the ids decode to.  A null text counts as empty; null and repeated keys stay as
-    they are; columns besides ``key`` and ``text`` are not read.
+    the ids decode to.  A null text counts as empty; null and repeated ids stay as
+    they are; columns besides ``keep`` and ``text`` are not read.
     """
     name = _ship(docs.sparkSession, rank_file)
-    columns = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t"))
-    kind = columns.schema["k"].dataType
+    kept_columns = [docs[c].alias(f"k{i}") for i, c in enumerate(keep)]
+    columns = docs.select(docs[text].cast("string").alias("t"), *kept_columns)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(name)
         for batch in stream:
             count, ids_hash, bytes_hash, ids = [], [], [], []
-            for value in batch.column(1):
+            for value in batch.column(0):
                 n, of_ids, of_bytes, kept = 0, hashlib.sha256(), hashlib.sha256(), []
                 for part in encode(enc, value.as_py() or "", chunk):
                     raw = np.array(part, dtype="<u4").tobytes()
@@ -117,14 +122,15 @@ def encode_texts(
                 ids_hash.append(of_ids.hexdigest())
                 bytes_hash.append(of_bytes.hexdigest())
                 ids.append(b"".join(kept))
-            out = {"k": batch.column(0), "n_tokens": pa.array(count, pa.int64())}
+            out = {f"k{i}": batch.column(i + 1) for i in range(len(keep))} | {"n_tokens": pa.array(count, pa.int64())}
             if keep_ids:
                 out["ids"] = pa.array(ids, pa.binary())
             out |= {"ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(bytes_hash, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
 
-    schema = f"k {kind.simpleString()}, n_tokens long{', ids binary' * keep_ids}, ids_sha256 string, decoded_sha256 string"
-    return columns.mapInArrow(batches, schema).withColumnRenamed("k", key)
+    kept = "".join(f"k{i} {columns.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
+    schema = f"{kept}n_tokens long{', ids binary' * keep_ids}, ids_sha256 string, decoded_sha256 string"
+    return columns.mapInArrow(batches, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
 def decode_texts(encoded: DataFrame, rank_file: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
