@@ -1,6 +1,6 @@
 """Imports every operator module, which registers its query."""
 
-from . import bpe, decontaminate, jaccard, licenses, quality_rules, secrets, url_reputation, wordpiece  # noqa: F401
+from . import bpe, decontaminate, jaccard, language_model, licenses, quality_rules, secrets, url_reputation, wordpiece  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
