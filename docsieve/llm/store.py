@@ -59,3 +59,50 @@ def open_array(folder: str, name: str, dtype) -> np.ndarray:
         while block := source.read(1 << 22):
             copy.write(block)
     return np.memmap(copy, dtype=dtype, mode="r") if copy.tell() else np.empty(0, dtype=dtype)
+
+
+class Output:
+    """A file written as a stream, in place only when closed without an error."""
+
+    def __init__(self, folder: str, name: str):
+        self.path, self.name, self.at = local_path(folder), name, 0
+        part = f".{name}-{uuid.uuid4().hex}"
+        if self.path is not None:
+            os.makedirs(self.path, exist_ok=True)
+            self.part, self.out = f"{self.path}/{part}", open(f"{self.path}/{part}", "wb")
+            return
+        from pyarrow import fs
+
+        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.store.create_dir(self.root, recursive=True)
+        self.part = f"{self.root}/{part}"
+        self.out = self.store.open_output_stream(self.part)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.at += len(data)
+
+    def __enter__(self) -> Output:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self.out.close()
+        if kind is None and self.path is not None:
+            os.replace(self.part, f"{self.path}/{self.name}")
+        elif kind is None:
+            self.store.move(self.part, f"{self.root}/{self.name}")
+        elif self.path is not None:
+            os.remove(self.part)
+        else:
+            self.store.delete_file(self.part)
+
+
+def open_file(folder: str, name: str):
+    """A seekable file of the shared folder, for reading."""
+    path = local_path(folder)
+    if path is not None:
+        return open(f"{path}/{name}", "rb")
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    return store.open_input_file(f"{root}/{name}")
