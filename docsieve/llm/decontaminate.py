@@ -110,22 +110,25 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, mark:
     """All rows of ``docs``; in texts with hits the words hit are replaced by ``mark`` and
     ``n_chars``, if there, is counted anew.  Characters between words stay."""
     hits = scan_documents(docs, items, window).where(F.size("hits") > 0)
-    hits = materialise(hits.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "hits").distinct(), "spans")
-    match = docs["doc_id"].eqNullSafe(hits["_id"]) & (row_key(docs["text"]) == hits["_key"])
-    joined = docs.join(broadcast_within(hits, hits.count(), MAX_BROADCAST // 50), match, "left")
-    gaps = F.split(F.col("text"), r"[A-Za-z0-9\x{80}-\x{10FFFF}]+")
-    whole = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"), F.lit(0))
+    hits = materialise(hits.select(F.col("doc_id").alias("id"), "row_key", "hits").distinct(), "spans")
+    whole = docs.select("text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    match = whole["row"]["doc_id"].eqNullSafe(hits["id"]) & (row_key(whole["text"]) == hits["row_key"])
+    joined = whole.join(broadcast_within(hits, hits.count(), MAX_BROADCAST // 50), match, "left")
+    word = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["span"] - 1))))
-    kept = F.transform(
-        F.col("_whole"), lambda w, i: F.when(F.array_contains(F.col("_covered"), i + 1), F.lit(mark)).otherwise(w)
-    )
-    pieces = F.zip_with("_gaps", F.concat(kept, F.array(F.lit(""))), lambda g, w: F.concat(g, w))
-    joined = joined.withColumns({"_gaps": F.when(F.col("hits").isNotNull(), gaps), "_whole": F.when(F.col("hits").isNotNull(), whole)})
-    joined = joined.withColumn("_covered", covered)
-    out = joined.withColumn("text", F.when(F.col("hits").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("hits").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    parts = joined.select(
+        "row", "text", covered.alias("covered"), F.split("text", word, -1).alias("gaps"),
+        F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("words"),
+    )
+    kept = F.transform("words", lambda w, i: F.when(F.array_contains("covered", i + 1), F.lit(mark)).otherwise(w))
+    pieces = F.zip_with("gaps", F.concat(kept, F.array(F.lit(""))), lambda g, w: F.concat(g, w))
+    out = parts.select("row", F.when(F.col("covered").isNotNull(), F.array_join(pieces, "")).alias("clean"))
+    return out.select(*(
+        F.coalesce("clean", F.col("row.text")).alias(c) if c == "text"
+        else F.coalesce(F.length("clean").cast("long"), F.col("row.n_chars")).alias(c) if c == "n_chars"
+        else F.col("row")[c].alias(c)
+        for c in docs.columns
+    ))
 
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"

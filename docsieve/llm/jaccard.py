@@ -7,9 +7,12 @@ shingles, more buckets than two linked sets of that size can differ in: linked s
 agree in a whole bucket and share its cell.  The member of smallest key is the cell's
 pivot, and a pivot's region is made of all cells it leads.  Then:
 
-1. every document joins the region of its nearest pivot (the one it shares most cells
+1. a contraction of the metric space drops members without a possible partner in their
+   region: sets are counted into buckets, and the sum of the differences of two such
+   lists is never more than the sets' symmetric difference;
+2. every document joins the region of its nearest pivot (the one it shares most cells
    with), and regions are joined exactly, each in one task;
-2. components of these links settle all regions that lie in one component; every other
+3. components of these links settle all regions that lie in one component; every other
    region is joined in full, pairs within a component being left out.
 
 Inside a region the distances to its pivot give triangle-inequality windows: only
@@ -117,8 +120,46 @@ def cells(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Shingles counted into buckets, one for every two shingles or so, a power of two."""
+    width = max(8, 1 << (max(len(shingles) // 2, 1) - 1).bit_length())
+    place = (_mixed(shingles + _MIX[1]) & np.uint64(width - 1)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=width), 255).astype(np.uint8).tobytes()
+
+
+def near_members(keys: np.ndarray, size: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Which members of a region may be linked to another: their sizes are near enough and
+    their sketches differ by no more than linked sets can."""
+    width = np.array([len(s) for s in sketches])
+    lists = {w: np.stack([np.frombuffer(s, np.uint8) for s in sketches if len(s) == w]).astype(np.int16) for w in np.unique(width)}
+    rows = {w: np.flatnonzero(width == w) for w in lists}
+
+    def folded(counts: np.ndarray, w: int) -> np.ndarray:
+        return counts if counts.shape[1] == w else np.minimum(counts.reshape(len(counts), -1, w).sum(axis=1, dtype=np.int16), 255)
+
+    near = np.zeros(len(keys), dtype=bool)
+    at = {w: {r: i for i, r in enumerate(found.tolist())} for w, found in rows.items()}
+    for q in range(len(keys)):
+        if near[q]:
+            continue
+        own = lists[width[q]][at[width[q]][q]][None]
+        for w in (width[q] // 2, width[q], width[q] * 2):
+            if w not in rows:
+                continue
+            others = rows[w]
+            alike = np.flatnonzero((5 * size[others] >= 4 * size[q]) & (4 * size[others] <= 5 * size[q]) & (keys[others] != keys[q]))
+            common = min(w, width[q])
+            for i in range(0, len(alike), max(1, (1 << 22) // w)):
+                some = alike[i : i + max(1, (1 << 22) // w)]
+                apart = np.abs(folded(lists[w][some], common) - folded(own, common)).sum(axis=1, dtype=np.int64)
+                hits = others[some[9 * apart <= size[q] + size[others[some]]]]
+                if len(hits):
+                    near[hits] = near[q] = True
+    return near
+
+
 def _sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, row_key, n, key) of each row; an empty document has no key."""
+    """(doc_id, row_key, n, key, sketch) of each row; an empty document has no key."""
     rows = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +169,11 @@ def _sets_of(docs: DataFrame, size: int) -> DataFrame:
                 "doc_id": batch.column(0), "row_key": batch.column(1),
                 "n": pa.array([len(s) for s in found], pa.int64()),
                 "key": pa.array([set_key(s) if len(s) else None for s in found], pa.int64()),
+                "sketch": pa.array([sketch(s) if len(s) else None for s in found], pa.binary()),
             })
 
-    return rows.mapInArrow(batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_key long, n long, key long")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(batches, f"doc_id {kind}, row_key long, n long, key long, sketch binary")
 
 
 def _cells_of(docs: DataFrame, size: int) -> DataFrame:
@@ -225,44 +268,86 @@ def link_region(keys: list[int], parts: list[int], sets: list[np.ndarray], pivot
             take(q, others, shared(q, others))
 
 
+def _regions(stream: Iterator[pa.RecordBatch], read) -> Iterator[list[tuple]]:
+    """Members of one region after the other from rows sorted by region, their first column;
+    ``read`` makes a batch's columns into lists."""
+    now, members = None, []
+    for batch in stream:
+        region, columns = batch.column(0).to_numpy(), read(batch)
+        for i, row in enumerate(zip(*columns)):
+            if region[i] != now:
+                if len(members) > 1:
+                    yield members
+                now, members = region[i], []
+            members.append(row)
+    if len(members) > 1:
+        yield members
+
+
+def _near_only(rows: DataFrame) -> DataFrame:
+    """Rows (region, pivot, key, n, sketch) that may be linked within their region, as (pivot, key)."""
+    dealt = rows.select("region", "pivot", "key", "n", "sketch").repartition("region").sortWithinPartitions("region")
+
+    def read(batch: pa.RecordBatch) -> list:
+        return [batch.column(i).to_pylist() for i in (1, 2, 3, 4)]
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for members in _regions(stream, read):
+            pivot, key, n, sketches = zip(*members)
+            keep = near_members(np.array(key), np.array(n), list(sketches))
+            out += [(pivot[i], key[i]) for i in np.flatnonzero(keep)]
+            if len(out) > 100_000:
+                yield _pairs_batch(out, "pivot", "key")
+                out = []
+        yield _pairs_batch(out, "pivot", "key")
+
+    return dealt.mapInArrow(batches, "pivot long, key long")
+
+
 def _join_regions(rows: DataFrame) -> DataFrame:
     """(a, b): links inside each region of (region, pivot, key, part, shingles); a region is
     one task's work, read as a stream of regions."""
     dealt = rows.select("region", "pivot", "key", "part", "shingles").repartition("region").sortWithinPartitions("region")
 
-    def regions(stream: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple[int, np.ndarray, int]]]:
-        now, members = None, {}
-        for batch in stream:
-            region, pivot, key, part = (batch.column(i).to_numpy() for i in range(4))
-            lists = batch.column(4)
-            values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            for i in range(len(region)):
-                if region[i] != now:
-                    if len(members) > 1:
-                        yield members
-                    now, members = region[i], {}
-                members[int(key[i])] = (int(part[i]), values[offsets[i] : offsets[i + 1]].copy(), int(pivot[i]))
-        if len(members) > 1:
-            yield members
+    def read(batch: pa.RecordBatch) -> list:
+        lists = batch.column(4)
+        values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        sets = [values[low:high].copy() for low, high in zip(offsets[:-1], offsets[1:])]
+        return [*(batch.column(i).to_pylist() for i in (1, 2, 3)), sets]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: list[tuple[int, int]] = []
-        for members in regions(stream):
-            keys = list(members)
-            parts, sets, pivots = zip(*members.values())
-            lead = keys.index(pivots[0]) if pivots[0] in members else 0
-            links += link_region(keys, list(parts), list(sets), lead)
+        links: list[tuple] = []
+        for members in _regions(stream, read):
+            once = {key: (part, own) for _, key, part, own in members}
+            keys, lead = list(once), members[0][0]
+            if len(keys) > 1:
+                parts, sets = zip(*once.values())
+                links += link_region(keys, list(parts), list(sets), keys.index(lead) if lead in once else 0)
             if len(links) > 100_000:
-                yield _links_batch(links)
+                yield _pairs_batch(links, "a", "b")
                 links = []
-        yield _links_batch(links)
+        yield _pairs_batch(links, "a", "b")
 
     return dealt.mapInArrow(batches, "a long, b long")
 
 
-def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+def _pairs_batch(pairs: list[tuple], first: str, second: str) -> pa.RecordBatch:
+    both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_pydict({first: pa.array(both[:, 0]), second: pa.array(both[:, 1])})
+
+
+def deal_blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (region, key, n, ...) with regions of over ``limit`` shingles cut into blocks of
+    half of that, dealt out as pairs of blocks: every two members still meet."""
+    sizes = rows.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > limit)
+    blocks = materialise(sizes.select("region", F.ceil(2 * F.col("total") / limit).cast("int").alias("blocks")), "blocks")
+    if blocks.isEmpty():
+        return rows
+    dealt = rows.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
+    return rows.join(blocks, "region", "left_anti").unionByName(dealt.withColumn("region", pair).select(rows.columns))
 
 
 def split_regions(rows: DataFrame, limit: int = REGION_LIMIT, pivots: int = 16, levels: int = 3) -> DataFrame:
@@ -294,15 +379,7 @@ def split_regions(rows: DataFrame, limit: int = REGION_LIMIT, pivots: int = 16,
             ),
             "split",
         )
-    sizes = rows.groupBy("region").agg(F.sum("n").alias("total"))
-    big = sizes.where(F.col("total") > limit).select("region", F.ceil(2 * F.col("total") / limit).cast("int").alias("blocks"))
-    dealt = rows.join(big, "region", "left").withColumn("block", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    dealt = dealt.withColumn("other", other).select(
-        F.when(F.col("blocks").isNull(), F.col("region")).otherwise(
-            F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
-        ).alias("region"), "pivot", "key", "part", "n", "shingles",
-    )
+    dealt = deal_blocks(rows, limit)
     for part in done:
         dealt = dealt.unionByName(part.select(dealt.columns))
     return dealt
@@ -350,10 +427,15 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, limit: int = REGION
 
     keys = reach.select("key").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("text_key")))
-    wanted = sets.join(keys, "key").groupBy("key").agg(first.alias("first")).select("key", "first.id", "first.text_key")
+    known = sets.join(keys, "key").groupBy("key").agg(first.alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    known = materialise(known.select("key", "first.id", "first.text_key", "n", "sketch"), "known")
+    all_ = reach.join(known.select("key", "n", "sketch"), "key").withColumn("region", F.col("pivot"))
+    near = _near_only(deal_blocks(all_.select("region", "pivot", "key", "n", "sketch"), limit)).distinct()
+    reach = materialise(near.join(reach, ["pivot", "key"]), "near")
+    wanted = known.select("key", "id", "text_key").join(reach.select("key").distinct(), "key")
     members = materialise(_members(docs, materialise(wanted, "wanted"), size), "members")
 
-    # Round 1: the nearest pivot's region, and each pivot in its own; chunks of a large region are joined by its pivot.
+    # The nearest pivot's region, and each pivot in its own; chunks of a large region are joined by its pivot.
     nearest = reach.where("pivot <> key").groupBy("key").agg(F.max_by("pivot", F.struct("cells", "pivot")).alias("pivot"))
     home = nearest.join(members.select("key", "n"), "key")
     chunks = F.ceil(F.sum("n") / limit).cast("int")
@@ -363,7 +445,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, limit: int = REGION
     placed = placed.unionByName(leads).select(F.xxhash64("pivot", "chunk").alias("region"), "pivot", "key", F.col("key").alias("part"))
     near = materialise(_join_regions(placed.join(members, "key")), "links")
 
-    # Round 2: regions that these links leave in several components.
+    # Regions that these links leave in several components.
     settled = components(near)
     reached = reach.select("pivot", "key").join(settled, "key", "left").withColumn("part", F.coalesce("part", "key"))
     open_ = reached.groupBy("pivot").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")

@@ -221,7 +221,8 @@ def base_failed(stats: str = "stats") -> Column:
 
 
 def judge_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``docs`` with ``stats``, ``rule`` (number of the rejecting rule or null) and ``kept``.
+    """``docs`` with ``stats``, ``rule`` (number of the rejecting rule or null) and ``kept``, in
+    place of columns of these names.
 
     Null and empty texts fail the base test; every input row comes back once."""
     judged = docs.withColumn("stats", document_statistics("text"))
@@ -230,7 +231,8 @@ def judge_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that the base test and the rules learned from them keep."""
-    return judge_documents(docs, fit_rules(docs, labels, **settings)).where("kept").select(docs.columns)
+    whole = docs.select("text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return judge_documents(whole, fit_rules(docs, labels, **settings)).where("kept").select("row.*")
 
 
 @query("op6_quality_rules")

@@ -178,7 +178,7 @@ def entropy_spans(text: Column, base: Column, window: int = WINDOW, allowed: Seq
 
 
 def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: (start, order, end, kind) in code points, end
+    """``docs`` with ``base`` and ``spans``, in place of columns of these names: (start, order, end, kind) in code points, end
     exclusive, sorted by start and kind; ``spans`` holds the base spans and those the
     entropy test adds.  A null or empty text has none; long texts are scanned whole."""
     whole = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
@@ -196,7 +196,8 @@ def show_spans(spans: str | Column) -> Column:
 def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark``, overlapping spans once;
     ``n_chars``, if there, is counted anew where something was replaced."""
-    found = scan_secrets(docs)
+    text = docs["text"].cast("string")
+    found = scan_secrets(docs.select(text.alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row")))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -211,10 +212,15 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
         return F.concat(F.array_join(s["out"], ""), rest)
 
     changed = F.size("spans") > 0
-    out = found.withColumn("_clean", F.when(changed, F.aggregate("spans", start, step, finish)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_clean")).select(docs.columns)
+    clean = F.when(changed, F.aggregate("spans", start, step, finish)).otherwise(F.col("text"))
+    out = found.select("row", changed.alias("changed"), clean.alias("clean"))
+    length = F.when(F.col("changed"), F.length("clean").cast("long"))
+    return out.select(*(
+        F.col("clean").alias(c) if c == "text"
+        else F.coalesce(length, F.col("row.n_chars")).alias(c) if c == "n_chars"
+        else F.col("row")[c].alias(c)
+        for c in docs.columns
+    ))
 
 
 @query("op4_secret_scan")
