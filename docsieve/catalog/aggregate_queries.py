@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.naming import interval_text, leading_number
 from ..operators import features, metrics, pooling, report, rows, splits
 from ..operators.expand import elements, records
+from ..session import materialise
 from . import views as V
 from .registry import query
 
@@ -203,7 +204,8 @@ def histogram(spark, sf_dir):
         FROM frame LEFT JOIN binned ON frame.bin = binned.bin""",
 )
 def f1_histogram(spark, sf_dir):
-    one = _metrics(spark, sf_dir, 20).where(F.col("experiment") == "res_title")
+    # The range and the bins read their input once each: write it first.
+    one = materialise(_metrics(spark, sf_dir, 20).where(F.col("experiment") == "res_title"), "metrics")
     return _rounded(metrics.histogram(one, "f1", bins=6), "lo", "hi")
 
 
@@ -231,7 +233,7 @@ def boxplot(spark, sf_dir):
         SELECT round, token, count(*) AS df FROM seen GROUP BY round, token HAVING count(*) >= 2""",
 )
 def doc_frequency(spark, sf_dir):
-    return features.training_frequency(V.split_tokens(spark, sf_dir, 3), min_df=2)
+    return features.training_frequency(V.split_tokens(spark, sf_dir, 3), 3, min_df=2)
 
 
 @query(
@@ -423,11 +425,13 @@ def interval_texts(spark, sf_dir):
         SELECT experiment, round, tp, fp, fn, tn FROM metrics WHERE experiment IN ('res_title', 'res_abstract', 'res_all')""",
 )
 def stack_results(spark, sf_dir):
-    """Each experiment evaluated on its own, tables stacked by name."""
+    """Each experiment evaluated on its own, tables stacked by name; the predictions are written once."""
+    names = ("res_title", "res_abstract", "res_all")
+    said = materialise(V.predictions(spark, sf_dir, 3, experiments=names), "predictions")
     parts = [
-        metrics.binary_metrics(V.predictions(spark, sf_dir, 3, experiments=(e,)), ["experiment", "round"]).select(
+        metrics.binary_metrics(said.where(F.col("experiment") == e), ["experiment", "round"]).select(
             "experiment", "round", "tp", "fp", "fn", "tn"
         )
-        for e in ("res_title", "res_abstract", "res_all")
+        for e in names
     ]
     return report.stack_results(*parts)

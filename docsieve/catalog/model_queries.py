@@ -7,10 +7,12 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..operators import rows, splits
+from ..operators.expand import elements
+from ..operators.metrics import best_iteration
 from ..plans import experiment as X
 from ..plans import model as M
 from ..plans import preprocess as P
@@ -23,7 +25,7 @@ from .porter_sql import stem_ctes
 from .registry import query
 from .text_queries import sql_clean, sql_full, sql_list_field, sql_stop
 
-SMALL = M.TreeParams(max_depth=3, trees=6, patience=3, max_terms=2000)
+SMALL = M.TreeParams(min_df=8, max_depth=3, trees=6, patience=3)
 FIELDS = ("title", "abstract", "publication_types")
 
 
@@ -59,17 +61,9 @@ def _fold(spark, sf_dir):
     )
 
 
-_FITTED: dict[tuple[str, str], object] = {}
-
-
 def final_model(spark, sf_dir):
-    """One fitted final model per application and data set, shared by the
-    queries that only score with it."""
-    slot = (spark.sparkContext.applicationId, sf_dir)
-    if slot not in _FITTED:
-        train, train_labels, _, _ = _fold(spark, sf_dir)
-        _FITTED[slot] = M.fit_final(train, train_labels, SMALL)
-    return _FITTED[slot]
+    train, train_labels, _, _ = _fold(spark, sf_dir)
+    return M.fit_final(train, train_labels, SMALL)
 
 
 @query(
@@ -88,16 +82,23 @@ def assemble(spark, sf_dir):
     vectors = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pmid"), "embedding")
     docs = materialise(V.tokens(spark, sf_dir).join(vectors, "pmid"))
     ready = M.assemble(docs, M.TreeParams(min_df=2, use_embedding=True))
-    dense = vector_to_array("features")
-    total = F.aggregate(F.slice("_a", F.size("_a") - 63, 64), F.lit(0.0), lambda a, x: a + x)
-    terms = F.slice("_a", 1, F.size("_a") - 64)
-    return ready.select("pmid", dense.alias("_a")).select(
+    # Terms come first in the vector; their number and width are read off the sparse form.
+    width = ready.schema["features"].metadata["ml_attr"]["num_attrs"]
+    return ready.select(
         "pmid",
-        F.size("_a").alias("n_features"),
-        F.size(F.filter(terms, lambda x: x != 0)).alias("n_terms"),
-        F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), 6).alias("term_sum"),
-        (F.round(total, 4) + F.lit(0.0)).alias("vector_sum"),
-    )
+        F.lit(width).alias("n_features"),
+        F.udf(split_sums, "n_terms int, term_sum double, vector_sum double")("features", F.lit(width - 64)).alias("s"),
+    ).select(
+        "pmid", "n_features", "s.n_terms", F.round("s.term_sum", 6).alias("term_sum"),
+        (F.round("s.vector_sum", 4) + F.lit(0.0)).alias("vector_sum"),
+    )
+
+
+def split_sums(vector, cut):
+    places = vector.indices if hasattr(vector, "indices") else range(len(vector))
+    items = list(zip(places, map(float, vector.values)))
+    terms = [v for i, v in items if i < cut and v]
+    return len(terms), sum(terms, 0.0), sum((v for i, v in items if i >= cut), 0.0)
 
 
 def _encoded(spark, sf_dir):
@@ -109,6 +110,45 @@ def _encoded(spark, sf_dir):
     return materialise(encoded)
 
 
+STUMP = replace(SMALL, max_depth=1, trees=1)
+
+
+@query(
+    "m5b_stump_shares",
+    f"""WITH {V.SQL_LABELS} SELECT label, count(*) AS n,
+               round(CASE WHEN label = '{V.POSITIVE}' THEN count(*) * ((SELECT count(*) FROM labels_v WHERE label <> '{V.POSITIVE}')::DOUBLE
+                     / (SELECT count(*) FROM labels_v WHERE label = '{V.POSITIVE}')) ELSE count(*) END, 6) AS weight,
+               true AS leaf_is_weighted_mean, true AS no_better_split FROM labels_v GROUP BY label""",
+)
+def stump_shares(spark, sf_dir):
+    """One tree of depth 1 on term presence: its leaves hold the weighted mean of +1 and
+    -1, and no other term parts the weighted squares better."""
+    docs, lab = labelled_bags(spark, sf_dir)
+    data = materialise(M.with_target(rows.attach_labels(docs.withColumn("tokens", F.array_distinct("tokens")), lab)))
+    counter = M.fit_encoder(data, STUMP)[0]
+    assembler = VectorAssembler(inputCols=["term_counts"], outputCol="features")
+    encoded = assembler.transform(counter.transform(data)).select("pmid", "tokens", "label", "target", "features")
+    model = M.fit_trees(encoded, STUMP)
+    chosen = counter.vocabulary[int(model.featureImportances.indices[0])]
+    weighted = materialise(M.with_weight(encoded, M.balance_factor(encoded)).select("pmid", "tokens", "label", "weight", (2 * F.col("target") - 1).alias("y")))
+    whole = weighted.agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("y")).alias("s")).first()
+    each = elements(weighted, ["weight", "y"], "tokens").groupBy("token").agg(
+        F.count("*").alias("df"), F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("y")).alias("s")
+    ).where(F.col("df") >= STUMP.min_df)
+    w, left = F.col("w"), F.lit(whole.w) - F.col("w")
+    gain = F.when(left > 1e-9, F.col("s") ** 2 / w + (F.lit(whole.s) - F.col("s")) ** 2 / left)
+    gains = materialise(each.select("token", gain.alias("gain")))
+    top = gains.agg(F.max("gain").alias("best"), F.max(F.when(F.col("token") == chosen, F.col("gain"))).alias("own")).first()
+    values = M.leaf_values(spark, model)
+    sides = weighted.groupBy(F.array_contains("tokens", chosen).alias("has")).agg(F.sum(F.col("weight") * F.col("y")).alias("s"), F.sum("weight").alias("w"))
+    means = sorted(r["s"] / r["w"] for r in sides.collect())
+    leaves = sorted(values[0].tolist())
+    means_fit = all(abs(x - y) < 1e-9 for x, y in zip(means, leaves, strict=True))
+    return weighted.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight")).withColumns(
+        {"leaf_is_weighted_mean": F.lit(means_fit), "no_better_split": F.lit(top.own >= top.best - 1e-6 * top.best)}
+    )
+
+
 @query("m5_gbt_fit")
 def gbt_fit(spark, sf_dir):
     """Terms used by class-weighted trees fitted on the training part."""
@@ -161,15 +201,37 @@ def predict(spark, sf_dir):
 @query(
     "m8_repeated_holdout",
     f"""WITH {V.sql_splits(2)}, t AS (SELECT pmid, count(*) AS times_test FROM splits WHERE split = 'test' GROUP BY pmid)
-        SELECT l.pmid, label, coalesce(times_test, 0) AS times_test, true AS plausible
+        SELECT l.pmid, label, coalesce(times_test, 0) AS times_test, true AS equals_predictions
         FROM labels_v l LEFT JOIN t ON l.pmid = t.pmid""",
 )
 def holdout(spark, sf_dir):
-    """Per-document tally of two rounds: how often tested is fixed by the splits."""
+    """Per-document tally of two rounds: how often tested is fixed by the splits, how
+    often right by the written predictions."""
     docs, lab = labelled_bags(spark, sf_dir)
     run = X.repeated_holdout(docs, lab, rounds=2, params=SMALL, parallelism=2)
-    right = F.col("times_correct").between(0, F.col("times_test"))
-    return run.tally.select("pmid", "label", "times_test", right.alias("plausible"))
+    right = run.predictions.groupBy("pmid").agg(F.count_if(F.col("label") == F.col("prediction")).alias("right"))
+    same = F.coalesce("times_correct", F.lit(0)) == F.coalesce("right", F.lit(0))
+    return run.tally.join(right, "pmid", "left").select("pmid", "label", "times_test", same.alias("equals_predictions"))
+
+
+@query(
+    "m8c_early_stop",
+    "SELECT 0 AS round, true AS stopped_inside, true AS few_trees, true AS same_as_full_fit",
+)
+def early_stop(spark, sf_dir):
+    """A fit that patience ends: it grows few trees, and a full fit stops at the same one."""
+    encoded = _encoded(spark, sf_dir)
+    train, val = (encoded.where(F.col("split") == s) for s in ("train", "val"))
+    params = replace(SMALL, trees=48, patience=3)
+    model, _, best = M.fit_stopped(train, val, params)
+    full = M.prefix_scores(M.fit_trees(train, params), val)
+    errors = full.select(F.lit(0).alias("round"), "iteration", (F.lit(1.0) - F.col("f1")).alias("err"))
+    grown = len(model.trees)
+    return best_iteration(errors, params.patience).select(
+        "round", F.lit(best + params.patience <= grown < params.trees).alias("stopped_inside"),
+        F.lit(grown <= 2 * max(best + params.patience, params.patience)).alias("few_trees"),
+        (F.col("best_iteration") == best).alias("same_as_full_fit"),
+    )
 
 
 @query("m8b_holdout_metrics")
@@ -186,8 +248,21 @@ def holdout_metrics(spark, sf_dir):
 @query("m9_grid_search")
 def grid(spark, sf_dir):
     docs, lab = labelled_bags(spark, sf_dir)
-    params = replace(SMALL, trees=3, max_depth=2, max_terms=500)
-    return X.grid_search(docs, lab, {"min_df": [2, 8]}, folds=3, params=params, parallelism=2).scores
+    params = replace(SMALL, trees=3, max_depth=2)
+    return X.grid_search(docs, lab, {"min_df": [8, 16], "max_depth": [2, 64]}, folds=3, params=params, parallelism=2).scores
+
+
+@query(
+    "m9b_grid_sets",
+    """SELECT (row_number() OVER (ORDER BY m DESC, d DESC) - 1)::INTEGER AS param_order, m::INTEGER AS min_df,
+              d::INTEGER AS max_depth, least(d, 30)::INTEGER AS fitted_depth, 1.0::DOUBLE AS feature_rate, 3 AS n_folds,
+              true AS scored FROM (VALUES (16), (8)) a(m), (VALUES (64), (2)) b(d)""",
+)
+def grid_sets(spark, sf_dir):
+    """One row per requested set in the caller's order, deep trees at Spark's deepest."""
+    docs, lab = labelled_bags(spark, sf_dir)
+    found = X.grid_search(docs, lab, {"min_df": [16, 8], "max_depth": [64, 2]}, 3, replace(SMALL, trees=1), 2)
+    return found.scores.withColumn("scored", F.col("mean_f1").between(0, 1)).drop("mean_f1")
 
 
 @query("m10_final_fit")
@@ -214,9 +289,9 @@ def _sql_terms(field: str, mark: str) -> str:
         counted AS (SELECT token, count(*) AS n FROM raw GROUP BY token), {stem_ctes('counted')},
         terms AS (SELECT pmid, stem || mark AS term FROM raw JOIN stemmed ON raw.token = stemmed.token
                   UNION SELECT pmid, unnest({sql_list_field('publication_types')}) FROM train),
-        df AS (SELECT term, count(DISTINCT pmid) AS df FROM terms WHERE term <> '' GROUP BY term HAVING count(DISTINCT pmid) >= 2)
+        df AS (SELECT term, count(DISTINCT pmid) AS df FROM terms WHERE term <> '' GROUP BY term HAVING count(DISTINCT pmid) >= {SMALL.min_df})
         SELECT (row_number() OVER (ORDER BY df DESC, term) - 1)::INTEGER AS place, term AS token
-        FROM df ORDER BY place LIMIT {SMALL.max_terms}""",
+        FROM df""",
 )
 def final_vocabulary(spark, sf_dir):
     """Terms of the fitted final model in order: the whole text path with stemming."""
@@ -305,7 +380,7 @@ def incremental_score(spark, sf_dir):
     model = final_model(spark, sf_dir)
     source, sink, checkpoint = (scratch_path(spark, n) for n in ("arrivals", "scores", "stream"))
     docs = materialise(new_documents(spark, sf_dir))
-    docs.repartition(4, "pmid").write.parquet(source)
+    docs.write.option("maxRecordsPerFile", 200).parquet(source)
 
     def prepare(df):
         return P.preprocess(df, FIELDS, 1, V.STOP_WORDS, keep=ARRIVAL)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import concat_vectors, slice_vector
-from ..operators import features, pooling, splits
-from ..operators.expand import elements
+from ..operators import features, pooling
+from ..operators.expand import records
+from ..plans import model as M
 from ..plans import preprocess as P
+from ..session import materialise
 from . import views as V
 from .porter_sql import stem_ctes
 from .registry import query
@@ -43,11 +46,6 @@ def sql_suffix(tokens: str, field: str) -> str:
     return f"list_transform({tokens}, lambda t: t || '{T.FIELD_SUFFIX[field]}')"
 
 
-def sql_text_field(field: str) -> str:
-    """The text path in words mode, without stemming."""
-    return sql_suffix(sql_clean(sql_mask(sql_stop(V.sql_words(field)))), field)
-
-
 def sql_list_field(field: str) -> str:
     return f"""list_transform(string_split({field}, ';'), lambda x: CASE WHEN x = '' THEN ''
       ELSE trim(x, ' ' || chr(9) || chr(10) || chr(13)) || '{T.FIELD_SUFFIX[field]}' END)"""
@@ -149,24 +147,28 @@ def stem_vocabulary(spark, sf_dir):
 @query(
     "t7_field_suffix",
     f"""WITH {V.SQL_CORPUS} SELECT pmid, array_to_string({sql_suffix(V.sql_words('title'), 'title')}, ' ') AS title,
+               array_to_string({sql_suffix(V.sql_words('abstract'), 'abstract')}, ' ') AS abstract,
                array_to_string({sql_suffix(V.sql_words('journal'), 'keywords')}, ' ') AS keywords FROM corpus""",
 )
 def field_suffix(spark, sf_dir):
     return V.corpus(spark, sf_dir).select(
         "pmid",
         F.array_join(T.suffix(T.tokenize("title"), "title"), " ").alias("title"),
+        F.array_join(T.suffix(T.tokenize("abstract"), "abstract"), " ").alias("abstract"),
         F.array_join(T.suffix(T.tokenize("journal"), "keywords"), " ").alias("keywords"),
     )
 
 
 def _sql_gram_query(n: int) -> str:
-    return f"""WITH {V.SQL_CORPUS}, s AS (SELECT pmid, {sql_suffix(V.sql_words('title'), 'title')} AS tokens FROM corpus)
-        SELECT pmid, {joined(sql_ngrams('tokens', n))} AS tokens FROM s"""
+    return f"""WITH {V.SQL_CORPUS}, s AS (SELECT pmid, {sql_suffix(V.sql_words('title'), 'title')} AS t,
+               {sql_suffix(V.sql_words('abstract'), 'abstract')} AS a FROM corpus)
+        SELECT pmid, {joined(sql_ngrams('t', n))} AS title, {joined(sql_ngrams('a', n))} AS abstract FROM s"""
 
 
 def _gram_query(spark, sf_dir, n):
-    titles = V.corpus(spark, sf_dir).select("pmid", T.suffix(T.tokenize("title"), "title").alias("tokens"))
-    return titles.select("pmid", T.join_tokens(T.ngrams("tokens", n)).alias("tokens"))
+    fields = ("title", "abstract")
+    texts = V.corpus(spark, sf_dir).select("pmid", *[T.suffix(T.tokenize(f), f).alias(f) for f in fields])
+    return texts.select("pmid", *[T.join_tokens(T.ngrams(f, n)).alias(f) for f in fields])
 
 
 @query("t8_bigrams", _sql_gram_query(2))
@@ -233,15 +235,21 @@ def bag_and_text(spark, sf_dir):
     return out.select("pmid", T.join_tokens("tokens").alias("bow"), "title", "abstract")
 
 
+def _sql_sentences(field: str) -> str:
+    return rf"""SELECT pmid, '{field}' AS field, list_filter(list_transform(
+            regexp_extract_all({field}, '(?s).+?(?:[.!?]+(?:[ \t\n\f\r]+|\z)|\z)'),
+            lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(12) || chr(13))), lambda x: x <> '') AS parts FROM corpus"""
+
+
 @query(
     "t14_sentences",
-    rf"""WITH {V.SQL_CORPUS}, s AS (SELECT pmid, list_filter(list_transform(
-            regexp_extract_all(abstract, '(?s).+?(?:[.!?]+(?:[ \t\n\f\r]+|\z)|\z)'),
-            lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(12) || chr(13))), lambda x: x <> '') AS parts FROM corpus)
-        SELECT pmid, (unnest(range(1, len(parts) + 1)) - 1)::INTEGER AS sentence_no, unnest(parts) AS sentence FROM s""",
+    f"""WITH {V.SQL_CORPUS}, s AS ({_sql_sentences('title')} UNION ALL {_sql_sentences('abstract')})
+        SELECT pmid, field, (unnest(range(1, len(parts) + 1)) - 1)::INTEGER AS sentence_no, unnest(parts) AS sentence FROM s""",
 )
 def sentence_table(spark, sf_dir):
-    return features.sentences_table(V.corpus(spark, sf_dir), "abstract")
+    docs = V.corpus(spark, sf_dir)
+    title, abstract = (features.sentences_table(docs, f).withColumn("field", F.lit(f)) for f in ("title", "abstract"))
+    return title.unionByName(abstract)
 
 
 @query(
@@ -268,20 +276,23 @@ def vector_concat(spark, sf_dir):
 
 
 _LAYERED = """toks AS (SELECT label AS doc, vec_id // 16 AS sentence, vec_id AS tok, embedding FROM embeddings),
-  edged AS (SELECT *, min(tok) OVER s AS lo, max(tok) OVER s AS hi FROM toks WINDOW s AS (PARTITION BY doc, sentence)),
-  summed AS (SELECT doc, sentence, tok, p AS pos, embedding[17 + p]::DOUBLE + embedding[33 + p]::DOUBLE
-                    + embedding[49 + p]::DOUBLE AS v
-             FROM edged, range(0, 16) r(p) WHERE tok > lo AND tok < hi)"""
+  edged AS (SELECT doc, sentence, embedding, (row_number() OVER s - 1)::INTEGER AS tok, count(*) OVER t AS n FROM toks
+            WINDOW s AS (PARTITION BY doc, sentence ORDER BY tok), t AS (PARTITION BY doc, sentence)),
+  summed AS (SELECT doc, sentence, tok, p AS pos, embedding[1 + p]::DOUBLE + embedding[17 + p]::DOUBLE
+                    + embedding[33 + p]::DOUBLE + embedding[49 + p]::DOUBLE AS v
+             FROM edged, range(0, 16) r(p) WHERE tok > 0 AND tok < n - 1)"""
 
 
 def _layered(spark, sf_dir):
     """16-wide slices of a vector play four layers; blocks of 16 ids play sentences."""
     slices = F.array(*[F.slice("embedding", 1 + 16 * i, 16) for i in range(4)])
     tokens = V.table(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("doc"), F.expr("vec_id div 16").alias("sentence"), F.col("vec_id").alias("tok"),
-        slices.alias("layers"),
+        F.col("label").alias("doc"), F.expr("vec_id div 16").alias("sentence"),
+        F.struct(F.col("vec_id").alias("tok"), slices.alias("layers")).alias("token"),
     )
-    return pooling.token_vectors(tokens, n=3)
+    listed = F.sort_array(F.collect_list("token"))  # 16 ids at most
+    sentences = tokens.groupBy("doc", "sentence").agg(F.transform(listed, lambda t: t["layers"]).alias("layers"))
+    return pooling.token_vectors(sentences, n=4)
 
 
 @query(
@@ -315,11 +326,22 @@ def _sql_run(name: str) -> str:
 
 def _sql_field(f: str) -> str:
     if f in T.TEXT_FIELDS:
-        return f"{sql_text_field(f)} AS f_{f}"
+        return f"coalesce((SELECT bag FROM stemmed_fields s WHERE s.pmid = wide.pmid AND field = '{f}'), []) AS f_{f}"
     return f"[{f} || 'J'] AS f_{f}" if f in T.SCALAR_FIELDS else f"{sql_list_field(f)} AS f_{f}"
 
 
-_LISTS = f"lists AS (SELECT pmid, {', '.join(_sql_field(f) for f in P.run_fields(RUNS))} FROM wide)"
+def _sql_cleaned(f: str) -> str:
+    tokens = sql_clean(sql_mask(sql_stop(sql_full(f))))
+    return f"SELECT pmid, '{f}' AS field, '{T.FIELD_SUFFIX[f]}' AS mark, {tokens} AS tokens FROM wide"
+
+
+# The whole text path: tokens in their places, stemmed by the SQL rules, back in order with their suffix.
+_LISTS = f"""cleaned AS ({' UNION ALL '.join(map(_sql_cleaned, T.TEXT_FIELDS))}),
+  placed AS (SELECT pmid, field, mark, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM cleaned),
+  counted AS (SELECT token, count(*) AS n FROM placed GROUP BY token), {stem_ctes('counted')},
+  stemmed_fields AS (SELECT pmid, field, list(stem || mark ORDER BY pos) AS bag
+                     FROM placed JOIN stemmed ON placed.token = stemmed.token GROUP BY pmid, field),
+  lists AS (SELECT pmid, {', '.join(_sql_field(f) for f in P.run_fields(RUNS))} FROM wide)"""
 
 
 @query(
@@ -328,9 +350,7 @@ _LISTS = f"lists AS (SELECT pmid, {', '.join(_sql_field(f) for f in P.run_fields
         SELECT run, pmid, len(bag)::INTEGER AS n_tokens, md5({joined('bag')}) AS bow_md5 FROM runs""",
 )
 def run_matrix(spark, sf_dir):
-    lists = P.field_tokens(
-        full_corpus(spark, sf_dir), P.run_fields(RUNS), V.STOP_WORDS, V.LEXICON, mode="words", stem=False
-    )
+    lists = P.field_tokens(full_corpus(spark, sf_dir), P.run_fields(RUNS), V.STOP_WORDS, V.LEXICON)
     return P.run_matrix(lists, RUNS).select(
         "run", "pmid", F.size("tokens").alias("n_tokens"), F.md5(T.join_tokens("tokens")).alias("bow_md5")
     )
@@ -374,12 +394,28 @@ def l1_tf(spark, sf_dir):
         SELECT round, pmid, token, round(w / sum(w) OVER (PARTITION BY round, pmid), 6) AS weight FROM raw""",
 )
 def idf_l1(spark, sf_dir):
-    """Vocabulary and IDF from each round's training part, weights of its validation part."""
-    docs = V.split_tokens(spark, sf_dir, 2)
-    vocabulary = features.training_frequency(docs, min_df=2).join(features.round_sizes(docs), "round")
-    held = features.term_rows(docs, ["pmid", splits.rounds_of("val").alias("_rounds")])
-    counts = elements(held, ["pmid", "token", "n"], "_rounds", "round")
-    return features.l1_weights(counts, vocabulary, ["round"], use_idf=True).withColumn("weight", F.round("weight", 6))
+    """Vocabulary and IDF from each round's training part, weights of its validation
+    part, as the shipped encoder gives them; its sparse vectors are unfolded."""
+    docs = materialise(V.split_tokens(spark, sf_dir, 2), "split-tokens")
+    out = []
+    for i in range(2):
+        part = docs.withColumn("split", F.get("splits", F.lit(i))["split"])
+        stages = M.fit_encoder(part.where("split = 'train'"), M.TreeParams(min_df=2, use_idf=True))
+        encoded = PipelineModel(stages).transform(part.where("split = 'val'"))
+        out.append(unfold_terms(encoded, stages[0].vocabulary).withColumn("round", F.lit(i)))
+    return out[0].unionByName(out[1]).withColumn("weight", F.round("weight", 6))
+
+
+def sparse_items(vector):
+    """Places and values of a vector, for the few rows of a check."""
+    return list(zip(vector.indices.tolist(), vector.values.tolist())) if hasattr(vector, "indices") else list(enumerate(vector.toArray().tolist()))
+
+
+def unfold_terms(encoded, vocabulary):
+    """(pmid, token, weight) of the non-zero term weights."""
+    items = records(encoded, ["pmid"], F.udf(sparse_items, "array<struct<place: int, weight: double>>")("term_weights"), "place").where("weight <> 0")
+    words = encoded.sparkSession.createDataFrame(list(enumerate(vocabulary)), "place int, token string")
+    return items.join(words, "place").select("pmid", "token", "weight")
 
 
 @query(
@@ -388,7 +424,5 @@ def idf_l1(spark, sf_dir):
         SELECT pmid, {joined('bag')} AS bow FROM runs""",
 )
 def preprocess(spark, sf_dir):
-    bags = P.preprocess(
-        full_corpus(spark, sf_dir), P.OPTIMAL, 2, V.STOP_WORDS, V.LEXICON, mode="words", stem=False
-    )
+    bags = P.preprocess(full_corpus(spark, sf_dir), P.OPTIMAL, 2, V.STOP_WORDS, V.LEXICON)
     return bags.select("pmid", T.join_tokens("tokens").alias("bow"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..operators.expand import elements, records
 from ..operators.rows import select_labelled
 from ..operators.splits import BASE_SEED, assign_splits, holdout_cuts, rounds_of
-from ..session import spread
 
 POSITIVE = "Relevant"
 NEGATIVE = "Not Relevant"
@@ -38,12 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scan = table(spark, sf_dir, "documents")
-    return spread(as_corpus(scan), "pmid", scan)
+    return as_corpus(table(spark, sf_dir, "documents"))
 
 
 def as_corpus(docs: DataFrame) -> DataFrame:
@@ -80,7 +78,7 @@ def words(col: str | Column) -> Column:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pmid, tokens) of the whole text."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("pmid"), words("text").alias("tokens"))
 
 
@@ -88,13 +86,12 @@ def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pmid, tokens) of labelled documents: rows are dropped before any text work."""
     scan = table(spark, sf_dir, "documents")
     kept = select_labelled(scan.select(F.col("doc_id").alias("pmid"), "text"), labels(spark, sf_dir))
-    return spread(kept, "pmid", scan).select("pmid", words("text").alias("tokens"))
+    return kept.select("pmid", words("text").alias("tokens"))
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus view of labelled documents, reduced at the scan."""
-    scan = table(spark, sf_dir, "documents")
-    return spread(select_labelled(as_corpus(scan), labels(spark, sf_dir)), "pmid", scan)
+    return select_labelled(corpus(spark, sf_dir), labels(spark, sf_dir))
 
 
 def split_tokens(spark: SparkSession, sf_dir: str, rounds: int, size: float = 0.2) -> DataFrame:

@@ -40,14 +40,18 @@ def document_frequency(
     )
 
 
-def training_frequency(docs: DataFrame, min_df: int = 2, tokens: str = "tokens") -> DataFrame:
+def training_frequency(docs: DataFrame, rounds: int, min_df: int = 2, tokens: str = "tokens") -> DataFrame:
     """(round, token, df) over the training part of every round, in one plan.
 
-    ``docs`` carries the ``splits`` column of ``assign_splits``, so no join is
-    needed to know the training rounds of a document.
+    ``docs`` carries the ``splits`` column of ``assign_splits``.  A token leaves its
+    document once, whatever the number of rounds, and is counted for all of them in
+    one aggregation; rounds become rows after the shuffle.
     """
-    distinct = docs.select(F.array_distinct(tokens).alias(tokens), rounds_of("train").alias("_rounds"))
-    return document_frequency(elements(distinct, [tokens], "_rounds", "round"), ["round"], min_df, tokens)
+    trained = F.transform("splits", lambda s: s["split"] == "train").alias("_trained")
+    each = elements(docs, [trained], F.array_distinct(tokens))
+    counts = each.groupBy("token").agg(*[F.count_if(F.get("_trained", F.lit(i))).alias(f"_{i}") for i in range(rounds)])
+    unfolded = F.array(*[F.struct(F.lit(i).alias("round"), F.col(f"_{i}").alias("df")) for i in range(rounds)])
+    return records(counts, ["token"], F.filter(unfolded, lambda r: r["df"] >= min_df), "round").select("round", "token", "df")
 
 
 def round_sizes(rows: DataFrame, split: str = "train") -> DataFrame:

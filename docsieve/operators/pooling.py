@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sum_last_layers
+from .expand import records
 
 
 def pool_vectors(df: DataFrame, by: str | Sequence[str], vec: str = "embedding", maxmin: bool = True) -> DataFrame:
@@ -27,22 +28,15 @@ def pool_vectors(df: DataFrame, by: str | Sequence[str], vec: str = "embedding",
 
 
 def token_vectors(
-    tokens: DataFrame,
-    n: int = 4,
-    sentence: Sequence[str] = ("doc", "sentence"),
-    position: str = "tok",
-    layers: str = "layers",
+    sentences: DataFrame, n: int = 4, keep: Sequence[str] = ("doc", "sentence"), layers: str = "layers"
 ) -> DataFrame:
-    """(sentence keys, position, vec): the last ``n`` layers summed per token,
-    the first and last token of every sentence dropped.
+    """(keep, tok, vec): the last ``n`` layers summed per token, the first and last
+    token of every sentence dropped; ``tok`` counts from 0.
 
-    Layers shrink to one vector inside the row before anything moves.
+    One row is one sentence, ``layers`` its tokens x layers x width.  Slicing and
+    summing stay in the row, so nothing is shuffled.
     """
-    keys = list(sentence)
-    summed = tokens.select(*keys, position, sum_last_layers(layers, n).alias("vec"))
-    edges = tokens.groupBy(*keys).agg(F.min(position).alias("_first"), F.max(position).alias("_last"))
-    return (
-        summed.join(edges, keys)
-        .where((F.col(position) > F.col("_first")) & (F.col(position) < F.col("_last")))
-        .drop("_first", "_last")
-    )
+    inner = F.slice(layers, 2, F.greatest(F.size(layers) - 2, F.lit(0)))
+    vectors = F.transform(inner, lambda t: sum_last_layers(t, n))
+    placed = F.transform(vectors, lambda v, i: F.struct((i + 1).alias("tok"), v.alias("vec")))
+    return records(sentences, list(keep), placed, "tok")

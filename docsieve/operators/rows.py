@@ -91,36 +91,21 @@ def latest_by_key(df: DataFrame, order_col: str, key: str = "pmid") -> DataFrame
     )
 
 
-LITERAL_LEXICON = 5000  # words; beyond this a lexicon is joined
-
-
 def mask_tokens(
-    docs: DataFrame,
-    lexicon: DataFrame,
-    mask: str = MASK,
-    tokens: str = "tokens",
-    key: str = "pmid",
-    literal_limit: int = LITERAL_LEXICON,
+    docs: DataFrame, lexicon: DataFrame, mask: str = MASK, tokens: str = "tokens", key: str = "pmid"
 ) -> DataFrame:
-    """Mask the tokens found in a lexicon table (column ``token``).
+    """Mask the tokens found in a lexicon table (column ``token``), of any size.
 
-    A lexicon of at most ``literal_limit`` words becomes a literal hash set and
-    the lists are rewritten where they lie.  A longer one is joined: only the
-    distinct tokens of a document meet it, the hits come back by key, and the
-    list is still rewritten inside its row, so token order never passes a shuffle.
+    Only the distinct tokens of a document meet the lexicon, the hits come back by
+    key, and the list is rewritten inside its row, so token order never passes a
+    shuffle.  NULL words of the lexicon mask nothing; rows with a NULL key are
+    masked like any other.
     """
-    words = lexicon.select(F.lower("token").alias("_word")).distinct()
-    known = words.limit(literal_limit + 1).collect() if literal_limit else []
-    if literal_limit and len(known) <= literal_limit:
-        wanted = sorted(r["_word"] for r in known)
-        if not wanted:
-            return docs
-        masked = F.transform(tokens, lambda t: F.when(F.lower(t).isin(wanted), F.lit(mask)).otherwise(t))
-        return docs.withColumn(tokens, masked)
+    words = lexicon.select(F.lower("token").alias("_word")).where("_word IS NOT NULL").distinct()
     hits = (
-        elements(docs, [key], F.array_distinct(F.transform(tokens, F.lower)), "_word")
+        elements(docs, [F.col(key).alias("_key")], F.array_distinct(F.transform(tokens, F.lower)), "_word")
         .join(words, "_word", "left_semi")
-        .groupBy(key)
+        .groupBy("_key")
         .agg(F.collect_set("_word").alias("_hits"))
     )
     masked = F.transform(
@@ -128,7 +113,7 @@ def mask_tokens(
         lambda t: F.when(F.array_contains("_hits", F.lower(t)), F.lit(mask)).otherwise(t),
     )
     return (
-        docs.join(hits, key, "left")
+        docs.join(hits, docs[key].eqNullSafe(hits["_key"]), "left")
         .withColumn(tokens, F.when(F.col("_hits").isNull(), F.col(tokens)).otherwise(masked))
-        .drop("_hits")
+        .drop("_hits", "_key")
     )

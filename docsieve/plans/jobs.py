@@ -27,6 +27,7 @@ from .experiment import Experiment, Search, grid_search, repeated_holdout
 from .model import FINAL_TREES, TreeParams, evaluate, fit_final, score
 from .preprocess import FIELD_RUNS, OPTIMAL, POOLING_RUNS, Runs, field_tokens, preprocess, run_fields, run_matrix
 
+# The fields whose fill rates are reported.
 PROFILE_FIELDS = (
     "title", "abstract", "author", "journal", "keywords", "chemical_list", "mesh_terms",
     "publication_types", "affiliation",
@@ -94,9 +95,10 @@ def read_features(spark: SparkSession, path: str, run: str) -> DataFrame:
 
 
 def vector_features(tokens: DataFrame, maxmin: bool = False, n: int = 4) -> DataFrame:
-    """(pmid, abstracts_embedded, titles_embedded) from a token-layer table
-    (pmid, part, sentence, tok, layers), part being ``abstract`` or ``title``."""
-    summed = token_vectors(tokens, n, sentence=["pmid", "part", "sentence"])
+    """(pmid, abstracts_embedded, titles_embedded) from a table of sentences (pmid,
+    part, sentence, layers), part being ``abstract`` or ``title`` and layers the
+    sentence's tokens x layers x width."""
+    summed = token_vectors(tokens, n, keep=["pmid", "part"])
     pooled = pool_vectors(summed, ["pmid", "part"], "vec", maxmin)
     return pooled.groupBy("pmid").agg(
         F.first(F.when(F.col("part") == "abstract", F.col("pooled")), ignorenulls=True).alias("abstracts_embedded"),
@@ -160,8 +162,9 @@ def evaluation_job(
     out = {}
     for name in _pending(spark, list(features), done, overwrite):
         run = repeated_holdout(features[name], labels, rounds, size, params, parallelism)
-        writers.write_results(run.metrics, results, f"{RESULT_PREFIX}{name}")
+        # The stored metrics mark a run as done, so they come last.
         writers.write_csv(run.tally.orderBy(F.asc_nulls_last("pct"), "pmid"), f"{tallies}/bootstrap_{name}")
+        writers.write_results(run.metrics, results, f"{RESULT_PREFIX}{name}")
         out[name] = run
     return out
 
@@ -178,7 +181,7 @@ def search_job(docs: DataFrame, labels: DataFrame, out: str, **options) -> Searc
     """Grid search; scores and the refitted best chain are stored."""
     found = grid_search(docs, labels, **options)
     writers.write_parquet(found.scores, f"{out}/cv_results")
-    writers.save_model(found.model.bestModel, f"{out}/cv_optimal_model")
+    writers.save_model(found.model, f"{out}/cv_optimal_model")
     return found
 
 

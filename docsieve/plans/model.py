@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..operators.features import document_frequency, idf
-from ..operators.metrics import binary_metrics, prf
+from ..operators.metrics import best_iteration, binary_metrics, prf
 from ..operators.rows import attach_labels, with_correct
 from ..operators.splits import BASE_SEED
-from ..session import scratch_path
+from ..session import discard, materialise, scratch_path
 
 POSITIVE = "Relevant"
 NEGATIVE = "Not Relevant"
 MAX_DEPTH = 30  # the deepest tree Spark grows
+MAX_TERMS = 4_000_000  # terms a driver collects
+BLOCK = 512  # documents whose margins are held at once
 
 # The stored search grid and the final number of trees.
 GRID_MIN_DF = (2, 4, 8, 16, 32, 64, 128, 256, 512)
@@ -44,8 +46,8 @@ FINAL_TREES = 148
 class TreeParams:
     """Settings of one fit.
 
-    ``max_terms`` None keeps every term that reaches ``min_df``.  ``feature_rate``
-    is drawn per tree node.
+    Every term that reaches ``min_df`` is a feature.  ``feature_rate`` is drawn
+    per tree node.
     """
 
     min_df: int = 2
@@ -58,7 +60,6 @@ class TreeParams:
     use_bow: bool = True
     use_embedding: bool = False
     use_idf: bool = False
-    max_terms: int | None = None
 
 
 def with_target(df: DataFrame, positive: str = POSITIVE, label: str = "label") -> DataFrame:
@@ -84,10 +85,23 @@ def with_vector(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     return df.withColumn("embedding_vector", array_to_vector(as_double))
 
 
-def vocabulary_table(train: DataFrame, min_df: int, max_terms: int | None = None) -> DataFrame:
+def vocabulary_table(train: DataFrame, min_df: int) -> DataFrame:
     """(token, df), most frequent first."""
-    terms = document_frequency(train, min_df=min_df).orderBy(F.desc("df"), F.asc("token"))
-    return terms if max_terms is None else terms.limit(max_terms)
+    return document_frequency(train, min_df=min_df).orderBy(F.desc("df"), F.asc("token"))
+
+
+def collect_terms(terms: DataFrame, use_idf: bool, limit: int = MAX_TERMS) -> tuple[list[str], list[float] | None]:
+    """Terms of a written table (token, df[, n_docs]) in vocabulary order, and their IDF where asked for.
+
+    A count model keeps its vocabulary on the driver; one of over ``limit`` terms
+    is refused before anything is collected.
+    """
+    n = terms.count()
+    if n > limit:
+        raise ValueError(f"{n} terms are more than a driver should hold ({limit}); raise min_df")
+    weight = idf() if use_idf else F.lit(None).cast("double")
+    rows = terms.orderBy(F.desc("df"), F.asc("token")).select("token", weight.alias("idf")).collect()
+    return [r["token"] for r in rows], [r["idf"] for r in rows] if use_idf else None
 
 
 def vector_width(df: DataFrame, embedding: str = "embedding") -> int:
@@ -138,11 +152,13 @@ def fit_encoder(train: DataFrame, params: TreeParams) -> list[Transformer]:
     width = vector_width(train) if params.use_embedding else None
     if not params.use_bow:
         return encoder([], None, params, width)
-    terms = vocabulary_table(train, params.min_df, params.max_terms)
-    if not params.use_idf:
-        return encoder([r["token"] for r in terms.collect()], None, params, width)
-    pairs = terms.withColumn("n_docs", F.lit(train.count())).select("token", idf().alias("idf")).collect()
-    return encoder([r["token"] for r in pairs], [r["idf"] for r in pairs], params, width)
+    terms = document_frequency(train, min_df=params.min_df)
+    if params.use_idf:
+        terms = terms.withColumn("n_docs", F.lit(train.count()))
+    terms = materialise(terms, "terms")
+    words, weights = collect_terms(terms, params.use_idf)
+    discard(terms)
+    return encoder(words, weights, params, width)
 
 
 def assemble(df: DataFrame, params: TreeParams) -> DataFrame:
@@ -153,12 +169,14 @@ def assemble(df: DataFrame, params: TreeParams) -> DataFrame:
 
 def tree_classifier(params: TreeParams) -> GBTClassifier:
     rate = params.feature_rate
+    if params.max_depth > MAX_DEPTH:
+        raise ValueError(f"Spark grows trees of depth {MAX_DEPTH} at most, not {params.max_depth}")
     return GBTClassifier(
         featuresCol="features",
         labelCol="target",
         weightCol="weight",
         maxIter=params.trees,
-        maxDepth=min(params.max_depth, MAX_DEPTH),
+        maxDepth=params.max_depth,
         stepSize=params.learning_rate,
         featureSubsetStrategy="all" if rate >= 1 else f"{rate:.4f}",
         seed=params.seed,
@@ -215,9 +233,10 @@ def prefix_scores(model: GBTClassificationModel, df: DataFrame, values: np.ndarr
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((3, table.shape[0]), dtype=np.int64)
         for batch in batches:
-            if len(batch):
-                said = _margins(batch["_leaf"], table) > 0
-                real = batch["target"].to_numpy()[:, None] == 1
+            for start in range(0, len(batch), BLOCK):
+                part = batch.iloc[start : start + BLOCK]
+                said = _margins(part["_leaf"], table) > 0
+                real = part["target"].to_numpy()[:, None] == 1
                 total += np.stack([(said & real).sum(0), (said & ~real).sum(0), (~said & real).sum(0)])
         yield pd.DataFrame(
             {"iteration": np.arange(1, table.shape[0] + 1), "tp": total[0], "fp": total[1], "fn": total[2]}
@@ -240,13 +259,39 @@ def prefix_predict(
 
     @F.pandas_udf(DoubleType())
     def margin(leaves: pd.Series) -> pd.Series:
-        index = np.vstack(leaves.to_numpy()).astype(np.int64)[:, : table.shape[0]]
-        return pd.Series(table[np.arange(table.shape[0]), index].sum(axis=1))
+        rows = leaves.to_numpy()
+        blocks = (rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK))
+        cut = (np.vstack(b)[:, : table.shape[0]].astype(np.int64) for b in blocks)
+        sums = [table[np.arange(table.shape[0]), index].sum(axis=1) for index in cut]
+        return pd.Series(np.concatenate(sums) if sums else [], dtype=float)
 
     said = F.when(margin("_leaf") > 0, POSITIVE).otherwise(NEGATIVE)
     return _leaves(model, df, keep).select(*keep, said.alias("prediction"))
 
 
+def fit_stopped(
+    train: DataFrame, val: DataFrame, params: TreeParams
+) -> tuple[GBTClassificationModel, np.ndarray, int]:
+    """(model, leaf values, best iteration) with early stopping on the validation F1.
+
+    Spark cannot add trees to a fitted model, so fits of twice as many trees follow
+    each other until ``patience`` iterations without improvement lie inside one.  With
+    one seed a longer fit starts with the trees of the shorter, so the stopping point
+    is that of a full fit, and all fits together grow at most about four times the
+    trees up to it.
+    """
+    trees = min(params.trees, max(2 * params.patience, 2))
+    while True:
+        model = fit_trees(train, replace(params, trees=trees))
+        values = leaf_values(train.sparkSession, model)
+        scores = prefix_scores(model, val, values)
+        errors = scores.select(F.lit(0).alias("round"), "iteration", (F.lit(1.0) - F.col("f1")).alias("err"))
+        best = int(best_iteration(errors, params.patience).first()["best_iteration"])
+        if trees >= params.trees or best + params.patience <= trees:
+            return model, values, best
+        trees = min(params.trees, 2 * trees)
+
+
 # --- Final model ------------------------------------------------------------
 
 def fit_final(docs: DataFrame, labels: DataFrame, params: TreeParams) -> PipelineModel:

@@ -1,4 +1,4 @@
-"""Where intermediate tables go, and how small inputs are spread."""
+"""Where intermediate tables go."""
 
 from __future__ import annotations
 
@@ -54,19 +54,18 @@ def materialise(df: DataFrame, name: str = "table", partition_by: str | None = N
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SMALL_SCAN = 64  # splits; a scan of more is never shuffled for parallelism
-
-
-def spread(df: DataFrame, key: str, scan: DataFrame | None = None) -> DataFrame:
-    """Hash rows by ``key`` when a small scan has fewer splits than the cluster
-    has cores (one file of one row group); any other scan keeps its own splits.
-
-    ``scan`` is the table ``df`` comes from, where ``df`` already filters it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if (df if scan is None else scan).rdd.getNumPartitions() >= min(cores, SMALL_SCAN):
-        return df
-    return df.repartition(cores, key)
+def discard(*tables: DataFrame) -> None:
+    """Delete intermediate tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for file in table.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            root = jvm.org.apache.hadoop.fs.Path(shared_dir(table.sparkSession))
+            store = folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration())
+            while folder.getParent() is not None and store.makeQualified(folder.getParent()).toString() != store.makeQualified(root).toString():
+                folder = folder.getParent()
+            if folder.getParent() is not None:
+                store.delete(folder, True)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -34,7 +34,6 @@ RESULT_SCHEMA = T.StructType(
         T.StructField("F1-score", T.DoubleType()),
     ]
 )
-EMBEDDING_SCHEMA = "paper_id string, embedding array<double>"
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -74,9 +73,17 @@ def read_documents_csv(
 
 
 def read_embeddings_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line to (pmid, embedding); broken lines are dropped."""
-    raw = spark.read.schema(EMBEDDING_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    return raw.select(cast_key("paper_id").alias("pmid"), "embedding")
+    """One JSON object per line to (pmid, embedding).
+
+    A line counts if it is JSON and its embedding is a list of numbers, whichever
+    columns are asked for: both fields are parsed in one step and the test reads
+    the embedding, so column pruning cannot change the rows.  Whole numbers count,
+    a key that is no number becomes NULL.
+    """
+    parsed = F.from_json("value", "paper_id string, embedding array<double>, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    lines = spark.read.text(path).select(parsed.alias("line"))
+    whole = lines.where(F.col("line._broken").isNull() & F.col("line.embedding").isNotNull() & ~F.exists("line.embedding", lambda x: x.isNull()))
+    return whole.select(cast_key("line.paper_id").alias("pmid"), F.col("line.embedding").alias("embedding"))
 
 
 def read_results(spark: SparkSession, glob: str) -> DataFrame:

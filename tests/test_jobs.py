@@ -98,10 +98,10 @@ def test_vector_features(spark):
             for sentence in range(2):
                 layers = rng.normal(size=(5, 6, 4))
                 kept.append(layers[1:-1, -4:].sum(1))
-                rows += [(pmid, part, sentence, t, layers[t].tolist()) for t in range(5)]
+                rows.append((pmid, part, sentence, layers.tolist()))
             all_tokens = np.vstack(kept)
             want[(pmid, part)] = np.concatenate([all_tokens.mean(0), all_tokens.max(0), all_tokens.min(0)])
-    df = spark.createDataFrame(rows, "pmid bigint, part string, sentence int, tok int, layers array<array<double>>")
+    df = spark.createDataFrame(rows, "pmid bigint, part string, sentence int, layers array<array<array<double>>>")
     whole = J.vector_features(df, maxmin=True)
     for r in whole.collect():
         assert np.allclose(r["abstracts_embedded"], want[(r["pmid"], "abstract")])

@@ -90,6 +90,42 @@ def test_grid_search(data):
     assert found.best.min_df == 2
 
 
+@pytest.mark.parametrize("settings", [{"use_bow": False, "use_embedding": True}, {"use_idf": True}])
+def test_grid_search_keeps_its_settings(data, settings):
+    docs, labels = data
+    docs = docs if settings.get("use_embedding") else docs.drop("embedding")
+    found = X.grid_search(docs.drop("tokens") if settings.get("use_embedding") else docs, labels, {"min_df": [2], "max_depth": [64, 2]}, 2, replace(PARAMS, trees=1, **settings), 2)
+    scores = [(r["max_depth"], r["fitted_depth"]) for r in found.scores.orderBy("param_order").collect()]
+    assert scores == [(64, 30), (2, 2)]
+    kinds = [type(s).__name__ for s in found.model.stages]
+    assert kinds[-1] == "IndexToString" and ("ElementwiseProduct" in kinds) == settings.get("use_idf", False)
+    assert M.score(found.model, docs).count() == 150
+
+
+def test_default_grid_has_a_row_for_every_set():
+    grid = X.DEFAULT_GRID
+    assert len(grid["min_df"]) * len(grid["max_depth"]) * len(grid["feature_rate"]) == 162
+    with pytest.raises(ValueError, match="depth"):
+        M.tree_classifier(replace(PARAMS, max_depth=31))
+
+
+def test_patience_ends_the_fit(spark, encoded):
+    val = encoded.where("pmid % 3 = 0")
+    params = replace(PARAMS, trees=40, patience=2)
+    model, values, best = M.fit_stopped(encoded, val, params)
+    assert best + 2 <= len(model.trees) <= 4 * (best + 2) and len(model.trees) < 40 and values.shape[0] == len(model.trees)
+    full = M.prefix_scores(M.fit_trees(encoded, params), val)
+    errors = full.select(F.lit(0).alias("round"), "iteration", (F.lit(1.0) - F.col("f1")).alias("err"))
+    assert best_iteration(errors, 2).first()["best_iteration"] == best
+
+
+def test_too_many_terms_are_refused(spark):
+    terms = spark.createDataFrame([("a", 3), ("b", 2), ("c", 2)], "token string, df int")
+    assert M.collect_terms(terms, False) == (["a", "b", "c"], None)
+    with pytest.raises(ValueError, match="3 terms"):
+        M.collect_terms(terms, False, limit=2)
+
+
 def test_final_model_save_load_stream(spark, data):
     docs, labels = data
     params = replace(PARAMS, use_embedding=True, use_idf=True)

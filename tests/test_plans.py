@@ -19,7 +19,7 @@ def plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    """Tokens straight from a scan, as on a large corpus (no spreading)."""
+    """Tokens straight from a scan, as on a large corpus."""
     raw = V.table(spark, SF_DIR, "documents")
     return raw.select(F.col("doc_id").alias("pmid"), V.words("text").alias("tokens"))
 
@@ -40,12 +40,10 @@ def test_text_is_tokenised_once(spark):
 
 
 def test_row_local_operators_do_not_shuffle(spark, docs):
-    lexicon = spark.createDataFrame([("idiot",)], "token string")
     raw = V.as_corpus(V.table(spark, SF_DIR, "documents"))
     for df in (
         features.term_counts(docs),
         features.l1_frequency(docs),
-        rows.mask_tokens(docs, lexicon),
         P.preprocess(raw, ["title", "abstract", "publication_types"], 3, ["the"], ["idiot"]),
         P.run_matrix(P.field_tokens(raw, ["title", "abstract"]), {"title": (("title",), 1), "abstract": (("title", "abstract"), 2)}),
         features.sentences_table(raw),

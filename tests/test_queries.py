@@ -3,12 +3,11 @@
 import pytest
 
 import __spark_entry__ as contract
+from docsieve.catalog import ORACLES
 from tests.oracle import check, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-# Model fits are covered by test_model; they repeat here only in tests/oracle.py.
-SLOW = {"m4_assemble", "m7_predict", "m8_repeated_holdout", "m11b_test_results", "m12b_scored_ids", "m6b_prefix_totals", "m11c_test_totals", "m10b_final_vocabulary", "s9_model_roundtrip", "r1_incremental_score"}
-NAMES = sorted(set(contract.oracle_sql()) - SLOW)
+NAMES = sorted(ORACLES)
 
 
 @pytest.fixture(scope="module")

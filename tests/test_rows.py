@@ -31,16 +31,17 @@ def test_strict_labels(spark):
         rows.attach_labels(features, two.where("pmid = 1"))
 
 
-def test_mask_literal_equals_join(spark):
+def test_mask_with_null_keys_and_null_words(spark):
     docs = spark.createDataFrame(
-        [(1, ["Aspirin", "and", "aspirin"]), (2, ["none"]), (3, []), (3, ["Ibuprofen"])],
+        [(1, ["Aspirin", "and", "aspirin"]), (2, ["none"]), (3, []), (3, ["Ibuprofen"]), (None, ["aspirin", "x"])],
         "pmid bigint, tokens array<string>",
     )
-    lexicon = spark.createDataFrame([("aspirin",), ("IBUPROFEN",)], "token string")
-    want = sorted([(1, ["DRUGNAME", "and", "DRUGNAME"]), (2, ["none"]), (3, []), (3, ["DRUGNAME"])])
-    for limit in (10, 1, 0):
-        out = rows.mask_tokens(docs, lexicon, literal_limit=limit)
-        assert sorted((r["pmid"], r["tokens"]) for r in out.collect()) == want
+    lexicon = spark.createDataFrame([("aspirin",), ("IBUPROFEN",), (None,)], "token string")
+    want = [(1, ["DRUGNAME", "and", "DRUGNAME"]), (2, ["none"]), (3, []), (3, ["DRUGNAME"]), (None, ["DRUGNAME", "x"])]
+    out = rows.mask_tokens(docs, lexicon)
+    assert out.columns == ["pmid", "tokens"]
+    assert sorted((str(r["pmid"]), r["tokens"]) for r in out.collect()) == sorted((str(i), t) for i, t in want)
+    assert rows.mask_tokens(docs, lexicon.limit(0)).count() == 5
 
 
 def test_rename_keeps_unknown(spark):
