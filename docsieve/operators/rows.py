@@ -6,9 +6,9 @@ is under its threshold (AQE re-checks at run time) and shuffles beyond it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MASK, placeholder_if_empty
@@ -92,28 +92,32 @@ def latest_by_key(df: DataFrame, order_col: str, key: str = "pmid") -> DataFrame
 
 
 def mask_tokens(
-    docs: DataFrame, lexicon: DataFrame, mask: str = MASK, tokens: str = "tokens", key: str = "pmid"
+    docs: DataFrame,
+    lexicon: DataFrame,
+    mask: str = MASK,
+    tokens: str | Sequence[str] = "tokens",
+    key: str = "pmid",
 ) -> DataFrame:
-    """Mask the tokens found in a lexicon table (column ``token``), of any size.
+    """Mask the tokens found in a lexicon table (column ``token``), of any size, in one
+    or several list columns.
 
     Only the distinct tokens of a document meet the lexicon, the hits come back by
     key, and the list is rewritten inside its row, so token order never passes a
     shuffle.  NULL words of the lexicon mask nothing; rows with a NULL key are
     masked like any other.
     """
+    lists = [tokens] if isinstance(tokens, str) else list(tokens)
     words = lexicon.select(F.lower("token").alias("_word")).where("_word IS NOT NULL").distinct()
     hits = (
-        elements(docs, [F.col(key).alias("_key")], F.array_distinct(F.transform(tokens, F.lower)), "_word")
+        elements(docs, [F.col(key).alias("_key")], F.array_distinct(F.transform(F.concat(*lists), F.lower)), "_word")
         .join(words, "_word", "left_semi")
         .groupBy("_key")
         .agg(F.collect_set("_word").alias("_hits"))
     )
-    masked = F.transform(
-        tokens,
-        lambda t: F.when(F.array_contains("_hits", F.lower(t)), F.lit(mask)).otherwise(t),
-    )
-    return (
-        docs.join(hits, docs[key].eqNullSafe(hits["_key"]), "left")
-        .withColumn(tokens, F.when(F.col("_hits").isNull(), F.col(tokens)).otherwise(masked))
-        .drop("_hits", "_key")
-    )
+
+    def masked(column: str) -> Column:
+        hit = F.transform(column, lambda t: F.when(F.array_contains("_hits", F.lower(t)), F.lit(mask)).otherwise(t))
+        return F.when(F.col("_hits").isNull(), F.col(column)).otherwise(hit)
+
+    joined = docs.join(hits, docs[key].eqNullSafe(hits["_key"]), "left")
+    return joined.withColumns({c: masked(c) for c in lists}).drop("_hits", "_key")

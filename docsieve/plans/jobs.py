@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import concat_vectors, slice_vector
 from ..functions.naming import RESULT_PREFIX
 from ..functions.text import SEPARATOR, split_tokens
+from ..operators.checks import require_same_keys
 from ..operators.metrics import class_share, fill_rate
 from ..operators.pooling import pool_vectors, token_vectors
 from ..operators.report import boxplot_table, interval_summary, leaderboard
@@ -139,6 +140,40 @@ def joined_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select("pmid", concat_vectors("abstracts_embedded", "titles_embedded").alias("embedding"))
 
 
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(pmid, embedding) of stored vectors: JSON lines, a table of whole vectors, or one of
+    abstract and title parts."""
+    if path.rstrip("/").endswith((".json", ".jsonl")):
+        return readers.read_embeddings_jsonl(spark, path)
+    stored = spark.read.parquet(path)
+    return stored.select("pmid", "embedding") if "embedding" in stored.columns else joined_vectors(stored)
+
+
+def vector_evaluation_job(
+    spark: SparkSession,
+    vectors: Mapping[str, str],
+    labels: DataFrame,
+    results: str,
+    tallies: str,
+    bow: DataFrame | None = None,
+    params: TreeParams = TreeParams(),
+    **options,
+) -> dict[str, Experiment]:
+    """Repeated hold-out of stored vectors, alone or beside the token bag ``bow``; an
+    experiment with a bag ends in ``_bow``.  ``options`` go to ``evaluation_job``."""
+    read = {name: read_vectors(spark, path) for name, path in vectors.items()}
+    if bow is not None:
+        read = {f"{name}_bow": attach_vectors(bow, table) for name, table in read.items()}
+    settings = replace(params, use_bow=bow is not None, use_embedding=True)
+    return evaluation_job(read, labels, results, tallies, params=settings, **options)
+
+
+def attach_vectors(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Documents with their vector; both sides must hold the same keys."""
+    require_same_keys(docs, vectors)
+    return docs.join(vectors, "pmid")
+
+
 def evaluation_job(
     features: Mapping[str, DataFrame],
     labels: DataFrame,
@@ -209,13 +244,21 @@ def final_job(
 
 
 def score_job(
-    spark: SparkSession, model: str, path: str, stop_words: Sequence[str] = (), lexicon: Sequence[str] = ()
+    spark: SparkSession,
+    model: str,
+    path: str,
+    stop_words: Sequence[str] = (),
+    lexicon: Sequence[str] | DataFrame = (),
+    vectors: str | None = None,
 ) -> DataFrame:
     """Label new documents of a CSV with a stored model on the optimal fields.
 
-    Stop words and lexicon count only for a model without its own first stage.
+    Stop words and lexicon count only for a model without its own first stage.  A
+    model of terms and vectors also takes the documents' stored ``vectors``.
     """
     filled = {"pmid": 0, **{f: "" for f in OPTIMAL}}
     docs = normalise(readers.read_documents_csv(spark, path), filled)
     stored = writers.load_model(spark, model)
-    return score(stored, docs if takes_raw_documents(stored) else preprocess(docs, OPTIMAL, 1, stop_words, lexicon))
+    if not takes_raw_documents(stored):
+        docs = preprocess(docs, OPTIMAL, 1, stop_words, lexicon)
+    return score(stored, docs if vectors is None else attach_vectors(docs, read_vectors(spark, vectors)))

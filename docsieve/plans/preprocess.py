@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.stemming import stem_tokens
 from ..operators.expand import records
+from ..operators.rows import mask_tokens
 
 # Field sets of the stored feature runs, (fields, n-gram size).
 OPTIMAL = ("title", "abstract", "mesh_terms", "publication_types")
@@ -54,7 +55,7 @@ def field_tokens(
     df: DataFrame,
     fields: Sequence[str],
     stop_words: Sequence[str] = (),
-    lexicon: Sequence[str] = (),
+    lexicon: Sequence[str] | DataFrame = (),
     mode: str = "full",
     stem: bool = True,
     key: str = "pmid",
@@ -63,18 +64,23 @@ def field_tokens(
     """(key, keep, one token list per field), suffixed but without n-grams.
 
     Title and abstract take the text path, every other field the list path.  All
-    of it stays inside the row; stemming is one Arrow step over all text fields.
+    of it stays inside the row; stemming is one Arrow step over all text fields.  A
+    short ``lexicon`` is a list; a large one is a table (column ``token``) and joined.
     """
     for f in fields:
         T.field_suffix(f)
-    cleaned = df.select(
-        key,
-        *keep,
-        *[
-            text_tokens(f, mode, stop_words, lexicon).alias(f) if f in T.TEXT_FIELDS else F.col(f)
-            for f in fields
-        ],
-    )
+    texts = [f for f in fields if f in T.TEXT_FIELDS]
+    if isinstance(lexicon, DataFrame):
+        words = {f: F.transform(T.drop_stopwords(T.tokenize(f, mode), stop_words), F.lower) for f in texts}
+        lists = df.select(key, *keep, *[words.get(f, F.col(f)).alias(f) for f in fields])
+        masked = mask_tokens(lists, lexicon, tokens=texts, key=key) if texts else lists
+        cleaned = masked.select(key, *keep, *[T.clean_numbers(f).alias(f) if f in texts else F.col(f) for f in fields])
+    else:
+        cleaned = df.select(
+            key,
+            *keep,
+            *[text_tokens(f, mode, stop_words, lexicon).alias(f) if f in texts else F.col(f) for f in fields],
+        )
     if stem:
         cleaned = cleaned.select(
             key, *keep, *[stem_tokens(F.col(f)).alias(f) if f in T.TEXT_FIELDS else F.col(f) for f in fields]
@@ -130,7 +136,7 @@ def preprocess(
     fields: Sequence[str],
     ngram: int = 1,
     stop_words: Sequence[str] = (),
-    lexicon: Sequence[str] = (),
+    lexicon: Sequence[str] | DataFrame = (),
     mode: str = "full",
     stem: bool = True,
     keep_empty: bool = False,

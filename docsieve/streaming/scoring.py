@@ -25,12 +25,15 @@ def score_stream(
     checkpoint: str,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     max_files: int | None = None,
+    vectors: DataFrame | None = None,
 ) -> StreamingQuery:
     """Score every new Parquet file below ``source`` once, appending to ``sink``.
 
     ``prepare`` turns arriving columns into (pmid, tokens[, embedding]) and keeps
     the arrival columns.  Scoring is row-wise, so no state is held; the file
-    source and sink with their checkpoint make each file count exactly once.
+    source and sink with their checkpoint make each file count exactly once.  A
+    stored table ``vectors`` (pmid, embedding) is joined to what arrives; documents
+    without a vector are not scored.
     Runs until the files present are done.
     """
     reader = spark.readStream.schema(schema)
@@ -42,6 +45,7 @@ def score_stream(
         F.col("_metadata.file_name").alias(ARRIVAL[1]),
     )
     ready = prepare(arriving) if prepare else arriving
+    ready = ready if vectors is None else ready.join(vectors, "pmid")
     return (
         score(model, ready, keep=("pmid", *ARRIVAL))
         .writeStream.format("parquet")

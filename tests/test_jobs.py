@@ -11,6 +11,7 @@ from docsieve.plans.chain import Preprocessor
 from docsieve.plans.model import NEGATIVE, POSITIVE, TreeParams
 from docsieve.session import scratch_path
 from docsieve.sources import readers, writers
+from docsieve.streaming.scoring import latest_scores, score_stream
 
 PARAMS = TreeParams(max_depth=2, trees=3, patience=2)
 RUNS = {"title": (("title",), 1), "optimal": (("title", "abstract", "mesh_terms", "publication_types"), 2)}
@@ -75,6 +76,58 @@ def test_jobs_end_to_end(spark, stored):
     assert scored.count() == right.count() == 40
 
 
+def test_vector_jobs(spark, stored):
+    labels = readers.read_labels(spark, f"{stored}/labels").select("pmid", "label")
+    ids = spark.range(80).select(F.col("id").alias("pmid"))
+    parts = ids.select(
+        "pmid", F.array((F.col("pmid") % 3 == 0).cast("double"), F.lit(1.0)).alias("abstracts_embedded"),
+        F.array((F.col("pmid") % 5).cast("double")).alias("titles_embedded"),
+    )
+    writers.write_parquet(parts, f"{stored}/parts")
+    lines = ids.select(F.to_json(F.struct(F.col("pmid").cast("string").alias("paper_id"), F.array(F.lit(1.0), (F.col("pmid") % 3 == 0).cast("double")).alias("embedding"))).alias("value"))
+    lines.union(spark.createDataFrame([('{"paper_id": "7", "embe',), ('{"paper_id": "8", "embedding": "none"}',)], "value string")).write.text(f"{stored}/vectors.jsonl")
+    read = readers.read_embeddings_jsonl(spark, f"{stored}/vectors.jsonl")
+    assert read.count() == len(read.collect()) == read.select("pmid").count() == len(read.select("pmid").collect()) == 80
+    bow = ids.select("pmid", F.array(F.lit("a"), F.concat(F.lit("b"), F.col("pmid") % 4)).alias("tokens"))
+    both = {"parts": f"{stored}/parts", "lines": f"{stored}/vectors.jsonl"}
+    where = (labels, f"{stored}/v-results", f"{stored}/v-tallies")
+    found = J.vector_evaluation_job(spark, both, *where, bow=bow, params=PARAMS, rounds=1)
+    assert set(found) == {"parts_bow", "lines_bow"} and found["lines_bow"].metrics.first()["f1"] == 1.0
+    alone = J.vector_evaluation_job(spark, {"lines": both["lines"]}, *where, params=PARAMS, rounds=1)
+    assert set(alone) == {"lines"} and alone["lines"].metrics.first()["f1"] == 1.0
+
+    # A stored model of terms and vectors scores raw documents with their vectors, in batch and as a stream.
+    docs = J.attach_vectors(bow, J.read_vectors(spark, both["parts"]))
+    J.final_job(docs, labels, docs, labels, replace(PARAMS, use_embedding=True), f"{stored}/v-final", trees=2,
+                first_stage=Preprocessor(fields=["title", "abstract"]))
+    corpus = readers.read_corpus(spark, f"{stored}/corpus").where("pmid < 80")
+    wanted = ["abstract", "mesh_terms", "publication_types", "title", "pmid"]
+    writers.write_csv(corpus.select(*wanted), f"{stored}/v-new")
+    scored = J.score_job(spark, f"{stored}/v-final/optimal_model", f"{stored}/v-new", vectors=both["parts"])
+    assert scored.count() == 80 and scored.where((F.col("prediction") == POSITIVE) == (F.col("pmid") % 3 == 0)).count() == 80
+    model = writers.load_model(spark, f"{stored}/v-final/optimal_model")
+    writers.write_parquet(corpus, f"{stored}/v-stream")
+    source = spark.read.parquet(f"{stored}/v-stream")
+    query = score_stream(model, spark, f"{stored}/v-stream", source.schema, f"{stored}/v-out", f"{stored}/v-cp", vectors=J.read_vectors(spark, both["parts"]))
+    query.awaitTermination()
+    streamed = {r["pmid"]: r["probability"] for r in latest_scores(spark, f"{stored}/v-out").collect()}
+    assert streamed == {r["pmid"]: r["probability"] for r in scored.collect()}
+
+
+def test_lexicon_table_equals_list(spark):
+    from docsieve.plans.preprocess import preprocess
+
+    df = spark.createDataFrame(
+        [(1, "Oral Dosing of ASPIRIN", "aspirin3 levels rose.", "A;B"), (2, None, "", None), (None, "aspirin", "DRUGNAME", "")],
+        "pmid bigint, title string, abstract string, mesh_terms string",
+    )
+    words = ["aspirin", "levels"]
+    table = spark.createDataFrame([(w,) for w in (*words, "Levels", None)], "token string")
+    fields = ["title", "abstract", "mesh_terms"]
+    want, got = (preprocess(df, fields, 2, ["oral"], lexicon) for lexicon in (words, table))
+    assert sorted(map(str, want.collect())) == sorted(map(str, got.collect()))
+
+
 def test_preprocessor_equals_function(spark):
     from docsieve.plans.preprocess import preprocess
 
