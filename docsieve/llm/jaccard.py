@@ -427,8 +427,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, limit: int = REGION
 
     keys = reach.select("key").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("text_key")))
-    known = sets.join(keys, "key").groupBy("key").agg(first.alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    known = materialise(known.select("key", "first.id", "first.text_key", "n", "sketch"), "known")
+    each = sets.where("key IS NOT NULL").groupBy("key").agg(first.alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    known = materialise(each.join(keys, "key").select("key", "first.id", "first.text_key", "n", "sketch"), "known")
     all_ = reach.join(known.select("key", "n", "sketch"), "key").withColumn("region", F.col("pivot"))
     near = _near_only(deal_blocks(all_.select("region", "pivot", "key", "n", "sketch"), limit)).distinct()
     reach = materialise(near.join(reach, ["pivot", "key"]), "near")
