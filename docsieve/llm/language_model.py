@@ -29,8 +29,8 @@ from .store import open_array, write_array
 
 #: Shards of the bigram arrays.
 SHARDS = 256
-#: Tokens that a task counts or scores at a time.
-BLOCK = 1 << 21
+#: Tokens that a task counts, and scores, at a time.
+BLOCK, SCORED = 1 << 20, 1 << 18
 #: Markers for the start and the end of a text; white space is in no word.
 START, END = (np.uint64(xxhash.xxh64_intdigest(b" " + m)) for m in (b"start", b"end"))
 
@@ -44,13 +44,13 @@ def token_hashes(text: str | None) -> np.ndarray:
     return out
 
 
-def _blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, tokens, tokens of each row) of runs of rows with about ``BLOCK`` tokens."""
+def _blocks(texts: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, tokens, tokens of each row) of runs of rows with about ``block`` tokens."""
     first, found, size = 0, [], 0
     for row, text in enumerate(texts):
         found.append(token_hashes(text.as_py()))
         size += len(found[-1])
-        if size >= BLOCK:
+        if size >= block:
             yield first, np.concatenate(found), np.array([len(f) for f in found])
             first, found, size = row + 1, [], 0
     if found:
@@ -91,10 +91,10 @@ class Words:
         return ids
 
     def get(self, kind: str, ids: np.ndarray, default: float) -> np.ndarray:
-        """Values of sorted ids, the default for -1."""
+        """Values of sorted ids, the default for -1 and where no text was counted."""
         out = np.full(len(ids), default, dtype=self.KINDS[kind])
         for shard, low, high in _runs(ids >> 24):
-            if shard >= 0:
+            if shard >= 0 and len(self.array(kind, shard)):
                 out[low:high] = self.array(kind, shard)[ids[low:high] & 0xFFFFFF]
         return out
 
@@ -283,7 +283,7 @@ def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
         words = _words(model.folder)
         d = np.array([0.0, *model.discounts])
         for batch in stream:
-            for first, tokens, lengths in _blocks(batch.column(0)):
+            for first, tokens, lengths in _blocks(batch.column(0), SCORED):
                 distinct, place = np.unique(np.append(tokens, START), return_inverse=True)
                 ids = words.find(distinct)
                 # Sorted hashes have sorted ids within their shards, so the arrays are read in order.

@@ -84,13 +84,12 @@ def _texts(values: list[str]) -> Column:
 def places(words: str | Column, phrases: Mapping[str, str] = PHRASES) -> Column:
     """Sorted (start, label) of every place where a phrase's words stand consecutively, words counted from 0."""
     words = F.col(words) if isinstance(words, str) else words
+    none = F.array().cast("array<struct<start:int,label:string>>")
     found = [
-        F.when(F.array_contains(words, phrase.split()[-1]), _places_of(words, phrase.split(), label)).otherwise(
-            F.array().cast("array<struct<start:int,label:string>>")
-        )
+        F.when(F.array_contains(words, phrase.split()[-1]), _places_of(words, phrase.split(), label)).otherwise(none)
         for phrase, label in phrases.items()
     ]
-    return F.sort_array(F.concat(*found))
+    return F.sort_array(F.concat(none, *found))
 
 
 def _places_of(words: Column, phrase: list[str], label: str) -> Column:
@@ -180,7 +179,37 @@ def scan_licenses(
     return per_row.select("doc_id", "n_words", "places", F.sort_array("found").alias("found"), each.alias("copy")).drop("copy")
 
 
-@query("op9_license_scan")
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+_PHRASES = ", ".join(f"({_sql_list(p.split())}, '{label}')" for p, label in PHRASES.items())
+_NOTICES = ", ".join(
+    f"('{label}', {_sql_list(ws)}, {len(ws)}, {math.ceil(THRESHOLD * len(ws) - 1e-9)})" for label, ws in notice_sets(NOTICES)
+)
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+phrases(p, label) AS (VALUES {_PHRASES}),
+places AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS start
+  FROM d, phrases WHERE list_contains(w, p[-1])),
+base AS (SELECT doc_id, count(*) AS n, min(start) AS lo, max(start) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, list_distinct(w[s + 1:s + {BLOCK}]) AS b FROM (SELECT doc_id, w, unnest(range(0, len(w), {STEP})) AS s FROM d)),
+notices(label, words, m, need) AS (VALUES {_NOTICES}),
+met AS (SELECT doc_id, label, len(list_intersect(b, words)) / m::DOUBLE AS share, need / m::DOUBLE AS least FROM blocks, notices),
+found AS (SELECT doc_id, label, max(share) AS share FROM met WHERE share >= least - 1e-12 GROUP BY ALL),
+best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
+named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM found UNION ALL SELECT doc_id, label FROM places) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(named.labels, '') AS labels,
+       CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base ON d.doc_id = base.doc_id LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
+"""
+
+
+@query("op9_license_scan", SQL)
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     base = F.transform("places", lambda p: p["label"])
