@@ -18,8 +18,8 @@ from .registry import query, table
 from .text import alnum_words, broadcast_within, row_key
 
 WINDOW = 13
-#: Windows that may be broadcast: about 200 bytes each with their words.
-MAX_BROADCAST = 500_000
+#: Windows that may be broadcast: some 400 bytes each with their words.
+MAX_BROADCAST = 100_000
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -113,7 +113,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, mark:
     hits = materialise(hits.select(F.col("doc_id").alias("id"), "row_key", "hits").distinct(), "spans")
     whole = docs.select("text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     match = whole["row"]["doc_id"].eqNullSafe(hits["id"]) & (row_key(whole["text"]) == hits["row_key"])
-    joined = whole.join(broadcast_within(hits, hits.count(), MAX_BROADCAST // 50), match, "left")
+    joined = whole.join(broadcast_within(hits, hits.count(), MAX_BROADCAST // 10), match, "left")
     word = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["span"] - 1))))
     parts = joined.select(
