@@ -38,9 +38,8 @@ def _sql_round(cols, digits=6):
         ORDER BY df_positive / df::DOUBLE DESC, df DESC, token LIMIT 20""",
 )
 def top_relevant_terms(spark, sf_dir):
-    """One scan, one semi-reducing join, one combined shuffle, one top-k."""
-    docs = rows.attach_labels(V.labelled_tokens(spark, sf_dir), V.labels(spark, sf_dir), strict=False)
-    shares = features.term_share(docs, "label", V.POSITIVE, min_df=2)
+    """One scan, one reducing join, one combined shuffle, one top-k."""
+    shares = features.term_share(V.tokens_and_label(spark, sf_dir), "label", V.POSITIVE, min_df=2)
     top = rows.head(shares, [F.desc("share"), F.desc("df"), F.asc("token")], 20)
     return _rounded(top, "share")
 

@@ -89,6 +89,12 @@ def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("pmid", words("text").alias("tokens"))
 
 
+def tokens_and_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pmid, label, tokens) of labelled documents: one join, which also drops the rest before any text work."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pmid"), "text")
+    return docs.join(labels(spark, sf_dir), "pmid").select("pmid", "label", words("text").alias("tokens"))
+
+
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus view of labelled documents, reduced at the scan."""
     return select_labelled(corpus(spark, sf_dir), labels(spark, sf_dir))
@@ -96,8 +102,7 @@ def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_tokens(spark: SparkSession, sf_dir: str, rounds: int, size: float = 0.2) -> DataFrame:
     """(label, pmid, tokens, splits) of labelled documents."""
-    lab = labels(spark, sf_dir)
-    return assign_splits(labelled_tokens(spark, sf_dir).join(lab, "pmid"), holdout_cuts(lab, rounds, size))
+    return assign_splits(tokens_and_label(spark, sf_dir), holdout_cuts(labels(spark, sf_dir), rounds, size))
 
 
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
