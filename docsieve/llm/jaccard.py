@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import materialise
+from ..session import discard, materialise
 from .registry import query, table
 from .text import broadcast_within, row_key
 
@@ -403,9 +403,12 @@ def components(links: DataFrame) -> DataFrame:
         jump = lower.select(F.col("key").alias("part"), F.col("part").alias("next"))
         after = lower.join(jump, "part").select("key", F.least("part", "next").alias("part"), "before")
         after = materialise(after, "labels")
-        if after.where("part <> before").isEmpty():
-            return after.select("key", "part")
+        changed = not after.where("part <> before").isEmpty()
+        discard(labels, lower)
         labels = after.select("key", "part")
+        if not changed:
+            discard(edges)
+            return labels
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, limit: int = REGION_LIMIT) -> DataFrame:
@@ -431,9 +434,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, limit: int = REGION
     known = materialise(each.join(keys, "key").select("key", "first.id", "first.text_key", "n", "sketch"), "known")
     all_ = reach.join(known.select("key", "n", "sketch"), "key").withColumn("region", F.col("pivot"))
     near = _near_only(deal_blocks(all_.select("region", "pivot", "key", "n", "sketch"), limit)).distinct()
-    reach = materialise(near.join(reach, ["pivot", "key"]), "near")
+    reached_all, reach = reach, materialise(near.join(reach, ["pivot", "key"]), "near")
     wanted = known.select("key", "id", "text_key").join(reach.select("key").distinct(), "key")
-    members = materialise(_members(docs, materialise(wanted, "wanted"), size), "members")
+    wanted = materialise(wanted, "wanted")
+    members = materialise(_members(docs, wanted, size), "members")
+    discard(reached_all, known, wanted)
 
     # The nearest pivot's region, and each pivot in its own; chunks of a large region are joined by its pivot.
     nearest = reach.where("pivot <> key").groupBy("key").agg(F.max_by("pivot", F.struct("cells", "pivot")).alias("pivot"))
@@ -454,6 +459,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, limit: int = REGION
     more = materialise(_join_regions(split_regions(rest, limit)), "links")
 
     found = components(near.unionByName(more))
+    discard(reach, members, near, settled, rest, more)
     smallest = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("smallest"))
     grouped = smallest.join(found, "key", "left").withColumn("part", F.coalesce("part", "key"))
     heads = grouped.groupBy("part").agg(F.min("smallest").alias("component_id"))
@@ -481,6 +487,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     drop = broadcast_within(drop, drop.count(), MAX_BROADCAST)
     twice = broadcast_within(twice, twice.count(), MAX_BROADCAST)
+    discard(found)
     kept = docs.join(drop, same(drop), "left_anti")
     again = docs.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(twice, same(twice), "left_anti").unionByName(again)
