@@ -35,13 +35,31 @@ WINDOW = 20
 #: Least bits a character of a window, by character class; a window of 20 holds 4.32 at most.
 LIMITS = {"hex": 3.0, "mixed": 3.7}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Candidates, or what is left of them, that only look random.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",  # UUID
-    r"^sha(256|384|512)-",  # content digest
-    r"(?i)example|placeholder|changeme|xxxx|your[_-]",
     r"^[^0-9]*$",  # words
     r"^[^A-Za-z]*$",  # numbers
+)
+#: A candidate with one of these signs is cut at what ``COVERED`` fits; the rest of it is judged.
+SIGNS = (
+    r"^sha(256|384|512)-",  # content digest
+    r"(?i)example|placeholder|changeme|xxxx|your[_-]",
     r"^/|/[a-z]+/|//",  # paths
+    r"\x20",  # base spans, blanked
+)
+_WORD = r"(?:[A-Z]?[a-z]{1,15}(?:[A-Z][a-z]{2,15}){0,4}[0-9]{0,4}|[A-Z]{2,12}[0-9]{0,4}|[0-9]{1,4})"
+COVERED = (
+    r"\x20+",
+    r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])",
+    r"^sha256-(?:[0-9A-Fa-f]{64}|[A-Za-z0-9+/]{1,43}=?)",
+    r"^sha384-(?:[0-9A-Fa-f]{96}|[A-Za-z0-9+/]{1,64})",
+    r"^sha512-(?:[0-9A-Fa-f]{128}|[A-Za-z0-9+/]{1,86}={0,2})",
+    # a placeholder with the plain words around it
+    r"(?:(?<![A-Za-z0-9])[A-Za-z]{1,15}[_-]){0,4}[A-Za-z]{0,15}(?i:example|placeholder|changeme|xxxx+|your(?=[_-]))"
+    r"(?:[A-Za-z]{1,15}(?![A-Za-z0-9]))?(?:[_-](?:[A-Za-z]{1,15}|[0-9]{1,6})(?![A-Za-z0-9])){0,6}",
+    # a path's short segment of words
+    r"/*(?<![^/\x20])(?=[^/\x20]{3})" + _WORD + "(?:[_+=-]" + _WORD + r"){0,12}(?:/+|(?![^\x20]))",
 )
 MARK = "[SECRET]"
 
@@ -124,6 +142,10 @@ def random_part(token: Column, window: int, limit: Column) -> Column:
     The state holds the count of each character of the alphabet in the window.
     """
     chars = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    # What enters and what leaves the window at each step, laid side by side so that a step does not read the token.
+    before = F.concat(F.array_repeat(F.lit(0), window), chars)
+    moves = F.zip_with(chars, F.slice(before, F.lit(1), F.length(token)), lambda new, old: F.struct(new.alias("new"), old.alias("old")))
+    moves = F.transform(moves, lambda x, i: F.struct(x["new"].alias("new"), x["old"].alias("old"), (i + 1).alias("i")))
 
     def weight(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
@@ -133,8 +155,8 @@ def random_part(token: Column, window: int, limit: Column) -> Column:
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
     )
 
-    def step(s: Column, i: Column) -> Column:
-        new, old = F.element_at(chars, i), F.when(i > window, F.element_at(chars, F.greatest(i - window, F.lit(1)))).otherwise(0)
+    def step(s: Column, x: Column) -> Column:
+        new, old, i = x["new"], x["old"], x["i"]
         n_new = F.element_at(s["counts"], new)
         n_old = F.when((old > 0) & (old != new), F.element_at(s["counts"], F.greatest(old, F.lit(1))))
         counts = F.when(
@@ -152,16 +174,44 @@ def random_part(token: Column, window: int, limit: Column) -> Column:
             F.when(hit, i - window).otherwise(s["last"]).alias("last"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(token)), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    return F.aggregate(moves, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
-def entropy_spans(text: Column, base: Column, window: int = WINDOW, allowed: Sequence[str] = ALLOWED) -> Column:
-    """Random-looking parts of candidate strings that no base span touches and no allowed pattern fits."""
-    free = F.filter(
-        matches(text, CANDIDATE),
-        lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
-    )
-    either = "|".join(f"(?:{p})" for p in allowed)
+def _blanked(run: Column, base: Column) -> Column:
+    """The run (start, end, match) as text, spaces in place of the base spans that touch it."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, b: Column) -> Column:
+        low = F.greatest(b["start"] - run["start"], s["at"])
+        high = F.greatest(F.least(b["end"], run["end"]) - run["start"], low)
+        gap = F.substring(run["match"], (s["at"] + 1).cast("int"), (low - s["at"]).cast("int"))
+        return F.struct(high.alias("at"), F.concat(s["out"], F.array(gap, F.repeat(F.lit(" "), (high - low).cast("int")))).alias("out"))
+
+    def finish(s: Column) -> Column:
+        return F.concat(F.array_join(s["out"], ""), F.substring(run["match"], (s["at"] + 1).cast("int"), F.length(run["match"])))
+
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.when(F.size(touching) == 0, run["match"]).otherwise(F.aggregate(touching, start, step, finish))
+
+
+def _pieces(start: Column, run: Column, signs: str, covered: str) -> Column:
+    """(start, match) of what no covered pattern fits of a run."""
+    whole = F.array(F.struct(start.alias("start"), run.alias("match")))
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(matches(run, covered), lambda c: c["end"]))
+    left = F.zip_with(F.split(run, covered, -1), starts, lambda p, at: F.struct((start + at).alias("start"), p.alias("match")))
+    return F.when(run.rlike(signs), left).otherwise(whole)
+
+
+def entropy_spans(
+    text: Column, base: Column, window: int = WINDOW, allowed: Sequence[str] = ALLOWED,
+    signs: Sequence[str] = SIGNS, covered: Sequence[str] = COVERED,
+) -> Column:
+    """Random-looking parts of candidate strings.  Base spans and what covered patterns fit
+    are cut out of a candidate; the pieces left that no allowed pattern fits are judged."""
+    runs = F.transform(matches(text, CANDIDATE), lambda m: F.struct(m["start"].alias("start"), _blanked(m, base).alias("match")))
+    either, sign, cut = ("|".join(f"(?:{p})" for p in ps) for ps in (allowed, signs, covered))
+    free = F.flatten(F.transform(runs, lambda m: _pieces(m["start"], m["match"], sign, cut))) if cut and sign else runs
+    free = F.filter(free, lambda m: F.length(m["match"]) >= window)
     if either:
         free = F.filter(free, lambda m: ~m["match"].rlike(either))
 

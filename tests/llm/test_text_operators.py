@@ -76,6 +76,28 @@ def test_secrets_equal_plain_patterns(spark):
     assert clean[10].text == "[SECRET] " * 700
 
 
+def test_allowed_parts_do_not_hide_the_rest_of_a_run(spark):
+    rng = random.Random(8)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    token, other = "9fK2mQ7xZ1pL8vB4nT6wR3yC", "X7rT2kV9mB4qL1zN8cJ5wD3h"
+    hidden = [f"com/services/T0AB/B0CD/{token}", f"/v1/keys/{token}", f"example_{token}", f"/usr/{token}/lib/{other}/",
+              f"sha256-{'aB1' * 14}c={token}", f"{token}-" + "0123456789abcdef" * 2, f"//cdn/{token}"]
+    long = ["".join(rng.choices(base64, k=n)) for n in (64, 1624, 2000, 10000) for _ in range(8)]
+    plain_runs = ["/usr/local/lib/python3/dist-packages", "//localhost/static/images/banner-2024", "/orders/123e4567-e89b-12d3-a456-426614174000",
+                  "your_api_key_goes_here_12345", "sha256-" + "aB3" * 14 + "c=", "/home/user/Documents/Projects2024/FinalReport", "0123456789abcdef" * 3 + "-word"]
+    rows = list(enumerate(hidden + long + plain_runs))
+    found = secrets.scan_secrets(table(spark, rows)).select("doc_id", "spans").collect()
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "entropy"] for r in found}
+    for i, text in enumerate(hidden):
+        for part in (token, other):
+            at = text.find(part)
+            assert at < 0 or any(start <= at and at + 24 <= end for start, end in spans[i]), (text, spans[i])
+    for i, text in enumerate(long, len(hidden)):
+        assert sum(end - start for start, end in spans[i]) > 0.9 * len(text) - 30, (len(text), spans[i])
+    for i, text in enumerate(plain_runs, len(hidden) + len(long)):
+        assert not spans[i], (text, spans[i])
+
+
 def test_window_entropy_equals_plain_entropy(spark):
     rng = random.Random(3)
     tokens = ["".join(rng.choice("abcdef0123456789"[: rng.randint(2, 16)]) for _ in range(rng.randint(20, 60))) for _ in range(40)]
