@@ -28,7 +28,7 @@ Sets are told apart by 64-bit hashes of shingles and of whole sets.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -221,29 +221,68 @@ def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(batches, "key long, n long, shingles array<long>")
 
 
-def link_region(keys: list[int], parts: list[int], sets: list[np.ndarray], pivot: int) -> list[tuple[int, int]]:
-    """Links that connect the parts of one region as far as its links do.
-
-    ``parts`` are component labels; pairs within a part are not looked at.  ``pivot``
-    is the place of the region's first pivot.
-    """
+def _overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, Callable[[int, np.ndarray], np.ndarray]]:
+    """Sizes of the sets, and a function: how many elements set ``q`` shares with each of ``others``."""
     size = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.cumsum(size)
     starts = ends - size
-    label = np.unique(np.array(parts), return_inverse=True)[1]
     flag = np.zeros(int(ids.max()) + 1, dtype=bool)
-    live, links = np.ones(len(keys), dtype=bool), []
 
     def shared(q: int, others: np.ndarray) -> np.ndarray:
         flag[ids[starts[q] : ends[q]]] = True
-        if 4 * len(others) > len(keys):
+        if 4 * len(others) > len(sets):
             found = np.add.reduceat(flag[ids], starts, dtype=np.int64)[others]
         else:
             found = np.array([np.count_nonzero(flag[ids[starts[i] : ends[i]]]) for i in others], dtype=np.int64)
         flag[ids[starts[q] : ends[q]]] = False
         return found
 
+    return size, shared
+
+
+def count_links(sets: list[np.ndarray], copies: np.ndarray, blocks: np.ndarray, cross: bool, before: list[list[int]]) -> np.ndarray:
+    """Links of each set within a region, every linked set counted by its copies.
+
+    ``before`` are the pivots smaller than the region's own that each set reaches: a pair
+    that shares one is counted there.  If ``cross``, only sets of different blocks are paired.
+    """
+    size, shared = _overlaps(sets)
+    out = np.zeros(len(sets), dtype=np.int64)
+    reached: dict[int, list[int]] = {}
+    for i, pivots in enumerate(before):
+        for p in pivots:
+            reached.setdefault(p, []).append(i)
+    places = {p: np.array(found) for p, found in reached.items() if len(found) > 1}
+    lead = shared(0, np.arange(len(sets)))
+    distance = 1 - lead / (size[0] + size - lead)
+    for q in range(len(sets) - 1):
+        near = (5 * size >= 4 * size[q]) & (4 * size <= 5 * size[q]) & (np.abs(distance - distance[q]) <= EPS + 1e-9)
+        near[: q + 1] = False
+        if cross:
+            near &= blocks != blocks[q]
+        for p in before[q]:
+            if p in places:
+                near[places[p]] = False
+        others = np.flatnonzero(near)
+        if len(others):
+            common = shared(q, others)
+            linked = others[100 * common >= 80 * (size[q] + size[others] - common)]
+            out[q] += copies[linked].sum()
+            out[linked] += copies[q]
+    return out
+
+
+def link_region(keys: list[int], parts: list[int], sets: list[np.ndarray], pivot: int) -> list[tuple[int, int]]:
+    """Links that connect the parts of one region as far as its links do.
+
+    ``parts`` are component labels; pairs within a part are not looked at.  ``pivot``
+    is the place of the region's first pivot.
+    """
+    size, shared = _overlaps(sets)
+    label = np.unique(np.array(parts), return_inverse=True)[1]
+    live, links = np.ones(len(keys), dtype=bool), []
+
     def take(q: int, others: np.ndarray, common: np.ndarray) -> None:
         for i in others[100 * common >= 80 * (size[q] + size[others] - common)]:
             if label[i] != label[q]:
@@ -332,6 +371,43 @@ def _join_regions(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(batches, "a long, b long")
 
 
+def set_links(reach: DataFrame, members: DataFrame, copies: DataFrame, limit: int) -> DataFrame:
+    """(key, links): documents of other sets that each set is linked with, from every pair of
+    ``reach`` (pivot, key), ``members`` (key, n, shingles) and ``copies`` (key, copies).
+
+    Linked sets reach a common pivot and are verified once, in the region of the smallest.
+    Regions beyond ``limit`` shingles are dealt out as pairs of blocks.
+    """
+    pivots = reach.groupBy("key").agg(F.sort_array(F.collect_set("pivot")).alias("pivots"))
+    rows = reach.select("pivot", "key").join(pivots, "key").join(members, "key").join(copies, "key")
+    rows = rows.withColumn("before", F.filter("pivots", lambda p: p < F.col("pivot"))).drop("pivots")
+    sizes = reach.join(members.select("key", "n"), "key").groupBy("pivot").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
+    blocks = F.when(F.col("total") > limit, F.ceil(2 * F.col("total") / limit)).otherwise(1).cast("int")
+    rows = rows.join(sizes.where("sets > 1").select("pivot", blocks.alias("blocks")), "pivot")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    dealt = rows.select(
+        F.xxhash64("pivot", low, high).alias("region"), "pivot", "key", "block", (low != high).alias("cross"), "copies", "before", "shingles"
+    ).repartition("region").sortWithinPartitions("region")
+
+    def read(batch: pa.RecordBatch) -> list:
+        lists = batch.column(7)
+        values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        sets = [values[at:end].copy() for at, end in zip(offsets[:-1], offsets[1:])]
+        return [*(batch.column(i).to_pylist() for i in range(2, 7)), sets]
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members in _regions(stream, read):
+            once = {row[0]: row for row in members}  # a repeated row is read twice
+            keys, block, cross, copies, before, sets = zip(*once.values())
+            found = count_links(list(sets), np.array(copies), np.array(block), cross[0], list(before))
+            held = np.flatnonzero(found)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.array(keys)[held]), "links": pa.array(found[held])})
+
+    return dealt.mapInArrow(batches, "key long, links long").groupBy("key").agg(F.sum("links").alias("links"))
+
+
 def _pairs_batch(pairs: list[tuple], first: str, second: str) -> pa.RecordBatch:
     both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_pydict({first: pa.array(both[:, 0]), second: pa.array(both[:, 1])})
@@ -411,7 +487,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, limit: int = REGION_LIMIT) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, limit: int = REGION_LIMIT, links: bool = False) -> DataFrame:
     """One row per input row of (doc_id, text): doc_id, row_key (hash of the text),
     n_shingles, key (of the set), component_key and component_id, the smallest doc_id
     of all documents that links lead to.
@@ -420,6 +496,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, limit: int = REGION
     component is themselves.  Equal sets are linked.  Null ids are never the smallest; a
     component of nothing else has a null id.  Repeated rows come back repeated.  Other
     columns are not read.
+
+    Components need only links that connect them.  With ``links`` every pair is verified
+    and n_links, the number of other rows that a row is linked with, is added.
     """
     docs = docs.select("doc_id", "text")
     sets = materialise(_sets_of(docs, size), "sets")
@@ -459,15 +538,24 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, limit: int = REGION
     more = materialise(_join_regions(split_regions(rest, limit)), "links")
 
     found = components(near.unionByName(more))
+    counted = None
+    if links:
+        copies = sets.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("copies"))
+        others = set_links(reach, members, copies, limit)
+        counted = copies.join(others, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        counted = materialise(counted, "counted")
     discard(reach, members, near, settled, rest, more)
     smallest = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("smallest"))
     grouped = smallest.join(found, "key", "left").withColumn("part", F.coalesce("part", "key"))
     heads = grouped.groupBy("part").agg(F.min("smallest").alias("component_id"))
     of_key = grouped.join(heads, "part").select("key", F.col("part").alias("component_key"), "component_id")
+    if counted is not None:
+        of_key = of_key.join(counted, "key")
     filled = sets.join(of_key, "key", "left")
     return filled.select(
         "doc_id", "row_key", F.col("n").alias("n_shingles"), "key", "component_key",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []),
     )
 
 
@@ -510,3 +598,12 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN reach ON d.doc_id = reach.x GROUP
 @query("op1_ngram_jaccard", SQL)
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+LINKS_SQL = SQL.replace("min(reach.y) AS component_id", "min(reach.y) AS component_id, (SELECT count(*) FROM links l WHERE l.x = d.doc_id)::BIGINT AS n_links")
+
+
+@query("op1_jaccard_links", LINKS_SQL)
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(table(spark, sf_dir, "documents"), links=True)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")

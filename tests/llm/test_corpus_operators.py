@@ -59,6 +59,23 @@ def test_components_equal_all_pairs(spark):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_links_equal_all_pairs(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    want = sorted(
+        (str(i), sum(bool(a) and 100 * len(a & b) >= 80 * len(a | b) for k, b in enumerate(sets) if k != j))
+        for j, ((i, _), a) in enumerate(zip(rows, sets))
+    )
+    assert sum(n for _, n in want) > 2 * len(rows)
+    for limit in (jaccard.REGION_LIMIT, 600):
+        got = jaccard.jaccard_components(docs, limit=limit, links=True)
+        assert sorted((str(r.doc_id), r.n_links) for r in got.collect()) == want
+
+
 def test_linked_sets_share_a_cell():
     rng = np.random.default_rng(4)
     for n in (1, 2, 4, 5, 6, 9, 10, 11, 17, 40, 123, 700):
