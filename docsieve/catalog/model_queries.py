@@ -229,7 +229,7 @@ def early_stop(spark, sf_dir):
     grown = len(model.trees)
     return best_iteration(errors, params.patience).select(
         "round", F.lit(best + params.patience <= grown < params.trees).alias("stopped_inside"),
-        F.lit(grown <= 2 * max(best + params.patience, params.patience)).alias("few_trees"),
+        F.lit(grown == best + params.patience).alias("few_trees"),
         (F.col("best_iteration") == best).alias("same_as_full_fit"),
     )
 

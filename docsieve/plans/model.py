@@ -28,11 +28,13 @@ from ..operators.metrics import best_iteration, binary_metrics, prf
 from ..operators.rows import attach_labels, with_correct
 from ..operators.splits import BASE_SEED
 from ..session import discard, materialise, scratch_path
+from .boosting import Boosting, fit_until
+from .vocabulary import table_encoder
 
 POSITIVE = "Relevant"
 NEGATIVE = "Not Relevant"
 MAX_DEPTH = 30  # the deepest tree Spark grows
-MAX_TERMS = 4_000_000  # terms a driver collects
+DRIVER_TERMS = 4_000_000  # terms a count model holds on the driver; more are kept as a table
 BLOCK = 512  # documents whose margins are held at once
 
 # The stored search grid and the final number of trees.
@@ -90,15 +92,8 @@ def vocabulary_table(train: DataFrame, min_df: int) -> DataFrame:
     return document_frequency(train, min_df=min_df).orderBy(F.desc("df"), F.asc("token"))
 
 
-def collect_terms(terms: DataFrame, use_idf: bool, limit: int = MAX_TERMS) -> tuple[list[str], list[float] | None]:
-    """Terms of a written table (token, df[, n_docs]) in vocabulary order, and their IDF where asked for.
-
-    A count model keeps its vocabulary on the driver; one of over ``limit`` terms
-    is refused before anything is collected.
-    """
-    n = terms.count()
-    if n > limit:
-        raise ValueError(f"{n} terms are more than a driver should hold ({limit}); raise min_df")
+def collect_terms(terms: DataFrame, use_idf: bool) -> tuple[list[str], list[float] | None]:
+    """Terms of a written table (token, df[, n_docs]) in vocabulary order, and their IDF where asked for."""
     weight = idf() if use_idf else F.lit(None).cast("double")
     rows = terms.orderBy(F.desc("df"), F.asc("token")).select("token", weight.alias("idf")).collect()
     return [r["token"] for r in rows], [r["idf"] for r in rows] if use_idf else None
@@ -119,22 +114,25 @@ def encoder(
 
     ``width`` is the vector width; stating it lets streams be assembled, too.
     """
-    stages: list[Transformer] = []
-    inputs = []
+    terms: list[Transformer] = []
     if params.use_bow:
-        stages.append(
+        terms.append(
             CountVectorizerModel.from_vocabulary(list(vocabulary), inputCol="tokens", outputCol="term_counts")
         )
         source = "term_counts"
         if idf_values is not None:
-            stages.append(
+            terms.append(
                 ElementwiseProduct(
                     scalingVec=Vectors.dense(idf_values), inputCol="term_counts", outputCol="term_idf"
                 )
             )
             source = "term_idf"
-        stages.append(Normalizer(p=1.0, inputCol=source, outputCol="term_weights"))
-        inputs.append("term_weights")
+        terms.append(Normalizer(p=1.0, inputCol=source, outputCol="term_weights"))
+    return _assembled(terms, params, width)
+
+
+def _assembled(terms: list[Transformer], params: TreeParams, width: int | None) -> list[Transformer]:
+    stages, inputs = list(terms), ["term_weights"] if terms else []
     if params.use_embedding:
         stages.append(VectorSizeHint(inputCol="embedding_vector", size=width))
         inputs.append("embedding_vector")
@@ -143,12 +141,25 @@ def encoder(
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
-def fit_encoder(train: DataFrame, params: TreeParams) -> list[Transformer]:
-    """Encoder whose vocabulary and IDF come from ``train`` only.
+def term_encoder(
+    terms: DataFrame, params: TreeParams, width: int | None = None, driver_terms: int | None = None
+) -> list[Transformer] | None:
+    """Stages over a written table of terms (token, df[, n_docs]); None if it is empty.
 
-    The vocabulary lives on the driver, as in any count-vector model; it is as
-    long as the terms of the labelled training part.
+    Up to ``driver_terms`` terms make a count model, which the driver holds and which takes
+    streams; a larger vocabulary stays a table that rows are joined with.  Both give the
+    same vectors.
     """
+    n = terms.count()
+    if not n:
+        return None
+    if n > (DRIVER_TERMS if driver_terms is None else driver_terms):
+        return _assembled([table_encoder(terms, n, params.use_idf)], params, width)
+    return encoder(*collect_terms(terms, params.use_idf), params, width)
+
+
+def fit_encoder(train: DataFrame, params: TreeParams, driver_terms: int | None = None) -> list[Transformer]:
+    """Encoder whose vocabulary and IDF come from ``train`` only."""
     width = vector_width(train) if params.use_embedding else None
     if not params.use_bow:
         return encoder([], None, params, width)
@@ -156,9 +167,9 @@ def fit_encoder(train: DataFrame, params: TreeParams) -> list[Transformer]:
     if params.use_idf:
         terms = terms.withColumn("n_docs", F.lit(train.count()))
     terms = materialise(terms, "terms")
-    words, weights = collect_terms(terms, params.use_idf)
+    stages = term_encoder(terms, params, width, driver_terms) or encoder([], [] if params.use_idf else None, params, width)
     discard(terms)
-    return encoder(words, weights, params, width)
+    return stages
 
 
 def assemble(df: DataFrame, params: TreeParams) -> DataFrame:
@@ -269,27 +280,30 @@ def prefix_predict(
     return _leaves(model, df, keep).select(*keep, said.alias("prediction"))
 
 
+def best_prefix(model: GBTClassificationModel, val: DataFrame, patience: int) -> int:
+    """The prefix of best validation F1 before ``patience`` trees without improvement."""
+    scores = prefix_scores(model, val)
+    errors = scores.select(F.lit(0).alias("round"), "iteration", (F.lit(1.0) - F.col("f1")).alias("err"))
+    return int(best_iteration(errors, patience).first()["best_iteration"])
+
+
 def fit_stopped(
     train: DataFrame, val: DataFrame, params: TreeParams
 ) -> tuple[GBTClassificationModel, np.ndarray, int]:
     """(model, leaf values, best iteration) with early stopping on the validation F1.
 
-    Spark cannot add trees to a fitted model, so fits of twice as many trees follow
-    each other until ``patience`` iterations without improvement lie inside one.  With
-    one seed a longer fit starts with the trees of the shorter, so the stopping point
-    is that of a full fit, and all fits together grow at most about four times the
-    trees up to it.
+    The trees grown are the best iteration and ``patience`` more (``params.trees`` at
+    most), each grown once, and they are those of a single fit of as many trees.
     """
-    trees = min(params.trees, max(2 * params.patience, 2))
-    while True:
-        model = fit_trees(train, replace(params, trees=trees))
-        values = leaf_values(train.sparkSession, model)
-        scores = prefix_scores(model, val, values)
-        errors = scores.select(F.lit(0).alias("round"), "iteration", (F.lit(1.0) - F.col("f1")).alias("err"))
-        best = int(best_iteration(errors, params.patience).first()["best_iteration"])
-        if trees >= params.trees or best + params.patience <= trees:
-            return model, values, best
-        trees = min(params.trees, 2 * trees)
+    chain = Boosting(
+        with_weight(train, balance_factor(train)), params,
+        lambda rows, trees: tree_classifier(replace(params, trees=trees)).fit(rows),
+    )
+    try:
+        best = fit_until(chain, lambda model: best_prefix(model, val, params.patience), params.trees, params.patience)
+        return chain.model, leaf_values(train.sparkSession, chain.model), best
+    finally:
+        chain.close()
 
 
 # --- Final model ------------------------------------------------------------

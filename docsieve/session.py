@@ -8,6 +8,9 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FILES_PER_VALUE = 4  # tasks that share the rows of one value of a partitioned table
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +50,10 @@ def materialise(df: DataFrame, name: str = "table", partition_by: str | None = N
     """
     path = scratch_path(df.sparkSession, name)
     if partition_by:
-        # One file per value: every reader of one value opens one folder.
-        df.repartition(partition_by).write.partitionBy(partition_by).parquet(path)
+        # A folder per value, a few files in it: readers of one value open one folder, and no
+        # value is the work of one task.
+        salt = F.pmod(F.xxhash64(*(c for c in df.columns if c != partition_by)), F.lit(FILES_PER_VALUE))
+        df.repartition(F.col(partition_by), salt).write.partitionBy(partition_by).parquet(path)
     else:
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

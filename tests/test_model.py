@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docsieve.operators.metrics import best_iteration
 from docsieve.plans import experiment as X
 from docsieve.plans import model as M
+from docsieve.plans.boosting import Boosting
+from docsieve.plans.vocabulary import ranked
 from docsieve.session import materialise, scratch_path
 from docsieve.sources import writers
 from docsieve.streaming.scoring import ARRIVAL, latest_scores, score_stream
@@ -109,21 +111,94 @@ def test_default_grid_has_a_row_for_every_set():
         M.tree_classifier(replace(PARAMS, max_depth=31))
 
 
-def test_patience_ends_the_fit(spark, encoded):
-    val = encoded.where("pmid % 3 = 0")
-    params = replace(PARAMS, trees=40, patience=2)
-    model, values, best = M.fit_stopped(encoded, val, params)
-    assert best + 2 <= len(model.trees) <= 4 * (best + 2) and len(model.trees) < 40 and values.shape[0] == len(model.trees)
-    full = M.prefix_scores(M.fit_trees(encoded, params), val)
-    errors = full.select(F.lit(0).alias("round"), "iteration", (F.lit(1.0) - F.col("f1")).alias("err"))
-    assert best_iteration(errors, 2).first()["best_iteration"] == best
+def plain_best(errors, patience):
+    """The last strict improvement before ``patience`` values without one."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
-def test_too_many_terms_are_refused(spark):
-    terms = spark.createDataFrame([("a", 3), ("b", 2), ("c", 2)], "token string, df int")
-    assert M.collect_terms(terms, False) == (["a", "b", "c"], None)
-    with pytest.raises(ValueError, match="3 terms"):
-        M.collect_terms(terms, False, limit=2)
+@pytest.mark.parametrize("patience", [1, 2, 5])
+def test_patience_ends_the_fit(spark, encoded, patience):
+    val = encoded.where("pmid % 3 = 0")
+    params = replace(PARAMS, trees=40, patience=patience)
+    model, values, best = M.fit_stopped(encoded, val, params)
+    # No tree beyond the stopping point and patience, and none grown twice.
+    assert len(model.trees) == best + patience < 40 and values.shape[0] == len(model.trees)
+    scores = M.prefix_scores(M.fit_trees(encoded, params), val).orderBy("iteration").collect()
+    assert best == plain_best([1 - r["f1"] for r in scores], patience)
+
+
+@pytest.mark.parametrize("steps", [[1, 2, 3, 7], [7], [5, 7]])
+def test_a_chain_goes_on_as_if_fitted_at_once(encoded, steps):
+    params = replace(PARAMS, trees=7, feature_rate=1.0)
+    whole = M.fit_trees(encoded, params)
+    chain = Boosting(
+        M.with_weight(encoded, M.balance_factor(encoded)), params,
+        lambda rows, n: M.tree_classifier(replace(params, trees=n)).fit(rows),
+    )
+    for upto in steps:
+        chain.grow(upto)
+        assert len(chain) == upto == len(chain.model.trees)
+    said = {r["pmid"]: r["probability"][1] for r in chain.model.transform(encoded).collect()}
+    for r in whole.transform(encoded).collect():
+        assert said[r["pmid"]] == pytest.approx(r["probability"][1], abs=1e-9)
+    # The written margin is the model's.
+    margins = sorted(r["margin"] for r in chain.now.collect())
+    own = sorted(r["rawPrediction"][1] for r in chain.model.transform(encoded).collect())
+    assert margins == pytest.approx(own)
+    chain.close()
+
+
+def test_fit_stops_at_the_most_trees(encoded):
+    model, _, best = M.fit_stopped(encoded, encoded.where("pmid % 3 = 0"), replace(PARAMS, trees=3, patience=50))
+    assert len(model.trees) == 3 and 1 <= best <= 3
+
+
+@pytest.mark.parametrize("use_idf", [False, True])
+def test_a_vocabulary_beyond_the_driver(spark, data, use_idf):
+    docs, labels = data
+    rows = M.with_target(docs.drop("embedding").join(labels, "pmid"))
+    odd = spark.createDataFrame([(900, [], "x", 0.0), (901, ["unknown"], "x", 0.0)], "pmid bigint, tokens array<string>, label string, target double")
+    params = replace(PARAMS, use_idf=use_idf)
+    small = M.fit_encoder(rows, params)
+    large = M.fit_encoder(rows, params, driver_terms=3)
+    assert type(large[0]).__name__ == "TermEncoder" and large[0].getOrDefault("size") == len(small[0].vocabulary) > 3
+    table = spark.read.parquet(large[0].getOrDefault("table")).orderBy("place").collect()
+    assert [r["token"] for r in table] == small[0].vocabulary and [r["place"] for r in table] == list(range(len(table)))
+    both = rows.select(*odd.columns).unionByName(odd)
+    path = scratch_path(spark, "encoder")
+    writers.save_model(M.PipelineModel(large), path)
+    for stages in (large, writers.load_model(spark, path).stages):
+        want = {r["pmid"]: r["features"].toArray() for r in M.PipelineModel(small).transform(both).collect()}
+        got = M.PipelineModel(stages).transform(both).collect()
+        assert len(got) == 152
+        for r in got:
+            assert r["features"].toArray() == pytest.approx(want[r["pmid"]])
+
+
+def test_ranks_of_many_partitions(spark):
+    terms = spark.range(5000).select(F.concat(F.lit("t"), "id").alias("token"), (F.col("id") % 17).alias("df"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranked(terms).orderBy("place").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted((-(i % 17), f"t{i}") for i in range(5000))
+    assert [(r["token"], r["place"]) for r in got] == [(t, i) for i, (_, t) in enumerate(want)]
+
+
+def test_a_large_vocabulary_is_used_throughout(data, monkeypatch):
+    docs, labels = data
+    monkeypatch.setattr(M, "DRIVER_TERMS", 3)
+    run = X.repeated_holdout(docs, labels, rounds=1, params=replace(PARAMS, use_embedding=True))
+    assert run.metrics.first()["f1"] > 0.7
+    model = M.fit_final(docs.drop("embedding"), labels, PARAMS)
+    assert type(model.stages[0]).__name__ == "TermEncoder" and M.score(model, docs.drop("embedding")).count() == 150
 
 
 def test_final_model_save_load_stream(spark, data):
