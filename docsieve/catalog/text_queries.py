@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import concat_vectors, slice_vector
+from ..functions.token_rules import replace_tokens
 from ..operators import features, pooling
 from ..operators.expand import records
 from ..plans import model as M
@@ -123,7 +124,7 @@ def stopwords(spark, sf_dir):
 )
 def number_cleanup(spark, sf_dir):
     full = _text(spark, sf_dir).select("pmid", T.tokenize("text", "full").alias("tokens"))
-    return full.select("pmid", F.array_join(T.clean_numbers("tokens"), " ").alias("tokens"))
+    return full.select("pmid", F.array_join(replace_tokens("tokens"), " ").alias("tokens"))
 
 
 _COUNTED = f"""{V.SQL_TOKENS},

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.stemming import stem_tokens
+from ..functions.token_rules import replace_tokens
 from ..operators.expand import records
 from ..operators.rows import mask_tokens
 
@@ -44,11 +44,11 @@ def text_tokens(
     mode: str = "full",
     stop_words: Sequence[str] = (),
     lexicon: Sequence[str] = (),
+    stem: bool = False,
 ) -> Column:
-    """Cleaned tokens of a text column, before stemming: tokenise, drop stop
-    words, mask, lower-case, clean numbers."""
-    tokens = T.drop_stopwords(T.tokenize(col, mode), stop_words)
-    return T.clean_numbers(T.mask_words(tokens, lexicon))
+    """Cleaned tokens of a text column: tokenise, drop stop words, mask, lower-case, clean
+    numbers and, with ``stem``, stem."""
+    return replace_tokens(T.tokenize(col, mode), stop_words, lexicon, stems=stem)
 
 
 def field_tokens(
@@ -64,27 +64,21 @@ def field_tokens(
     """(key, keep, one token list per field), suffixed but without n-grams.
 
     Title and abstract take the text path, every other field the list path.  All
-    of it stays inside the row; stemming is one Arrow step over all text fields.  A
-    short ``lexicon`` is a list; a large one is a table (column ``token``) and joined.
+    of it stays inside the row; what becomes of a token is one Arrow step per text
+    field over its distinct tokens.  A short ``lexicon`` is a list; a large one is a table (column ``token``) and joined.
     """
     for f in fields:
         T.field_suffix(f)
     texts = [f for f in fields if f in T.TEXT_FIELDS]
     if isinstance(lexicon, DataFrame):
-        words = {f: F.transform(T.drop_stopwords(T.tokenize(f, mode), stop_words), F.lower) for f in texts}
+        words = {f: replace_tokens(T.tokenize(f, mode), stop_words, (), clean=False) for f in texts}
         lists = df.select(key, *keep, *[words.get(f, F.col(f)).alias(f) for f in fields])
         masked = mask_tokens(lists, lexicon, tokens=texts, key=key) if texts else lists
-        cleaned = masked.select(key, *keep, *[T.clean_numbers(f).alias(f) if f in texts else F.col(f) for f in fields])
+        done = {f: replace_tokens(f, stems=stem) for f in texts}
+        cleaned = masked.select(key, *keep, *[done.get(f, F.col(f)).alias(f) for f in fields])
     else:
-        cleaned = df.select(
-            key,
-            *keep,
-            *[text_tokens(f, mode, stop_words, lexicon).alias(f) if f in texts else F.col(f) for f in fields],
-        )
-    if stem:
-        cleaned = cleaned.select(
-            key, *keep, *[stem_tokens(F.col(f)).alias(f) if f in T.TEXT_FIELDS else F.col(f) for f in fields]
-        )
+        done = {f: text_tokens(f, mode, stop_words, lexicon, stem) for f in texts}
+        cleaned = df.select(key, *keep, *[done.get(f, F.col(f)).alias(f) for f in fields])
 
     def finish(f: str) -> Column:
         if f in T.TEXT_FIELDS:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.naming import RESULT_PATTERN
+from .quoted_csv import read_quoted_csv
 
 LABEL_SCHEMA = T.StructType(
     [
@@ -56,20 +57,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_documents_csv(
     spark: SparkSession, path: str, schema: T.StructType | str = DOCUMENT_SCHEMA
 ) -> DataFrame:
-    """Quoted CSV whose fields may hold newlines and quotes.
-
-    Multi-line files cannot be split, so one file is one task: keep large inputs
-    in many files.
-    """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("lineSep", "\n")
-        .csv(path)
-    )
+    """Quoted CSV with a header, whose fields may hold newlines and quotes; a large file is
+    read by many tasks."""
+    return read_quoted_csv(spark, path, schema)
 
 
 def read_embeddings_jsonl(spark: SparkSession, path: str) -> DataFrame:

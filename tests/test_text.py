@@ -8,9 +8,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docsieve.functions import text as T
-from docsieve.functions.stemming import stem
+from docsieve.functions.stemming import stem, stem_tokens
+from docsieve.functions.token_rules import replace_tokens
 from docsieve.plans import preprocess as P
 
+# Sample sentences and the token strings they must give.
 CANDIDA = (
     "Candida infections have increased due to the growth and expansion of susceptible patient populations."
 )
@@ -140,3 +142,31 @@ def test_term_runs_count_like_a_counter(spark, docs):
 )
 def test_stem_examples(word, want):
     assert stem(word) == want
+
+
+@pytest.mark.parametrize("stems", [False, True])
+def test_token_rules_equal_the_column_path(spark, stems):
+    """One step over distinct tokens gives what the expressions give token by token."""
+    lists = [
+        ["The", "the", "4323L/min", "43.23", "l/min", "cyp-3a4", "a\nb", "1\n2", "12µg7", "IDIOT", "Idiots", "running"], [], None,
+        ["THE"], ["3.25l/h", None, "x"], ["١٢", "Ünder", "--", "a1-b2", ""], ["running"] * 40 + ["the", "1a"] * 20,
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, t array<string>").repartition(2)
+    stop, names = ["the", "A"], ["idiot"]
+    plain = T.clean_numbers(T.mask_words(T.drop_stopwords("t", stop), names))
+    want = df.select("i", (stem_tokens(plain) if stems else plain).alias("o"))
+    got = df.select("i", replace_tokens("t", stop, names, stems=stems).alias("o"))
+    # The expressions drop a NULL token with the stop words; the rules keep it.
+    keep = {r.i: r.o for r in got.collect()}
+    assert keep[4] == (["##", "lh", None, "x"])
+    assert {i: o for i, o in keep.items() if i != 4} == {r.i: r.o for r in want.collect() if r.i != 4}
+    only_low = df.select("i", replace_tokens("t", clean=False, lexicon=()).alias("o")).collect()
+    assert {r.i: r.o for r in only_low}[3] == ["the"]
+
+
+def test_pieces_are_trimmed_in_the_whole_text(spark):
+    texts = ["(a) «b», --c--d.. ... e.\u0085f. g.\u0085", "..\u2003x!\u2028?y?", "", None, "a", "!"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    each = F.filter(F.transform(F.split(T.filled("x"), r"[\s\p{Z}]+"), lambda t: F.regexp_replace(t, r"^\p{P}+|\p{P}+$", "")), lambda t: t != "")
+    got = df.select(T.tokenize("x", "full").alias("g"), each.alias("w")).collect()
+    assert [r.g for r in got] == [r.w for r in got] and got[2].g == []
