@@ -178,8 +178,10 @@ def median_std(spark, sf_dir):
 
 @query(
     "a10_histogram",
-    """WITH span AS (SELECT min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi,
-                            (ceil(log2(count(*))) + 1)::INTEGER AS k FROM documents),
+    """WITH few AS (SELECT min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi, count(*) AS n,
+                           quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25) AS iqr FROM documents),
+            widths AS (SELECT lo, hi, (hi - lo) / (log2(n) + 1) AS a, 2 * iqr / power(n, 1 / 3.0::DOUBLE) AS b FROM few),
+            span AS (SELECT lo, hi, ceil((hi - lo) / (CASE WHEN b > 0 THEN least(a, b) ELSE a END))::INTEGER AS k FROM widths),
             binned AS (SELECT least(floor((n_chars - lo) / ((hi - lo) / k)), k - 1)::BIGINT AS bin, count(*) AS n
                        FROM documents, span GROUP BY 1),
             frame AS (SELECT unnest(range(0, k)) AS bin, lo AS low, (hi - lo) / k AS w FROM span)
@@ -191,6 +193,19 @@ def histogram(spark, sf_dir):
     return _rounded(metrics.histogram(V.table(spark, sf_dir, "documents"), "n_chars"), "lo", "hi", digits=4)
 
 
+@query(
+    "a10c_f1_auto_histogram",
+    f"""WITH {V.sql_metrics(20)}, one AS (SELECT f1 FROM metrics WHERE experiment = 'res_title'),
+        few AS (SELECT min(f1) AS lo, max(f1) AS hi, count(*) AS n, quantile_cont(f1, 0.75) - quantile_cont(f1, 0.25) AS iqr FROM one),
+        widths AS (SELECT lo, hi, (hi - lo) / (log2(n) + 1) AS a, 2 * iqr / power(n, 1 / 3.0::DOUBLE) AS b FROM few)
+        SELECT ceil((hi - lo) / (CASE WHEN b > 0 THEN least(a, b) ELSE a END))::BIGINT AS n_bins, 20::BIGINT AS n FROM widths""",
+)
+def f1_auto_histogram(spark, sf_dir):
+    """Bins and values of the F1 histogram without a stated number of bins."""
+    one = materialise(_metrics(spark, sf_dir, 20).where(F.col("experiment") == "res_title"), "metrics")
+    return metrics.histogram(one, "f1").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n"))
+
+
 @query(
     "a10b_f1_histogram",
     f"""WITH {V.sql_metrics(20)}, one AS (SELECT f1 FROM metrics WHERE experiment = 'res_title'),

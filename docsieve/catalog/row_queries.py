@@ -232,6 +232,24 @@ def parity(spark, sf_dir):
     return checks.id_parity(a, b)
 
 
+@query(
+    "c1b_same_multiset",
+    """SELECT 'again' AS side, count(*) AS n_left, count(*) AS n_right, true AS same FROM documents UNION ALL
+       SELECT 'one less', count(*), count(*) - 1, false FROM documents UNION ALL
+       SELECT 'one changed', count(*), count(*), count(*) = 0 FROM documents""",
+)
+def multisets(spark, sf_dir):
+    """All columns of the corpus against itself dealt anew, without its first row, and with one changed."""
+    docs = V.table(spark, sf_dir, "documents")
+    first = F.col("doc_id") == docs.agg(F.min("doc_id")).first()[0]
+    others = {
+        "again": docs.repartition(5, "source"), "one less": docs.where(~first),
+        "one changed": docs.withColumn("text", F.when(first, F.lit("?")).otherwise(F.col("text"))),
+    }
+    found = [checks.same_multiset(docs, o, *docs.columns).withColumn("side", F.lit(n)) for n, o in others.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("c2_two_labels", f"WITH {V.SQL_LABELS} SELECT count(DISTINCT label) AS n_values FROM labels_v")
 def two_labels(spark, sf_dir):
     lab = V.labels(spark, sf_dir)

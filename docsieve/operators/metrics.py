@@ -127,18 +127,29 @@ def median_std(
     )
 
 
+def auto_bins(lo: float, hi: float, n: int, spread: float) -> int:
+    """Number of equal bins over [lo, hi] for ``n`` values with an interquartile range ``spread``."""
+    width = (hi - lo) / (math.log2(n) + 1)
+    by_spread = 2 * spread / n ** (1 / 3)
+    return math.ceil((hi - lo) / (min(width, by_spread) if by_spread else width))
+
+
 def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
     """(bin, lo, hi, n) of equal-width bins over [min, max], empty bins included.
 
-    Without ``bins`` the Sturges rule sets their number.  Fails on a constant
-    column.  One pass finds the span (one row), the next counts into it.
+    Without ``bins`` their number is that of the narrower of two widths: the span over
+    log2(n) + 1, and twice the interquartile range over the cube root of n (left out where
+    it is 0).  Fails on a constant column.  One pass finds the span and the quartiles (one
+    row), the next counts into it.
     """
+    quartiles = F.percentile(col, F.array(F.lit(0.25), F.lit(0.75)))
     span = df.agg(
-        F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"), F.count(col).alias("n")
-    ).first()
+        F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"), F.count(col).alias("n"),
+        *([] if bins else [quartiles.alias("q")]),
+    ).first()
     if span["lo"] == span["hi"]:
         raise ValueError("histogram of a constant column")
-    k = bins or math.ceil(math.log2(span["n"])) + 1
+    k = bins or auto_bins(span["lo"], span["hi"], span["n"], span["q"][1] - span["q"][0])
     low, width = F.lit(span["lo"]), F.lit((span["hi"] - span["lo"]) / k)
     index = F.least(F.floor((F.col(col) - low) / width), F.lit(k - 1).cast("bigint")).alias("bin")
     counts = df.where(F.col(col).isNotNull()).groupBy(index).agg(F.count("*").alias("n"))

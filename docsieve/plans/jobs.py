@@ -7,9 +7,8 @@ plans.  Runs and experiments are configuration, a handful of names.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
+from dataclasses import asdict, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.arrays import concat_vectors, slice_vector
 from ..functions.naming import RESULT_PREFIX
 from ..functions.text import SEPARATOR, split_tokens
-from ..operators.checks import require_same_keys
+from ..operators.checks import fingerprint_of, multiset_fingerprint, require_same_keys
 from ..operators.metrics import class_share, fill_rate
 from ..operators.pooling import pool_vectors, token_vectors
 from ..operators.report import boxplot_table, interval_summary, leaderboard
 from ..operators.rows import normalise, select_labelled
-from ..sources import readers, writers
+from ..sources import manifest, readers, writers
 from .chain import Preprocessor, takes_raw_documents, with_preprocessor
 from .experiment import Experiment, Search, grid_search, repeated_holdout
 from .model import FINAL_TREES, TreeParams, evaluate, fit_final, score
@@ -47,21 +46,18 @@ def profile_job(spark: SparkSession, subset: str, labels: str) -> tuple[DataFram
     return class_share(readers.read_labels(spark, labels)), fill_rate(docs, present)
 
 
-def _finished(read) -> list[str]:
-    """Names already stored; none if the folder does not exist yet."""
-    try:
-        return [r[0] for r in read().distinct().collect()]
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return []
-        raise
+def _pending(spark: SparkSession, out: str, keys: Mapping[str, str], overwrite: bool) -> tuple[list[str], list[str]]:
+    """(runs to do, runs whose stored output is that of these keys), in the caller's order."""
+    done = manifest.finished(spark, out, keys)
+    matrix = spark.createDataFrame([(n,) for n in keys], "run string")
+    ready = spark.createDataFrame([(n,) for n in done], "run string")
+    left = {r["run"] for r in writers.pending_runs(matrix, ready, overwrite).collect()}
+    return [n for n in keys if n in left], done
 
 
-def _pending(spark: SparkSession, names: Sequence[str], done: Sequence[str], overwrite: bool) -> list[str]:
-    matrix = spark.createDataFrame([(n,) for n in names], "run string")
-    finished = spark.createDataFrame([(n,) for n in done], "run string")
-    left = {r["run"] for r in writers.pending_runs(matrix, finished, overwrite).collect()}
-    return [n for n in names if n in left]
+def _stated(options: Mapping) -> dict:
+    """Options as settings of a key: a table counts by its content."""
+    return {k: multiset_fingerprint(v) if isinstance(v, DataFrame) else v for k, v in options.items()}
 
 
 def feature_job(
@@ -70,13 +66,19 @@ def feature_job(
     """Token bags of every pending run below ``out/run=<name>``; returns their names.
 
     Fields are cleaned once for all runs.  ``options`` go to the preprocessing
-    (stop words, lexicon, mode).
+    (stop words, lexicon, mode).  A run is pending unless its finished output was made
+    with the same settings of the same content.
     """
-    done = _finished(lambda: spark.read.parquet(out).select("run"))
-    names = _pending(spark, list(runs), done, overwrite)
+    docs = readers.read_corpus(spark, subset)
+    # One scan for what all runs read.
+    content = docs.agg(*[fingerprint_of("pmid", *fields).alias(n) for n, (fields, _) in runs.items()]).first()
+    settings = _stated(options)
+    keys = {n: manifest.run_key({"fields": list(fields), "ngram": g, **settings}, [content[n]]) for n, (fields, g) in runs.items()}
+    names, _ = _pending(spark, out, keys, overwrite)
     if names:
         todo = {n: runs[n] for n in names}
-        docs = readers.read_corpus(spark, subset)
+        for n in names:
+            manifest.begin(spark, out, n)
         bags = run_matrix(field_tokens(docs, run_fields(todo), **options), todo)
         (
             bags.select("run", "pmid", F.array_join("tokens", SEPARATOR).alias("bow"))
@@ -85,6 +87,8 @@ def feature_job(
             .partitionBy("run")
             .parquet(out)
         )
+        for n in names:
+            manifest.commit(spark, out, n, keys[n])
     return names
 
 
@@ -116,15 +120,18 @@ def vector_job(
     ``runs`` tells whether max and min are added.  Once a run with them is
     stored, a mean-only run is cut from it instead of pooling again.
     """
-    done = _finished(lambda: spark.read.parquet(out).select("run"))
-    names = _pending(spark, list(runs), done, overwrite)
+    content = multiset_fingerprint(spark.read.parquet(tokens))
+    keys = {n: manifest.run_key({"maxmin": runs[n], "width": width}, [content]) for n in runs}
+    names, done = _pending(spark, out, keys, overwrite)
     for name in sorted(names, key=lambda n: not runs[n]):
         whole = [n for n in runs if runs[n] and n != name and (n in done or n in names)]
         if not runs[name] and whole:
             vectors = mean_only(spark.read.parquet(f"{out}/run={whole[0]}"), width)
         else:
             vectors = vector_features(spark.read.parquet(tokens), runs[name])
+        manifest.begin(spark, out, name)
         writers.write_parquet(vectors, f"{out}/run={name}")
+        manifest.commit(spark, out, name, keys[name])
     return names
 
 
@@ -185,21 +192,19 @@ def evaluation_job(
     overwrite: bool = False,
     parallelism: int = 4,
 ) -> dict[str, Experiment]:
-    """Repeated hold-out of every experiment without a stored result; writes its
-    round metrics and its per-document tally (hardest first)."""
+    """Repeated hold-out of every experiment without a stored result of the same content and
+    settings; writes its round metrics and its per-document tally (hardest first)."""
     spark = labels.sparkSession
-    prefix = F.lit(RESULT_PREFIX)
-    done = _finished(
-        lambda: readers.read_results(spark, f"{results}/{RESULT_PREFIX}*.csv").select(
-            F.replace("experiment", prefix, F.lit(""))
-        )
-    )
+    known = multiset_fingerprint(labels, "pmid", "label")
+    settings = {"rounds": rounds, "size": size, "params": asdict(params)}
+    keys = {n: manifest.run_key(settings, [known, multiset_fingerprint(df)]) for n, df in features.items()}
     out = {}
-    for name in _pending(spark, list(features), done, overwrite):
+    for name in _pending(spark, results, keys, overwrite)[0]:
+        manifest.begin(spark, results, name)
         run = repeated_holdout(features[name], labels, rounds, size, params, parallelism)
-        # The stored metrics mark a run as done, so they come last.
         writers.write_csv(run.tally.orderBy(F.asc_nulls_last("pct"), "pmid"), f"{tallies}/bootstrap_{name}")
         writers.write_results(run.metrics, results, f"{RESULT_PREFIX}{name}")
+        manifest.commit(spark, results, name, keys[name])
         out[name] = run
     return out
 

@@ -32,8 +32,8 @@ def score_stream(
     ``prepare`` turns arriving columns into (pmid, tokens[, embedding]) and keeps
     the arrival columns.  Scoring is row-wise, so no state is held; the file
     source and sink with their checkpoint make each file count exactly once.  A
-    stored table ``vectors`` (pmid, embedding) is joined to what arrives; documents
-    without a vector are not scored.
+    stored table ``vectors`` (pmid, embedding) is joined to what arrives; where vectors
+    arrive as well, :mod:`.completion` holds every document until its own has come.
     Runs until the files present are done.
     """
     reader = spark.readStream.schema(schema)

@@ -167,3 +167,69 @@ def test_vector_features(spark):
     assert np.allclose(stored_mean["titles_embedded"], want[(2, "title")][:4])
     mean = J.joined_vectors(J.mean_only(whole, 4)).where("pmid = 1").first()["embedding"]
     assert np.allclose(mean, np.concatenate([want[(1, "abstract")][:4], want[(1, "title")][:4]]))
+
+
+def test_runs_are_due_again_when_settings_or_content_change(spark, monkeypatch):
+    base = scratch_path(spark, "manifests")
+    rows = [(i, f"Study {i}", "Nothing of note.", "A", "Review") for i in range(12)]
+    schema = "pmid bigint, title string, abstract string, mesh_terms string, publication_types string"
+    writers.write_parquet(spark.createDataFrame(rows, schema), f"{base}/one")
+    # The same rows in another order and other files are the same content.
+    writers.write_parquet(spark.createDataFrame(rows[::-1], schema).repartition(3), f"{base}/two")
+
+    def due(subset, runs=RUNS, **options):
+        return J.feature_job(spark, f"{base}/{subset}", f"{base}/bow", runs, **options)
+
+    assert due("one") == ["title", "optimal"] and due("one") == [] and due("two") == []
+    assert due("one", stop_words=["study"]) == ["title", "optimal"] and due("one", stop_words=["study"]) == []
+    assert due("one") == ["title", "optimal"]
+    assert due("one", {**RUNS, "optimal": (RUNS["optimal"][0], 1)}) == ["optimal"]
+    # Only the runs that read a changed field are due.
+    changed = [(*r[:3], "B", r[4]) if r[0] == 5 else r for r in rows]
+    writers.write_parquet(spark.createDataFrame(changed, schema), f"{base}/three")
+    assert due("one") == ["optimal"] and due("three") == ["optimal"] and due("three") == []
+    words = spark.createDataFrame([("note",)], "token string")
+    assert due("three", lexicon=words) == ["title", "optimal"] and due("three", lexicon=words) == []
+    assert due("three", lexicon=words.union(words.select(F.lit("study")))) == ["title", "optimal"]
+
+    # A run that breaks off is due again, though some of its output is there.
+    def broken(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(J.manifest, "commit", broken)
+        due("one")
+    assert spark.read.parquet(f"{base}/bow").where("run = 'title'").count() == 12
+    assert due("one") == ["title", "optimal"] and due("one") == []
+
+
+def test_evaluation_is_due_again_when_labels_change(spark):
+    base = scratch_path(spark, "manifests")
+    docs = spark.createDataFrame([(i, ["dose"] if i % 3 == 0 else ["none"]) for i in range(60)], "pmid bigint, tokens array<string>")
+    labels = docs.select("pmid", F.when(F.col("pmid") % 3 == 0, POSITIVE).otherwise(NEGATIVE).alias("label"))
+
+    def due(labels, params=PARAMS):
+        return list(J.evaluation_job({"all": docs}, labels, f"{base}/results", f"{base}/tallies", 1, 0.2, replace(params, trees=1)))
+
+    assert due(labels) == ["all"] and due(labels.repartition(3)) == []
+    other = labels.withColumn("label", F.when(F.col("pmid") == 3, NEGATIVE).otherwise(F.col("label")))
+    assert due(other) == ["all"] and due(other) == [] and due(other, replace(PARAMS, max_depth=3)) == ["all"]
+
+
+def test_key_fingerprints(spark):
+    from docsieve.operators import checks
+
+    one = spark.createDataFrame([(i, str(i % 3)) for i in range(50)] + [(None, None)], "pmid bigint, x string")
+    two = one.orderBy(F.desc("pmid")).repartition(4)
+    assert checks.multiset_fingerprint(one) == checks.multiset_fingerprint(two)
+    plan = checks.same_multiset(one, two, "pmid")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan  # no key is moved
+    for other in (two.where("pmid > 0"), two.union(one.limit(1)), two.withColumn("pmid", F.col("pmid") + F.when(F.col("pmid") == 7, 100).otherwise(0))):
+        assert not checks.same_multiset(one, other, "pmid").first()["same"]
+        with pytest.raises(ValueError, match="differ"):
+            checks.require_same_keys(one, other)
+    checks.require_same_keys(one, two)
+    twice = one.union(one)
+    with pytest.raises(ValueError, match="repeated_left"):
+        checks.require_same_keys(twice, twice)
+    assert checks.same_multiset(one.limit(0), two.limit(0), "pmid").first()["same"]

@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,16 @@ def test_percent_rounds_half_even(spark):
     df = spark.createDataFrame([(0.80125,), (0.80135,), (0.73925,), (1.0,), (0.0,)], "x double")
     assert [r[0] for r in df.select(percent("x")).collect()] == [80.1, 80.1, 73.9, 100.0, 0.0]
     assert df.select(F.count("x")).first()[0] == 5
+
+
+@pytest.mark.parametrize("values", [[1.0, 2, 2, 3, 9, 10, 11, 50], list(range(400)), [0.1, 0.4]])
+def test_bins_without_a_number(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values], "f1 double")
+    edges = np.histogram_bin_edges(np.array(values, float), "auto")
+    got = M.histogram(df, "f1").orderBy("bin").collect()
+    assert len(got) == len(edges) - 1
+    assert [r["n"] for r in got] == np.histogram(values, edges)[0].tolist()
+
+
+def test_bins_where_the_middle_half_is_one_value():
+    assert M.auto_bins(0.0, 5.0, 92, 0.0) == math.ceil(math.log2(92) + 1)
