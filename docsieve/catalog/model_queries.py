@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..operators import rows, splits
 from ..operators.expand import elements
-from ..operators.metrics import best_iteration
+from ..operators.metrics import best_iteration, binary_metrics
 from ..plans import experiment as X
 from ..plans import model as M
 from ..plans import preprocess as P
 from ..session import materialise, scratch_path
 from ..sources import writers
+from ..streaming.completion import arriving, compact, newest_scores, score_completed
 from ..streaming.scoring import ARRIVAL, latest_scores, score_stream
 from . import views as V
 from .aggregate_queries import FOLD_SQL
@@ -27,6 +28,7 @@ from .text_queries import sql_clean, sql_full, sql_list_field, sql_stop
 
 SMALL = M.TreeParams(min_df=8, max_depth=3, trees=6, patience=3)
 FIELDS = ("title", "abstract", "publication_types")
+FOLD_SQL3 = FOLD_SQL.replace("% 5)", "% 3)")
 
 
 def bags(spark, sf_dir):
@@ -265,6 +267,36 @@ def grid_sets(spark, sf_dir):
     return found.scores.withColumn("scored", F.col("mean_f1").between(0, 1)).drop("mean_f1")
 
 
+@query(
+    "m9c_fold_scores",
+    f"""WITH {FOLD_SQL3}, sizes AS (SELECT fold, count(*) FILTER (label = '{V.POSITIVE}') AS n_positive, count(*) AS n FROM folds GROUP BY fold)
+        SELECT p AS param_order, fold::INTEGER AS fold, n_positive, n, true AS mean_is_mean_of_folds, true AS same_as_alone
+        FROM sizes, (VALUES (0), (1)) sets(p)""",
+)
+def fold_scores(spark, sf_dir):
+    """Every held-out document is judged once per set and fold; a set's score is the mean
+    over its folds, and a fold's F1 that of a fit of its own."""
+    docs, lab = labelled_bags(spark, sf_dir)
+    docs = materialise(docs)
+    params = replace(SMALL, trees=2, max_depth=2)
+    found = X.grid_search(docs, lab, {"min_df": [8], "max_depth": [2, 1]}, folds=3, params=params, parallelism=2)
+    means = found.folds.groupBy("param_order").agg((F.sum("f1") / 3).alias("mean"))
+    right = found.scores.join(means, "param_order").select("param_order", (F.abs(F.col("mean") - F.col("mean_f1")) < 1e-12).alias("mean_is_mean_of_folds"))
+    # Fold 1 of the first set again, on its own.
+    parts = materialise(M.with_target(rows.attach_labels(docs, lab)).join(splits.stratified_folds(lab, 3).drop("label"), "pmid"))
+    rest, held = parts.where(F.col("fold") != 1), parts.where(F.col("fold") == 1)
+    stages = M.fit_encoder(rest, replace(params, min_df=8))
+    chain = PipelineModel(stages)
+    said = M.fit_trees(chain.transform(rest), replace(params, min_df=8)).transform(chain.transform(held))
+    named = said.select("label", F.when(F.col("prediction") == 1, V.POSITIVE).otherwise(V.NEGATIVE).alias("prediction"))
+    alone = binary_metrics(named, [], V.POSITIVE).first()["f1"]
+    same = (F.col("param_order") != 0) | (F.col("fold") != 1) | (F.abs(F.col("f1") - alone) < 1e-12)
+    return found.folds.join(right, "param_order").select(
+        "param_order", "fold", (F.col("tp") + F.col("fn")).alias("n_positive"),
+        (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("n"), "mean_is_mean_of_folds", same.alias("same_as_alone"),
+    )
+
+
 @query("m10_final_fit")
 def final_fit(spark, sf_dir):
     """Stages of the fitted final chain and what each learned."""
@@ -369,6 +401,33 @@ def model_roundtrip(spark, sf_dir):
     return before.join(after, "pmid").select("pmid", (F.abs(F.col("probability") - F.col("again")) < 1e-12).alias("same"))
 
 
+@query(
+    "r1b_late_vectors",
+    """SELECT doc_id AS pmid, true AS equals_batch FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)""",
+)
+def late_vectors(spark, sf_dir):
+    """Texts and vectors arrive apart, every other text before its vector; after the stream
+    has caught up each document with both has the batch score, folded into one table."""
+    vectors = materialise(V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pmid"), "embedding"))
+    texts = materialise(bags(spark, sf_dir))
+    both = materialise(texts.join(vectors, "pmid"))
+    known = V.labels(spark, sf_dir).join(both.select("pmid"), "pmid", "left_semi")
+    fitted = both.join(known.select("pmid"), "pmid", "left_semi")
+    model = M.fit_final(fitted, known, replace(SMALL, use_embedding=True, trees=3))
+    one, two, sink, checkpoint = (scratch_path(spark, n) for n in ("texts", "vectors", "late-scores", "stream"))
+    even = F.col("pmid") % 2 == 0
+    for lot in (even, ~even):
+        texts.where(lot).write.mode("append").parquet(one)
+        vectors.where(~lot).write.mode("append").parquet(two)
+        streams = (arriving(spark, path, df.schema) for path, df in ((one, texts), (two, vectors)))
+        score_completed(model, *streams, sink, checkpoint).awaitTermination()
+        compact(spark, sink)
+    batch = M.score(model, both).select("pmid", F.col("probability").alias("b"))
+    return newest_scores(spark, sink).join(batch, "pmid", "full_outer").select(
+        "pmid", F.coalesce(F.abs(F.col("probability") - F.col("b")) < 1e-12, F.lit(False)).alias("equals_batch")
+    )
+
+
 @query(
     "r1_incremental_score",
     """SELECT doc_id AS pmid, true AS equals_batch FROM documents

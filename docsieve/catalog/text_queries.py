@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrays import concat_vectors, slice_vector
 from ..functions.token_rules import replace_tokens
-from ..operators import features, pooling
+from ..operators import abbreviations, features, phrases, pooling
 from ..operators.expand import records
 from ..plans import model as M
 from ..plans import preprocess as P
@@ -427,3 +427,47 @@ def unfold_terms(encoded, vocabulary):
 def preprocess(spark, sf_dir):
     bags = P.preprocess(full_corpus(spark, sf_dir), P.OPTIMAL, 2, V.STOP_WORDS, V.LEXICON)
     return bags.select("pmid", T.join_tokens("tokens").alias("bow"))
+
+
+_PHRASES = ("the thing", "the", "of the", "und der die", "der die", "that the", "he was", "en la")
+
+
+@query(
+    "j7b_phrase_mask",
+    f"""WITH {V.SQL_TOKENS} SELECT pmid, trim(replace(regexp_replace('  ' || array_to_string(tokens, '  ') || '  ',
+           ' ({'|'.join(sorted((p.replace(' ', '  ') for p in _PHRASES), key=len, reverse=True))}) ', ' {T.MASK} ', 'g'), '  ', ' ')) AS tokens
+        FROM tokens""",
+)
+def phrase_mask(spark, sf_dir):
+    """A lexicon of words and phrases, the longest first, in one pass over the tokens."""
+    lexicon = spark.createDataFrame([(p,) for p in _PHRASES], "phrase string")
+    return phrases.mask_phrases(V.tokens(spark, sf_dir), lexicon).select("pmid", F.array_join("tokens", " ").alias("tokens"))
+
+
+_CORES = r"""list_filter(list_transform(regexp_split_to_array(text, '[\s\p{Z}]+'),
+  lambda p: lower(regexp_replace(p, '^[^\p{L}\d]+|[^\p{L}\d.]+$', '', 'g'))), lambda c: regexp_matches(c, '\p{L}') AND NOT regexp_matches(c, '\d'))"""
+
+
+@query(
+    "t14b_abbreviation_scores",
+    rf"""WITH cores AS (SELECT unnest({_CORES}) AS core FROM documents),
+        counted AS (SELECT regexp_replace(core, '\.+$', '') AS word, count(*) FILTER (core LIKE '%.') AS n_with,
+                           count(*) FILTER (core NOT LIKE '%.') AS n_without FROM cores GROUP BY 1),
+        total AS (SELECT sum(n_with)::DOUBLE / sum(n_with + n_without) AS p FROM counted),
+        measured AS (SELECT word, n_with, n_without, length(replace(word, '.', '')) AS letters,
+                            2 * (n_with * ln(0.99) + n_without * ln(1 - 0.99) - n_with * ln(p) - n_without * ln(1 - p)) AS ratio
+                     FROM counted, total WHERE n_with > 0)
+        SELECT word, n_with, n_without,
+               round(ratio * exp(-letters) * (length(word) - letters + 1) * pow(letters::DOUBLE, -n_without), 6) + 0.0 AS score FROM measured""",
+)
+def abbreviation_scores(spark, sf_dir):
+    """How far each word that takes a full stop is an abbreviation, over all texts."""
+    found = abbreviations.abbreviation_scores(V.documents(spark, sf_dir), "text")
+    return found.withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
+@query("t14c_learned_sentences")
+def learned_sentences(spark, sf_dir):
+    """Sentences of all texts, not cut after the abbreviations learned from them."""
+    docs = V.corpus(spark, sf_dir)
+    return features.sentences_table(docs, abbreviations=abbreviations.learned_abbreviations(docs, "abstract"))

@@ -25,6 +25,7 @@ FIELD_SUFFIX = {
 }
 TEXT_FIELDS = ("title", "abstract")
 SCALAR_FIELDS = ("medline_ta",)
+_END = "\ufdd0"  # no character; marks the end of a sentence while pieces are joined
 WORD_PATTERN = r"[\p{L}\d]+"
 # Punctuation at either edge of a blank-separated piece; a line's end (U+0085) may follow it.
 PIECE_EDGES = r"(?<![^\s\p{Z}])\p{P}+|\p{P}+(?=\x{85}?(?:[\s\p{Z}]|\z))"
@@ -185,11 +186,20 @@ def scalar_field(col: Column | str, field: str) -> Column:
     return F.concat(filled(col), F.lit(field_suffix(field)))
 
 
-def sentences(col: Column | str) -> Column:
-    """Sentence strings: cut after ``.``, ``!`` or ``?`` followed by a blank."""
+def sentences(col: Column | str, abbreviations: Sequence[str] = ()) -> Column:
+    """Sentence strings: cut after ``.``, ``!`` or ``?`` followed by a blank, but not after the
+    full stop of one of the ``abbreviations`` (lower case, without it; see
+    :mod:`..operators.abbreviations`)."""
     pieces = F.regexp_extract_all(
         filled(col), F.lit(r"(?s).+?(?:[.!?]+(?:[ \t\n\f\r]+|\z)|\z)"), F.lit(0)
     )
+    known = sorted({a.lower() for a in abbreviations})
+    if known:
+        # Pieces that end in an abbreviation run on; a mark ends the others.
+        last = lambda p: F.regexp_extract(p, r"([^\s\p{Z}]+)\.[\s\p{Z}]*\z", 1)
+        core = lambda p: F.lower(F.regexp_replace(last(p), r"^[^\p{L}\d]+", ""))
+        marked = F.transform(pieces, lambda p: F.when(core(p).isin(known), p).otherwise(F.concat(p, F.lit(_END))))
+        pieces = F.split(F.array_join(marked, ""), _END)
     trimmed = F.transform(pieces, lambda s: F.btrim(s, F.lit(" \t\n\f\r")))
     return F.filter(trimmed, lambda s: s != "")
 

@@ -141,6 +141,8 @@ def term_share(df: DataFrame, label: str, positive: str, min_df: int, tokens: st
     )
 
 
-def sentences_table(df: DataFrame, col: str = "abstract", key: str = "pmid") -> DataFrame:
+def sentences_table(
+    df: DataFrame, col: str = "abstract", key: str = "pmid", abbreviations: Sequence[str] = ()
+) -> DataFrame:
     """(key, sentence_no, sentence)."""
-    return numbered(df, [key], sentences(col), "sentence_no", "sentence")
+    return numbered(df, [key], sentences(col, abbreviations), "sentence_no", "sentence")

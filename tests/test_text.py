@@ -170,3 +170,59 @@ def test_pieces_are_trimmed_in_the_whole_text(spark):
     each = F.filter(F.transform(F.split(T.filled("x"), r"[\s\p{Z}]+"), lambda t: F.regexp_replace(t, r"^\p{P}+|\p{P}+$", "")), lambda t: t != "")
     got = df.select(T.tokenize("x", "full").alias("g"), each.alias("w")).collect()
     assert [r.g for r in got] == [r.w for r in got] and got[2].g == []
+
+
+GOLDEN_SENTENCES = [
+    ("We used dr. Smith's data. It was good.", ["We used dr. Smith's data.", "It was good."]),
+    ("Given i.v. (10 mg) at noon. See Lee et al. 2003. Done!", ["Given i.v. (10 mg) at noon.", "See Lee et al. 2003.", "Done!"]),
+    ("Ends in approx.", ["Ends in approx."]),
+    ("approx. approx. end. Next", ["approx. approx. end.", "Next"]),
+    ("No stop (e.g. this).  Two\n\nspaces?  Yes.", ["No stop (e.g. this).", "Two\n\nspaces?", "Yes."]),
+    ("", []),
+]
+
+
+@pytest.mark.parametrize("text,want", GOLDEN_SENTENCES)
+def test_sentences_with_abbreviations(spark, text, want):
+    found = spark.createDataFrame([(text,)], "x string").select(T.sentences("x", ["dr", "i.v", "al", "approx", "e.g"]).alias("s")).first().s
+    assert found == want
+
+
+def test_abbreviations_are_learned(spark):
+    import math
+
+    from docsieve.operators import abbreviations as A
+
+    rows = ["Lee et al. found it. They took approx. ten mg.", "Smith et al. (2003) agree, e.g. here.", "It is here. They agree."] * 40
+    df = spark.createDataFrame([(t,) for t in [*rows, None, "", "12.5 -- 3."]], "x string")
+    got = {r.word: r for r in A.abbreviation_scores(df, "x").collect()}
+    assert set(got) == {"al", "it", "approx", "mg", "e.g", "here", "agree"}
+    assert (got["al"].n_with, got["al"].n_without, got["agree"].n_with, got["agree"].n_without) == (80, 0, 40, 40)
+    stops, words = 80 + 40 + 40 + 40 + 40 + 80 + 40, 40 * 9 + 40 * 6 + 40 * 5  # "ten", "(2003)" and numbers aside
+    words = sum(r.n_with + r.n_without for r in A.word_stops(df, "x").collect())
+    p = stops / words
+    ratio = 2 * (80 * math.log(0.99) - 80 * math.log(p))
+    assert got["al"].score == pytest.approx(ratio * math.exp(-2))
+    learned = A.learned_abbreviations(df, "x")
+    assert "al" in learned and "e.g" in learned and "agree" not in learned
+    with pytest.raises(ValueError, match="threshold"):
+        A.MOST, before = 0, A.MOST
+        try:
+            A.learned_abbreviations(df, "x")
+        finally:
+            A.MOST = before
+    assert A.learned_abbreviations(df.limit(0), "x") == []
+
+
+@pytest.mark.parametrize("block", [1_000, 1])
+def test_phrases_are_masked_whole(spark, block):
+    from docsieve.operators.phrases import mask_phrases
+
+    lists = [["New", "york", "city", "new", "york"], ["york"], [], None, ["a", "new", None, "york"], ["b", "a", "b", "a", "b", "c"]]
+    df = spark.createDataFrame([(i, x, x) for i, x in enumerate(lists)], "i int, tokens array<string>, more array<string>").repartition(2)
+    lexicon = spark.createDataFrame([(p,) for p in ("new york", "NEW York City", "a b", "b a b c", None, "", "york")], "phrase string")
+    got = {r.i: (r.tokens, r.more) for r in mask_phrases(df, lexicon, ["tokens", "more"], block_tokens=block).collect()}
+    want = [["DRUGNAME", "DRUGNAME"], ["DRUGNAME"], [], None, ["a", "new", None, "DRUGNAME"], ["b", "DRUGNAME", "DRUGNAME", "c"]]
+    assert [got[i][0] for i in range(6)] == want == [got[i][1] for i in range(6)]
+    none = mask_phrases(df, lexicon.limit(0)).select("i", "tokens").collect()
+    assert {r.i: r.tokens for r in none} == dict(enumerate(lists))
