@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from ..functions.arrays import vector_entries
 from ..operators import rows, splits
 from ..operators.expand import elements
 from ..operators.metrics import best_iteration, binary_metrics
@@ -86,21 +87,18 @@ def assemble(spark, sf_dir):
     ready = M.assemble(docs, M.TreeParams(min_df=2, use_embedding=True))
     # Terms come first in the vector; their number and width are read off the sparse form.
     width = ready.schema["features"].metadata["ml_attr"]["num_attrs"]
-    return ready.select(
-        "pmid",
-        F.lit(width).alias("n_features"),
-        F.udf(split_sums, "n_terms int, term_sum double, vector_sum double")("features", F.lit(width - 64)).alias("s"),
-    ).select(
-        "pmid", "n_features", "s.n_terms", F.round("s.term_sum", 6).alias("term_sum"),
-        (F.round("s.vector_sum", 4) + F.lit(0.0)).alias("vector_sum"),
-    )
+    entries = F.filter(vector_entries("features"), lambda e: e["value"] != 0)
+
+    def part(terms):
+        return F.filter("entries", lambda e: (e["place"] < width - 64) if terms else (e["place"] >= width - 64))
 
+    def total(items):
+        return F.aggregate(items, F.lit(0.0), lambda s, e: s + e["value"])
 
-def split_sums(vector, cut):
-    places = vector.indices if hasattr(vector, "indices") else range(len(vector))
-    items = list(zip(places, map(float, vector.values)))
-    terms = [v for i, v in items if i < cut and v]
-    return len(terms), sum(terms, 0.0), sum((v for i, v in items if i >= cut), 0.0)
+    return ready.select("pmid", entries.alias("entries")).select(
+        "pmid", F.lit(width).alias("n_features"), F.size(part(True)).alias("n_terms"),
+        F.round(total(part(True)), 6).alias("term_sum"), (F.round(total(part(False)), 4) + F.lit(0.0)).alias("vector_sum"),
+    )
 
 
 def _encoded(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrays import concat_vectors, slice_vector
+from ..functions.arrays import concat_vectors, slice_vector, vector_entries
 from ..functions.token_rules import replace_tokens
 from ..operators import abbreviations, features, phrases, pooling
 from ..operators.expand import records
@@ -407,16 +407,11 @@ def idf_l1(spark, sf_dir):
     return out[0].unionByName(out[1]).withColumn("weight", F.round("weight", 6))
 
 
-def sparse_items(vector):
-    """Places and values of a vector, for the few rows of a check."""
-    return list(zip(vector.indices.tolist(), vector.values.tolist())) if hasattr(vector, "indices") else list(enumerate(vector.toArray().tolist()))
-
-
 def unfold_terms(encoded, vocabulary):
     """(pmid, token, weight) of the non-zero term weights."""
-    items = records(encoded, ["pmid"], F.udf(sparse_items, "array<struct<place: int, weight: double>>")("term_weights"), "place").where("weight <> 0")
+    items = records(encoded, ["pmid"], vector_entries("term_weights"), "place").where("value <> 0")
     words = encoded.sparkSession.createDataFrame(list(enumerate(vocabulary)), "place int, token string")
-    return items.join(words, "place").select("pmid", "token", "weight")
+    return items.join(words, "place").select("pmid", "token", F.col("value").alias("weight"))
 
 
 @query(

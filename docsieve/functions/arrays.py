@@ -26,3 +26,11 @@ def sum_last_layers(layers: Column | str, n: int = 4) -> Column:
     width = F.size(F.element_at(c, 1))
     zero = F.transform(F.sequence(F.lit(1), width), lambda _: F.lit(0.0))
     return F.aggregate(last, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b.cast("double")))
+
+
+def vector_entries(vector: str | Column) -> Column:
+    """The stored (place, value) entries of an ML vector column, as an array: those of a
+    sparse vector, or every one of a dense."""
+    v = F.unwrap_udt(F.col(vector) if isinstance(vector, str) else vector)
+    places = F.when(v["type"] == 0, v["indices"]).otherwise(F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    return F.zip_with(places, v["values"], lambda p, x: F.struct(p.alias("place"), x.alias("value")))
