@@ -1,11 +1,12 @@
 """Benchmark decontamination: normalised test n-grams as a broadcast hash set,
 scanned by the windows of the training texts, hits verified word by word.
 
-Each benchmark window is filed under its longest word, its anchor.  Each text is
-cut into words once; the words leave the row through one generator and meet the
-broadcast set in the same stage, and the windows around an anchor are compared
-whole.  Only hits and one marker row a document go on to the shuffle.  A benchmark
-of more windows than may be broadcast is joined by shuffling on the anchor's hash.
+Each text is cut into words once, and its windows are hashed in the row.  The hashes leave
+the row through one generator and meet the broadcast set of benchmark hashes in the same
+stage; only those found there, with their words, and one marker row a document go on to a
+shuffle, where the words themselves are compared.  A benchmark of more windows than may be
+broadcast is cut into several sets, each probed by a scan of its own, so the texts are
+never shuffled whatever its size.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from .registry import query, table
 from .text import alnum_words, broadcast_within, row_key
 
 WINDOW = 13
-#: Windows that may be broadcast: some 400 bytes each with their words.
-MAX_BROADCAST = 100_000
+#: Hashes of windows that may be broadcast at once, some 50 bytes each; also the rows of other small tables.
+MAX_BROADCAST = 1_000_000
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, shift, gram, items): the distinct windows of (item_id, text), each with
-    the hash of its longest word and that word's place in it, counted from 0.
+    """(k, hash, gram, items): the distinct windows of (item_id, text), each with its number
+    of words and the hash of their hashes.
 
     An item of fewer words than a window is one window; one without words is none.
     Null item ids give windows that belong to no item.
@@ -36,11 +37,16 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     grams = cut.select("item", "w", k.alias("k"), F.explode(starts).alias("at"))
     grams = grams.select("item", F.slice("w", F.col("at"), F.col("k")).alias("gram"))
     found = grams.groupBy("gram").agg(F.collect_set("item").alias("items"))
-    longest = F.array_max(
-        F.transform("gram", lambda w, i: F.struct(F.length(w).alias("size"), F.xxhash64(w).alias("hash"), i.alias("i")))
+    return found.select(F.size("gram").alias("k"), F.xxhash64(F.transform("gram", lambda w: F.xxhash64(w))).alias("hash"), "gram", "items")
+
+
+def _windows(hashes: Column, k: int) -> Column:
+    """(n, k, hash) of every ``k`` successive word hashes, n counted from 1."""
+    last = F.size(hashes) - (k - 1)
+    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(
+        at, lambda i: F.struct(i.alias("n"), F.lit(k).alias("k"), F.xxhash64(F.slice(hashes, i, F.lit(k))).alias("hash"))
     )
-    found = found.withColumn("longest", longest)
-    return found.select(F.col("longest.hash").alias("anchor"), F.col("longest.i").alias("shift"), "gram", "items")
 
 
 def scan_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -52,22 +58,38 @@ def scan_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_
     benchmark hits nothing.  Other columns of either table are not read.
     """
     bench = materialise(benchmark_windows(items.select("item_id", "text"), window), "benchmark")
-    grams = broadcast_within(bench, bench.count(), max_broadcast)
-    words = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), alnum_words("text").alias("w"))
-    # Row 0 of each document is a marker; the rest are its words.
-    marked = F.concat(F.array(F.lit("")), F.col("w"))
-    rows = words.select("doc_id", "row_key", "w", F.posexplode_outer(marked).alias("n", "word"))
-    start = F.col("n") - F.col("shift")
-    same = (F.xxhash64("word") == F.col("anchor")) & (F.col("n") > F.col("shift")) & (
-        F.slice("w", F.greatest(start, F.lit(1)), F.size("gram")) == F.col("gram")
-    )
-    found = rows.join(grams, same, "left").where("n = 0 OR gram IS NOT NULL")
-    hit = F.col("gram").isNotNull()
+    size = bench.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("k")).alias("ks")).first()
+    blocks = max(1, -(-size["n"] // max(1, max_broadcast)))
+    key = row_key(F.col("text"))
+    words = docs.select("doc_id", key.alias("row_key"), alnum_words("text").alias("w"))
+    # The word hashes are made once: as a one-element list, they are a variable of what follows.
+    hashed = F.array(F.transform("w", lambda w: F.xxhash64(w)))
+    # A window of no words marks the document; its hash only spreads the marks.
+    mark = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.col("row_key").alias("hash")))
+
+    def scanned(block: int) -> DataFrame:
+        windows = F.flatten(F.transform(hashed, lambda h: F.concat(*[_windows(h, k) for k in size["ks"]]))) if size["ks"] else None
+        parts = [mark] * (block == 0) + [windows] * (windows is not None)
+        known = bench.where(F.pmod("hash", F.lit(blocks)) == block).select("k", "hash").distinct().withColumn("known", F.lit(True))
+        rows = words.select("doc_id", "row_key", "w", F.inline(F.concat(*parts)))
+        met = rows.join(F.broadcast(known), ["k", "hash"], "left").where("n = 0 OR known")
+        return met.select(
+            "doc_id", "row_key", "n", "k", "hash", F.size("w").alias("n_words"),
+            F.when(F.col("n") > 0, F.slice("w", F.greatest("n", F.lit(1)), F.col("k"))).alias("words"),
+        )
+
+    met = scanned(0)
+    for block in range(1, blocks):
+        met = met.unionByName(scanned(block))
+    same = (met["k"] == bench["k"]) & (met["hash"] == bench["hash"]) & (met["words"] == bench["gram"])
+    found = met.join(bench, same, "left").select(
+        "doc_id", "row_key", "n_words", "n", F.when(F.col("gram").isNotNull(), F.struct(F.col("n").alias("at"), met["k"].alias("span"))).alias("hit"), "items"
+    ).where("n = 0 OR hit IS NOT NULL")
     per_row = found.groupBy("doc_id", "row_key").agg(
-        F.max(F.size("w")).alias("n_words"),
+        F.max("n_words").alias("n_words"),
         F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("copies"),
-        F.collect_set(F.when(hit, F.struct(start.alias("at"), F.size("gram").alias("span")))).alias("hits"),
-        F.collect_set(F.when(hit, F.col("items"))).alias("items"),
+        F.collect_set("hit").alias("hits"),
+        F.collect_set("items").alias("items"),
     )
     each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return per_row.select(

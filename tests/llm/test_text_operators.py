@@ -37,8 +37,15 @@ def test_decontamination_equals_plain_windows(spark, docs):
     found = sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect())
     want = [(str(i), *plain.windows_hit(t, ITEMS)) for i, t in TEXTS]
     assert found == sorted((i, n, h, tuple(x)) for i, n, h, x in want)
-    by_shuffle = decontaminate.scan_documents(docs, items, max_broadcast=0)
-    assert sorted(map(str, by_shuffle.collect())) == sorted(map(str, got.drop("n_hit").collect()))
+    in_blocks = decontaminate.scan_documents(docs, items, max_broadcast=2)
+    assert sorted(map(str, in_blocks.collect())) == sorted(map(str, got.drop("n_hit").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by_shuffle = decontaminate.scan_documents(docs, items)
+        plan = by_shuffle._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and sorted(map(str, by_shuffle.collect())) == sorted(map(str, in_blocks.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     clean = decontaminate.remove_documents(docs, items)
     assert clean.columns == docs.columns
     bad = {(i, t) for (i, t), (_, n, h, _) in zip(TEXTS, want) if h and 20 * h >= n}
