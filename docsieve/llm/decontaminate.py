@@ -1,12 +1,13 @@
 """Benchmark decontamination: normalised test n-grams as a broadcast hash set,
 scanned by the windows of the training texts, hits verified word by word.
 
-Each text is cut into words once, and its windows are hashed in the row.  The hashes leave
-the row through one generator and meet the broadcast set of benchmark hashes in the same
-stage; only those found there, with their words, and one marker row a document go on to a
-shuffle, where the words themselves are compared.  A benchmark of more windows than may be
-broadcast is cut into several sets, each probed by a scan of its own, so the texts are
-never shuffled whatever its size.
+Each benchmark window is also filed under its longest word, its anchor, with that word's
+place.  A text is cut into words once; the words leave the row through one generator, and
+only around an anchor a window is hashed and looked up in the broadcast set, all in the
+same stage.  Only windows found there, with their words, and one marker row a document go
+on to a shuffle, where the words themselves are compared.  A benchmark of more windows than
+may be broadcast is cut into several sets, each probed by a scan of its own, so the texts
+are never shuffled whatever its size.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ MAX_BROADCAST = 1_000_000
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(k, hash, gram, items): the distinct windows of (item_id, text), each with its number
-    of words and the hash of their hashes.
+    """(k, hash, anchor, shift, gram, items): the distinct windows of (item_id, text), each
+    with its number of words, the hash of all, the hash of its longest word and that word's
+    place in it, counted from 0.
 
     An item of fewer words than a window is one window; one without words is none.
     Null item ids give windows that belong to no item.
@@ -37,16 +39,13 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     grams = cut.select("item", "w", k.alias("k"), F.explode(starts).alias("at"))
     grams = grams.select("item", F.slice("w", F.col("at"), F.col("k")).alias("gram"))
     found = grams.groupBy("gram").agg(F.collect_set("item").alias("items"))
-    return found.select(F.size("gram").alias("k"), F.xxhash64(F.transform("gram", lambda w: F.xxhash64(w))).alias("hash"), "gram", "items")
-
-
-def _windows(hashes: Column, k: int) -> Column:
-    """(n, k, hash) of every ``k`` successive word hashes, n counted from 1."""
-    last = F.size(hashes) - (k - 1)
-    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        at, lambda i: F.struct(i.alias("n"), F.lit(k).alias("k"), F.xxhash64(F.slice(hashes, i, F.lit(k))).alias("hash"))
+    longest = F.array_max(
+        F.transform("gram", lambda w, i: F.struct(F.length(w).alias("size"), F.xxhash64(w).alias("hash"), i.alias("i")))
     )
+    return found.withColumn("longest", longest).select(
+        F.size("gram").alias("k"), F.xxhash64("gram").alias("hash"), F.col("longest.hash").alias("anchor"),
+        F.col("longest.i").alias("shift"), "gram", "items",
+    )
 
 
 def scan_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -58,24 +57,31 @@ def scan_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_
     benchmark hits nothing.  Other columns of either table are not read.
     """
     bench = materialise(benchmark_windows(items.select("item_id", "text"), window), "benchmark")
-    size = bench.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("k")).alias("ks")).first()
-    blocks = max(1, -(-size["n"] // max(1, max_broadcast)))
-    key = row_key(F.col("text"))
-    words = docs.select("doc_id", key.alias("row_key"), alnum_words("text").alias("w"))
-    # The word hashes are made once: as a one-element list, they are a variable of what follows.
-    hashed = F.array(F.transform("w", lambda w: F.xxhash64(w)))
-    # A window of no words marks the document; its hash only spreads the marks.
-    mark = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.col("row_key").alias("hash")))
+    blocks = max(1, -(-bench.count() // max(1, max_broadcast)))
+    words = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), alnum_words("text").alias("w"))
+    # Row 0 of each document is a marker; the rest are its words.
+    marked = F.concat(F.array(F.lit("")), F.col("w"))
+    rows = words.select("doc_id", "row_key", "w", F.posexplode_outer(marked).alias("n", "word"))
+
+    def window_at(spot: Column) -> Column:
+        at = F.col("n") - spot["shift"]
+        gram = F.slice("w", F.greatest(at, F.lit(1)), spot["k"])
+        return F.struct(at.alias("at"), spot["k"].alias("k"), F.xxhash64(gram).alias("hash"))
 
     def scanned(block: int) -> DataFrame:
-        windows = F.flatten(F.transform(hashed, lambda h: F.concat(*[_windows(h, k) for k in size["ks"]]))) if size["ks"] else None
-        parts = [mark] * (block == 0) + [windows] * (windows is not None)
-        known = bench.where(F.pmod("hash", F.lit(blocks)) == block).select("k", "hash").distinct().withColumn("known", F.lit(True))
-        rows = words.select("doc_id", "row_key", "w", F.inline(F.concat(*parts)))
-        met = rows.join(F.broadcast(known), ["k", "hash"], "left").where("n = 0 OR known")
-        return met.select(
-            "doc_id", "row_key", "n", "k", "hash", F.size("w").alias("n_words"),
-            F.when(F.col("n") > 0, F.slice("w", F.greatest("n", F.lit(1)), F.col("k"))).alias("words"),
+        part = bench.where(F.pmod("hash", F.lit(blocks)) == block)
+        anchors = part.groupBy("anchor").agg(F.collect_set(F.struct("shift", "k")).alias("spots"))  # 13 x 13 at most
+        known = part.select("k", "hash").distinct().withColumn("known", F.lit(True))
+        near = rows.join(F.broadcast(anchors), F.xxhash64("word") == F.col("anchor"), "left")
+        near = near.where("n = 0 OR spots IS NOT NULL" if block == 0 else "n > 0 AND spots IS NOT NULL")
+        # The marker is a window of no words; its hash only spreads the markers.
+        mark = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.col("row_key").alias("hash")))
+        fits = F.filter("spots", lambda s: (F.col("n") > s["shift"]) & (F.col("n") - s["shift"] + s["k"] - 1 <= F.size("w")))
+        windows = F.when(F.col("n") == 0, mark).otherwise(F.transform(fits, window_at))
+        met = near.select("doc_id", "row_key", "w", F.inline(windows)).join(F.broadcast(known), ["k", "hash"], "left")
+        return met.where("at = 0 OR known").select(
+            "doc_id", "row_key", F.col("at").alias("n"), "k", "hash", F.size("w").alias("n_words"),
+            F.when(F.col("at") > 0, F.slice("w", F.greatest("at", F.lit(1)), F.col("k"))).alias("words"),
         )
 
     met = scanned(0)
