@@ -195,6 +195,24 @@ def test_token_counts_equal_greedy_matching(spark):
     assert sorted((str(r.doc_id), r.n_bytes) for r in got.collect()) == sorted((str(i), len((t or "").encode())) for i, t in TEXTS)
 
 
+def test_token_counts_over_the_whole_vocabulary(spark):
+    """The query's counts are greedy longest matches over the vocabulary file, word by word."""
+    import base64
+
+    import public_tokenizers
+    import regex
+
+    with open(bpe.default_ranks(), "rb") as lines:
+        vocabulary = {base64.b64decode(line.split()[0]) for line in lines}
+    sf_dir, words, known = "/root/testdata/sf0.001", regex.compile(public_tokenizers.PATTERN), {}
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in wordpiece.op8_token_counts(spark, sf_dir).collect()}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        found = [m[0] for m in words.finditer(r.text or "")]
+        for w in set(found) - known.keys():
+            known[w] = plain.greedy_tokens(w.encode(), vocabulary)
+        assert got[r.doc_id] == (len(found), sum(known[w] for w in found))
+
+
 def test_statistics_equal_plain_counts(spark, docs):
     rng = random.Random(1)
     texts = [t for _, t in TEXTS] + [" ".join(rng.choices(["a", "B", "c#", "d\n", "\nd", "|"], k=rng.randint(0, 40))) for _ in range(150)]
