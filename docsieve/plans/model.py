@@ -280,9 +280,9 @@ def prefix_predict(
     return _leaves(model, df, keep).select(*keep, said.alias("prediction"))
 
 
-def best_prefix(model: GBTClassificationModel, val: DataFrame, patience: int) -> int:
+def best_prefix(model: GBTClassificationModel, val: DataFrame, patience: int, values: np.ndarray) -> int:
     """The prefix of best validation F1 before ``patience`` trees without improvement."""
-    scores = prefix_scores(model, val)
+    scores = prefix_scores(model, val, values)
     errors = scores.select(F.lit(0).alias("round"), "iteration", (F.lit(1.0) - F.col("f1")).alias("err"))
     return int(best_iteration(errors, patience).first()["best_iteration"])
 
@@ -299,9 +299,16 @@ def fit_stopped(
         with_weight(train, balance_factor(train)), params,
         lambda rows, trees: tree_classifier(replace(params, trees=trees)).fit(rows),
     )
+    values = np.empty((0, 0))
+
+    def judge(model: GBTClassificationModel) -> int:
+        nonlocal values  # of the model judged last, which is the final one
+        values = leaf_values(train.sparkSession, model)
+        return best_prefix(model, val, params.patience, values)
+
     try:
-        best = fit_until(chain, lambda model: best_prefix(model, val, params.patience), params.trees, params.patience)
-        return chain.model, leaf_values(train.sparkSession, chain.model), best
+        best = fit_until(chain, judge, params.trees, params.patience)
+        return chain.model, values, best
     finally:
         chain.close()
 
