@@ -139,7 +139,7 @@ def stump_shares(spark, sf_dir):
     gain = F.when(left > 1e-9, F.col("s") ** 2 / w + (F.lit(whole.s) - F.col("s")) ** 2 / left)
     gains = materialise(each.select("token", gain.alias("gain")))
     top = gains.agg(F.max("gain").alias("best"), F.max(F.when(F.col("token") == chosen, F.col("gain"))).alias("own")).first()
-    values = M.leaf_values(spark, model)
+    values = M.leaf_values(model)
     sides = weighted.groupBy(F.array_contains("tokens", chosen).alias("has")).agg(F.sum(F.col("weight") * F.col("y")).alias("s"), F.sum("weight").alias("w"))
     means = sorted(r["s"] / r["w"] for r in sides.collect())
     leaves = sorted(values[0].tolist())

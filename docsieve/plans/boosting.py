@@ -45,15 +45,15 @@ def as_model(spark: SparkSession, trees: list, weights: list[float]) -> GBTClass
 class Boosting:
     """A chain of trees over weighted training rows (``features``, ``target``, ``weight``).
 
-    ``first`` grows the first trees of a chain in one fit.  The rows and their margin are a
-    written table: a lost executor costs a task, and neither the trees nor the plan behind
-    a margin are ever computed again.
+    ``first`` grows the first trees of a chain in one fit.  A chain that goes on writes its
+    rows and their margin: a lost executor costs a task, and neither the trees nor the plan
+    behind a margin are ever computed again.
     """
 
     def __init__(self, rows: DataFrame, params, first: Callable[[DataFrame, int], GBTClassificationModel]):
         self.spark, self.params, self.first = rows.sparkSession, params, first
-        self.rows = materialise(rows.select("features", "target", "weight", F.lit(0.0).alias("margin")), "margins")
-        self.now = self.rows
+        self.now = rows.select("features", "target", "weight", F.lit(0.0).alias("margin"))
+        self.written: DataFrame | None = None
         self.trees: list = []
         self.kept: list = []  # the wrappers, which would take their trees with them
         self.weights: list[float] = []
@@ -73,15 +73,17 @@ class Boosting:
             self._add()
 
     def _start(self, trees: int) -> None:
-        model = self.first(self.rows, trees)
+        model = self.first(self.now, trees)
         self.trees = list(model._java_obj.trees())
         self.weights = list(model.treeWeights)
         # The raw score of a class is half its margin either way.
         margin = vector_to_array(F.col("raw"))[1]
-        scored = model.setRawPredictionCol("raw").transform(self.rows)
-        self._write(scored.select("features", "target", "weight", margin.alias("margin")))
+        scored = model.copy().setRawPredictionCol("raw").transform(self.now)
+        self.now = scored.select("features", "target", "weight", margin.alias("margin"))
 
     def _add(self) -> None:
+        if self.written is None:
+            self._write(self.now)
         rate = self.params.feature_rate
         y = 2 * F.col("target") - 1
         learner = RandomForestRegressor(
@@ -101,10 +103,9 @@ class Boosting:
             self._write(grown)
 
     def _write(self, rows: DataFrame) -> None:
-        before = self.rows
-        self.rows = self.now = materialise(rows, "margins").persist(StorageLevel.MEMORY_AND_DISK)
-        before.unpersist()
-        discard(before)
+        table = materialise(rows, "margins").persist(StorageLevel.MEMORY_AND_DISK)
+        self.close()
+        self.written = self.now = table
 
     @property
     def model(self) -> GBTClassificationModel:
@@ -114,8 +115,9 @@ class Boosting:
 
     def close(self) -> None:
         """Delete the written rows; the trees stay."""
-        self.rows.unpersist()
-        discard(self.rows)
+        if self.written is not None:
+            self.written.unpersist()
+            discard(self.written)
 
 
 def fit_until(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -19,15 +20,15 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..operators.features import document_frequency, idf
-from ..operators.metrics import best_iteration, binary_metrics, prf
+from ..operators.metrics import binary_metrics, prf
 from ..operators.rows import attach_labels, with_correct
 from ..operators.splits import BASE_SEED
-from ..session import discard, materialise, scratch_path
+from ..session import discard, materialise
 from .boosting import Boosting, fit_until
 from .vocabulary import table_encoder
 
@@ -36,6 +37,7 @@ NEGATIVE = "Not Relevant"
 MAX_DEPTH = 30  # the deepest tree Spark grows
 DRIVER_TERMS = 4_000_000  # terms a count model holds on the driver; more are kept as a table
 BLOCK = 512  # documents whose margins are held at once
+_LEAF = re.compile(r"Predict: (\S+)")  # a leaf in the printed form of a tree
 
 # The stored search grid and the final number of trees.
 GRID_MIN_DF = (2, 4, 8, 16, 32, 64, 128, 256, 512)
@@ -201,24 +203,20 @@ def fit_trees(train: DataFrame, params: TreeParams) -> GBTClassificationModel:
 
 # --- Tree prefixes ----------------------------------------------------------
 
-def leaf_values(spark: SparkSession, model: GBTClassificationModel) -> np.ndarray:
-    """Weighted leaf outputs, one row per tree, in the model's leaf order.
+def leaf_values(model: GBTClassificationModel, known: np.ndarray | None = None) -> np.ndarray:
+    """Weighted leaf outputs, one row per tree, in the model's leaf order, padded with zeros.
 
-    Read from the model's own stored node table: leaves of a tree in node order.
+    Each tree is read once, from its printed form, which lists its leaves in that order;
+    ``known`` are the values of the model's first trees.
     """
-    path = scratch_path(spark, "trees")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-    in_tree = Window.partitionBy("treeID").orderBy("id")
-    leaves = (
-        nodes.where(F.col("leftChild") < 0)
-        .select("treeID", "prediction", (F.row_number().over(in_tree) - 1).alias("leaf"))
-        .toPandas()
-    )
-    weights = np.asarray(model.treeWeights)
-    out = np.zeros((len(weights), int(leaves["leaf"].max()) + 1))
-    out[leaves["treeID"].to_numpy(), leaves["leaf"].to_numpy()] = leaves["prediction"].to_numpy()
-    return out * weights[:, None]
+    done = 0 if known is None else len(known)
+    rows = [] if known is None else list(known)
+    for tree, weight in zip(model.trees[done:], model.treeWeights[done:], strict=True):
+        rows.append(weight * np.array([float(leaf) for leaf in _LEAF.findall(tree.toDebugString)]))
+    out = np.zeros((len(rows), max(map(len, rows))))
+    for i, row in enumerate(rows):
+        out[i, : len(row)] = row
+    return out
 
 
 def _leaves(model: GBTClassificationModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -239,7 +237,7 @@ def prefix_scores(model: GBTClassificationModel, df: DataFrame, values: np.ndarr
     Each task adds up its own batches, so only one row per iteration and task
     is shuffled.
     """
-    table = leaf_values(df.sparkSession, model) if values is None else values
+    table = leaf_values(model) if values is None else values
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((3, table.shape[0]), dtype=np.int64)
@@ -266,7 +264,7 @@ def prefix_predict(
     values: np.ndarray | None = None,
 ) -> DataFrame:
     """``keep`` and the prediction of the first ``trees`` trees."""
-    table = (leaf_values(df.sparkSession, model) if values is None else values)[:trees]
+    table = (leaf_values(model) if values is None else values)[:trees]
 
     @F.pandas_udf(DoubleType())
     def margin(leaves: pd.Series) -> pd.Series:
@@ -281,10 +279,17 @@ def prefix_predict(
 
 
 def best_prefix(model: GBTClassificationModel, val: DataFrame, patience: int, values: np.ndarray) -> int:
-    """The prefix of best validation F1 before ``patience`` trees without improvement."""
-    scores = prefix_scores(model, val, values)
-    errors = scores.select(F.lit(0).alias("round"), "iteration", (F.lit(1.0) - F.col("f1")).alias("err"))
-    return int(best_iteration(errors, patience).first()["best_iteration"])
+    """The prefix of best validation F1 before ``patience`` trees without improvement.
+
+    As ``best_iteration``, over the one row per tree that ``prefix_scores`` leaves.
+    """
+    best, highest = 0, -1.0
+    for iteration, f1 in sorted((r["iteration"], r["f1"]) for r in prefix_scores(model, val, values).collect()):
+        if f1 > highest:
+            best, highest = iteration, f1
+        elif iteration - best >= patience:
+            break
+    return best
 
 
 def fit_stopped(
@@ -299,11 +304,11 @@ def fit_stopped(
         with_weight(train, balance_factor(train)), params,
         lambda rows, trees: tree_classifier(replace(params, trees=trees)).fit(rows),
     )
-    values = np.empty((0, 0))
+    values = None
 
     def judge(model: GBTClassificationModel) -> int:
         nonlocal values  # of the model judged last, which is the final one
-        values = leaf_values(train.sparkSession, model)
+        values = leaf_values(model, values)
         return best_prefix(model, val, params.patience, values)
 
     try:

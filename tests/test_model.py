@@ -40,7 +40,7 @@ def encoded(spark, data):
 
 def test_prefixes_reproduce_the_model(spark, encoded):
     model = M.fit_trees(encoded, PARAMS)
-    values = M.leaf_values(spark, model)
+    values = M.leaf_values(model)
     assert values.shape[0] == 5
     full = M.prefix_predict(model, encoded, 5, keep=["pmid"], values=values)
     own = model.transform(encoded).select("pmid", F.when(F.col("prediction") == 1, M.POSITIVE).otherwise(M.NEGATIVE).alias("own"))
