@@ -1,12 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license notices.
 
-Blocks are overlapping runs of words, notices are sets of words.  A notice is found
-in every block that holds at least ``threshold`` of its distinct words.  The words
-of all notices are ordered by their document frequency in the whole corpus, rarest
-first.  A block that reaches the threshold must hold one of the notice's
-``m - need + 1`` rarest words (prefix filter), have ``need`` words of the notices at
-all (length filter), and enough words left after the first shared one on both sides
-(positional filter); what is left is verified on the sets.
+A block is a run of ``block`` words from any word on, a notice is a set of words.  A
+notice is found in every block that holds at least ``threshold`` of its distinct words.
+Texts are cut into stretches of ``block`` starts, each with all words its blocks reach.
+The words of all notices are ordered by their document frequency in the whole corpus,
+rarest first.  A stretch with a block that reaches the threshold must hold one of the
+notice's ``m - need + 1`` rarest words (prefix filter), have ``need`` words of the notices
+at all (length filter), and enough words left after the first shared one on both sides
+(positional filter); what is left is verified block by block.
 
 Fixed phrases are found beside it, with their places.  All of it is column
 expressions; the join side that is broadcast are the notices, a parameter.
@@ -29,13 +30,19 @@ PHRASES: Mapping[str, str] = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Opening words of the public notices of common licenses, by label.
+#: Public notices of common licenses, by label, as words.
 NOTICES: Mapping[str, tuple[str, ...]] = {
+    "agpl": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
     "apache": (
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     ),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     ),
     "cc-by": (
         "this work is licensed under the creative commons attribution 4 0 international license",
@@ -52,9 +59,15 @@ NOTICES: Mapping[str, tuple[str, ...]] = {
     ),
     "isc": (
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    "lgpl": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
     ),
     "mit": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
         "released under the mit license",
     ),
     "mpl": (
@@ -62,8 +75,8 @@ NOTICES: Mapping[str, tuple[str, ...]] = {
     ),
 }
 THRESHOLD = 0.9
-#: Words of a block and of a step; a notice of up to ``BLOCK - STEP + 1`` words lies whole in a block.
-BLOCK, STEP = 80, 40
+#: Words of a block, not fewer than any notice has.
+BLOCK = 160
 
 
 def notice_sets(notices: Mapping[str, tuple[str, ...]]) -> list[tuple[str, list[str]]]:
@@ -111,64 +124,67 @@ def scan_licenses(
     phrases: Mapping[str, str] = PHRASES,
     threshold: float = THRESHOLD,
     block: int = BLOCK,
-    step: int = STEP,
 ) -> DataFrame:
     """Licenses of each document of (doc_id, text), one row per input row:
     doc_id, n_words, places (of the phrases), found (sorted ``(label, block,
-    containment)`` of the notices; ``block`` is the block's first word, from 0).
+    containment)`` of the notices: of each ``block`` consecutive starts, counted from the
+    text's first word, the block that holds most of the notice, the first of equal ones;
+    ``block`` is its first word, one of the notice's, from 0).
 
     Null and empty texts have nothing; repeated rows give repeated results; without
-    notices only the phrases are looked for.  Other columns are not read.
+    notices only the phrases are looked for.  A text may hold several notices' words, as
+    that of a weak copyleft holds nearly all of the strong one's: each is found.  Other
+    columns are not read.
     """
     longest = max((len(t.split()) for texts in notices.values() for t in texts), default=1)
-    if longest > block - step + 1:
-        raise ValueError(f"a notice of {longest} words does not fit blocks of {block} words, {step} apart")
+    if longest > block:
+        raise ValueError(f"a notice of {longest} words does not fit blocks of {block} words")
     words = docs.select("doc_id", row_key(F.col("text")).alias("row_key"), alnum_words("text").alias("w"))
     sets = notice_sets(notices)
     vocabulary = sorted({w for _, ws in sets for w in ws})
     seen = document_frequency(words, vocabulary) if vocabulary else {}
-    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen[w], w)))}
-    ranked = [(label, sorted(order[w] for w in ws)) for label, ws in sets]
+    by_rank = sorted(vocabulary, key=lambda w: (seen[w], w))
+    order = {w: i for i, w in enumerate(by_rank)}
+    ranked = [(label, sorted(ws, key=order.get)) for label, ws in sets]
     need = [math.ceil(threshold * len(ws) - 1e-9) for _, ws in ranked]
-    prefixes = sorted({r for (_, ws), n in zip(ranked, need) for r in ws[: len(ws) - n + 1]})
-    by_rank = sorted(order, key=order.get)
     index = [
-        (r, i, label, ws, n, len(ws) - at) for i, ((label, ws), n) in enumerate(zip(ranked, need))
-        for at, r in enumerate(ws[: len(ws) - n + 1])
+        (w, i, label, ws, n, len(ws) - at) for i, ((label, ws), n) in enumerate(zip(ranked, need))
+        for at, w in enumerate(ws[: len(ws) - n + 1])
     ]
+    rare = _texts(sorted({row[0] for row in index}))
     spark = docs.sparkSession
-    indexed = spark.createDataFrame(index, "prefix int, notice int, label string, words array<int>, need int, left int")
+    indexed = spark.createDataFrame(index, "prefix string, notice int, label string, words array<string>, need int, left int")
 
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(step))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(block))
+    reach = 2 * block - 1  # words of the blocks that start in one stretch
     cut = F.transform(
-        F.filter(starts, lambda s: F.arrays_overlap(F.slice("w", s + 1, F.lit(block)), _texts([by_rank[r] for r in prefixes]))),
+        F.filter(starts, lambda s: F.arrays_overlap(F.slice("w", s + 1, F.lit(reach)), rare)),
+        # The words of notices in a stretch, in their order: an intersection keeps that of its first side.
         lambda s: F.struct(
-            s.alias("at"),
-            F.array_sort(
-                F.transform(
-                    F.array_intersect(F.slice("w", s + 1, F.lit(block)), _texts(by_rank)),
-                    lambda w: (F.array_position(_texts(by_rank), w) - 1).cast("int"),
-                )
-            ).alias("ranks"),
+            s.alias("at"), F.slice("w", s + 1, F.lit(reach)).alias("w"),
+            F.array_intersect(_texts(by_rank), F.slice("w", s + 1, F.lit(reach))).alias("held"),
         ),
-    )
-    # Texts without any of the rarest words have no block to look at.
-    blocks = F.when(F.arrays_overlap("w", _texts([by_rank[r] for r in prefixes])), cut)
-    blocks = F.filter(blocks, lambda b: F.size(b["ranks"]) >= min(need, default=1))
-    marker = F.array(F.lit(None).cast("struct<at:int,ranks:array<int>>"))
-    blocks = F.concat(marker, F.coalesce(blocks, F.array().cast("array<struct<at:int,ranks:array<int>>>")))
-    base = words.select("doc_id", "row_key", F.size("w").alias("n_words"), places("w", phrases).alias("places"), blocks.alias("b"))
+    )
+    # Texts without any of the rarest words have no stretch to look at.
+    near = F.filter(F.when(F.arrays_overlap("w", rare), cut), lambda b: F.size(b["held"]) >= min(need, default=1))
+    kind = "array<struct<at:int,w:array<string>,held:array<string>>>"
+    marker = F.array(F.lit(None)).cast(kind)
+    near = F.concat(marker, F.coalesce(near, F.array().cast(kind)))
+    base = words.select("doc_id", "row_key", F.size("w").alias("n_words"), places("w", phrases).alias("places"), near.alias("b"))
     rows = base.select("doc_id", "row_key", "n_words", "places", F.posexplode_outer("b").alias("n", "block"))
     probes = rows.select(
-        "doc_id", "row_key", "n_words", F.when(F.col("n") == 0, F.col("places")).alias("places"), "n",
-        F.col("block.at").alias("at"), F.col("block.ranks").alias("ranks"),
-        F.posexplode_outer("block.ranks").alias("i", "rank"),
+        "doc_id", "row_key", "n_words", F.when(F.col("n") == 0, F.col("places")).alias("places"), "n", "block",
+        F.explode_outer(F.array_intersect("block.held", rare)).alias("probe"),
     )
-    close = (F.col("rank") == F.col("prefix")) & (F.least("left", F.size("ranks") - F.col("i")) >= F.col("need"))
+    after = F.size("block.held") - F.array_position("block.held", F.col("probe")) + 1
+    close = (F.col("probe") == F.col("prefix")) & (F.least(F.col("left"), after) >= F.col("need"))
     met = probes.join(F.broadcast(indexed), close, "left").where("n = 0 OR notice IS NOT NULL")
-    shared = F.size(F.array_intersect("ranks", "words"))
-    met = met.withColumn("hit", F.when(shared >= F.col("need"), F.struct(
-        "label", F.col("at").alias("block"), (shared / F.size("words")).alias("containment"))))
+    # A notice is verified once a stretch: at the first word they share.
+    shared = F.array_intersect("words", "block.held")
+    open_ = (F.element_at(shared, 1) == F.col("probe")) & (F.size(shared) >= F.col("need"))
+    best = F.when(open_, _best_block(F.col("block.w"), F.col("words"), block))
+    hit = F.struct("label", (F.col("block.at") + F.col("best.at")).alias("block"), (F.col("best.n") / F.size("words")).alias("containment"))
+    met = met.withColumn("best", best).withColumn("hit", F.when(F.col("best.n") >= F.col("need"), hit))
     per_row = met.groupBy("doc_id", "row_key").agg(
         F.max("n_words").alias("n_words"),
         F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("copies"),
@@ -179,6 +195,21 @@ def scan_licenses(
     return per_row.select("doc_id", "n_words", "places", F.sort_array("found").alias("found"), each.alias("copy")).drop("copy")
 
 
+def _best_block(stretch: Column, words: Column, block: int) -> Column:
+    """(n, at) of the block of a stretch that holds most of ``words``, the first of equal ones.
+
+    A block loses nothing if it starts at the first of these words in it."""
+    marked = F.transform(stretch, lambda w, i: F.struct(i.alias("at"), F.when(F.array_contains(words, w), w).alias("word")))
+    hits = F.filter(marked, lambda h: h["word"].isNotNull())
+
+    def held(start: Column) -> Column:
+        inside = F.filter(hits, lambda h: (h["at"] >= start["at"]) & (h["at"] < start["at"] + block))
+        return F.struct(F.size(F.array_distinct(inside["word"])).alias("n"), (-start["at"]).alias("back"))
+
+    top = F.array_max(F.transform(F.filter(hits, lambda h: h["at"] < block), held))
+    return F.struct(top["n"].alias("n"), (-top["back"]).alias("at"))
+
+
 def _sql_list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -195,10 +226,11 @@ places AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda
   FROM d, phrases WHERE list_contains(w, p[-1])),
 base AS (SELECT doc_id, count(*) AS n, min(start) AS lo, max(start) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(w[s + 1:s + {BLOCK}]) AS b FROM (SELECT doc_id, w, unnest(range(0, len(w), {STEP})) AS s FROM d)),
 notices(label, words, m, need) AS (VALUES {_NOTICES}),
-met AS (SELECT doc_id, label, len(list_intersect(b, words)) / m::DOUBLE AS share, need / m::DOUBLE AS least FROM blocks, notices),
-found AS (SELECT doc_id, label, max(share) AS share FROM met WHERE share >= least - 1e-12 GROUP BY ALL),
+whole AS (SELECT doc_id, w, label, words, m, need FROM (SELECT *, list_distinct(w) AS once FROM d), notices WHERE len(list_intersect(once, words)) >= need),
+starts AS (SELECT doc_id, w, label, words, m, need, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(words, w[i]))) AS s FROM whole),
+met AS (SELECT doc_id, label, need, m, len(list_intersect(list_distinct(w[s:s + {BLOCK} - 1]), words)) AS n FROM starts),
+found AS (SELECT doc_id, label, max(n / m::DOUBLE) AS share FROM met WHERE n >= need GROUP BY ALL),
 best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
 named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM (SELECT doc_id, label FROM found UNION ALL SELECT doc_id, label FROM places) GROUP BY doc_id)

@@ -140,20 +140,32 @@ def test_notice_join_is_exact(spark, threshold):
     rng = random.Random(int(threshold * 10))
     words = [f"w{i}" for i in range(30)]
     notices = {f"n{i}": (" ".join(rng.sample(words, rng.randint(2, 9))),) for i in range(6)}
-    texts = [(i, " ".join(rng.choices(words + ["z"] * 30, k=rng.randint(0, 60)))) for i in range(60)]
-    got = licenses.scan_licenses(table(spark, texts), notices, {}, threshold, block=20, step=10)
-    found = {(r.doc_id, f.label, f.block) for r in got.collect() for f in r.found}
-    want = set()
+    texts = [(i, " ".join(rng.choices(words + ["z"] * 30, k=rng.randint(0, 90)))) for i in range(60)]
+    got = licenses.scan_licenses(table(spark, texts), notices, {}, threshold, block=20)
+    found = {(r.doc_id, f.label, f.block): f.containment for r in got.collect() for f in r.found}
+    want = {}
     for i, t in texts:
         w = t.split()
-        for s in range(0, max(len(w), 1), 10):
+        for at in range(0, len(w), 20):
             for label, (n,) in notices.items():
                 n = set(n.split())
-                if len(n & set(w[s : s + 20])) >= math.ceil(threshold * len(n) - 1e-9):
-                    want.add((i, label, s))
+                held = [(len(n & set(w[s : s + 20])), -s) for s in range(at, min(at + 20, len(w))) if w[s] in n]
+                if held and max(held)[0] >= math.ceil(threshold * len(n) - 1e-9):
+                    want[i, label, -max(held)[1]] = max(held)[0] / len(n)
     assert found == want
 
 
+def test_notices_are_found_at_every_start(spark):
+    opening, _, warranty, _ = licenses.NOTICES["mit"]
+    spread = " x ".join(opening.split())  # a foreign word after each word
+    texts = [(k, "y " * k + spread) for k in range(0, 330, 11)] + [(1000 + k, "y " * k + warranty + " y" * k) for k in (0, 34, 159, 160, 161)]
+    texts += [(2000, licenses.NOTICES["lgpl"][0]), (2001, "y " * 700 + " ".join(warranty.split()[::2]))]
+    by = {r.doc_id: {f.label for f in r.found} for r in licenses.scan_licenses(table(spark, texts)).collect()}
+    assert all("mit" in by[i] for i in by if i < 2000) and "lgpl" in by[2000] and not by[2001]
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(table(spark, texts), block=60)
+
+
 def test_encoding_equals_the_library(spark, docs):
     enc = bpe.encoding(bpe.default_ranks())
     more = [(20, "a" * 300_000), (21, "ab  c" * 40_000), (22, "é1" * 90_000), (23, "it's we'll \n\n  x\t" * 9000), (24, "word " * 40_000)]
