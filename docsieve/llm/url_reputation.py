@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .registry import query, table
 from .text import ascii_lower
 
@@ -27,8 +28,13 @@ RULES: tuple[Rule, ...] = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: Suffixes of two labels under which names are registered; every other suffix is one label.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
+#: Labels below a country's (two letters) under which names are registered there.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+#: Other suffixes of two labels, whose names belong to different people; all else is one label.
+TWO_LABEL_SUFFIXES = (
+    "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "readthedocs.io", "vercel.app",
+    "web.app", "wordpress.com",
+)
 MAX_BAD_RATE, Z = 0.2, 1.645
 
 
@@ -54,9 +60,10 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> tuple[
 
 def registered_domain(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
     """(domain, suffix) of a host; a host of fewer labels is its own domain."""
-    last_two = F.substring_index(host, ".", -2)
-    long = last_two.isin(*two_label)
-    suffix = F.when(long, last_two).otherwise(F.substring_index(host, ".", -1))
+    last, last_two = F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+    national = last.rlike("^[a-z]{2}$") & F.substring_index(last_two, ".", 1).isin(*SECOND_LEVEL)
+    long = last_two.isin(*two_label) | national
+    suffix = F.when(long, last_two).otherwise(last)
     return F.when(long, F.substring_index(host, ".", -3)).otherwise(last_two), suffix
 
 
@@ -130,6 +137,8 @@ def judge_urls(
         urls.select("page_id", "host").join(known, "page_id", "left").groupBy("host")
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     )
+    # Small beside the pages, and read by every sum below.
+    counted = materialise(counted, "host-counts")
     rated = host_reputation(counted, two_label, z).select("host", "rate", "bound")
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bound") > max_bad_rate, "block").otherwise("allow")
@@ -145,6 +154,10 @@ def label_outcomes(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("page_id"), F.when(~both_null, bad.cast("int")).alias("bad"))
 
 
+def _sql_list(values: Sequence[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
 def _moments(level: str) -> str:
     return f"""(SELECT CASE WHEN g < 2 OR spread <= 0 OR span <= 0 THEN 1000.0
       ELSE 1 / least(greatest((between_ - n * p * p - (g - 1) * spread) / (span * spread), 1 / 1001.0::DOUBLE), 0.5) - 1 END
@@ -164,8 +177,8 @@ counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM urls
 labelled AS (SELECT *, string_split(host, '.') AS l FROM counted),
 tailed AS (SELECT *, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one FROM labelled),
 hosts AS (SELECT host, n, bad,
-    CASE WHEN two IN ({", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)}) THEN three ELSE two END AS domain,
-    CASE WHEN two IN ({", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)}) THEN two ELSE one END AS suffix FROM tailed),
+    CASE WHEN long THEN three ELSE two END AS domain, CASE WHEN long THEN two ELSE one END AS suffix
+  FROM (SELECT *, two IN ({_sql_list(TWO_LABEL_SUFFIXES)}) OR regexp_full_match(two, '({"|".join(SECOND_LEVEL)})\\.[a-z][a-z]') AS long FROM tailed)),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 strength AS (SELECT {_moments("suffixes")} AS s, {_moments("domains")} AS d, {_moments("hosts")} AS h,

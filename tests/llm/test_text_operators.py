@@ -271,6 +271,17 @@ def test_urls(spark):
     assert url_reputation.judge_urls(pages.limit(0), none).count() == 0
 
 
+def test_registered_domains(spark):
+    want = {
+        "": ("", ""), "uk": ("uk", "uk"), "co.uk": ("co.uk", "co.uk"), "a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.com.cn": ("y.com.cn", "com.cn"),
+        "www.me.github.io": ("me.github.io", "github.io"), "a.b.org": ("b.org", "org"), "a.com.org": ("com.org", "org"), "1.2.3.44": ("3.44", "44"),
+        "a.shop.de": ("shop.de", "de"), "localhost": ("localhost", "localhost"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    got = hosts.select("host", *url_reputation.registered_domain(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+
+
 def test_bad_hosts_are_blocked(spark):
     pages = spark.createDataFrame(
         [(i, f"http://{'bad' if i % 10 == 0 else f'h{i % 7}'}.example.com/{i}") for i in range(1500)], "page_id long, url string"
