@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from ..functions.arrays import sliced
 from ..functions.text import MASK, tokenize
 from ..session import materialise
 
@@ -82,17 +83,22 @@ def mask_phrases(
         @F.arrow_udf(ArrayType(IntegerType()))
         def spans(lists: pa.Array) -> pa.Array:
             known = index.value
-            return pa.array(
-                [None if x is None else longest_at([t.lower() if t else "" for t in x], known) for x in lists.to_pylist()],
-                pa.list_(pa.int32()),
-            )
+            kind = pa.list_(pa.int32())
+            out = [
+                pa.array([None if x is None else longest_at([t.lower() if t else "" for t in x], known) for x in part.to_pylist()], kind)
+                for (part,) in sliced(lists)
+            ]
+            return pa.concat_arrays(out) if out else pa.array([], kind)
 
         return spans
 
     @F.arrow_udf(ArrayType(StringType()))
     def replace(lists: pa.Array, *spans: pa.Array) -> pa.Array:
-        rows = zip(lists.to_pylist(), *(s.to_pylist() for s in spans))
-        return pa.array([None if x is None else masked(x, s, mask) for x, *s in rows], pa.list_(pa.string()))
+        kind, out = pa.list_(pa.string()), []
+        for part in sliced(lists, *spans):
+            rows = zip(*(column.to_pylist() for column in part), strict=True)
+            out.append(pa.array([None if x is None else masked(x, s, mask) for x, *s in rows], kind))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
 
     names = [tokens] if isinstance(tokens, str) else list(tokens)
     return docs.withColumns({c: replace(F.col(c), *[finder(index)(F.col(c)) for index in indexes]) for c in names})
