@@ -398,10 +398,12 @@ def idf_l1(spark, sf_dir):
     """Vocabulary and IDF from each round's training part, weights of its validation
     part, as the shipped encoder gives them; its sparse vectors are unfolded."""
     docs = materialise(V.split_tokens(spark, sf_dir, 2), "split-tokens")
-    out = []
+    params, out = M.TreeParams(min_df=2, use_idf=True), []
+    found = features.training_frequency(docs, 2, params.min_df).join(features.round_sizes(docs), "round")
+    terms = materialise(found, "holdout-terms", partition_by="round")
     for i in range(2):
         part = docs.withColumn("split", F.get("splits", F.lit(i))["split"])
-        stages = M.fit_encoder(part.where("split = 'train'"), M.TreeParams(min_df=2, use_idf=True))
+        stages = M.term_encoder(terms.where(F.col("round") == i), params) or M.encoder([], [], params)
         encoded = PipelineModel(stages).transform(part.where("split = 'val'"))
         out.append(unfold_terms(encoded, stages[0].vocabulary).withColumn("round", F.lit(i)))
     return out[0].unionByName(out[1]).withColumn("weight", F.round("weight", 6))
@@ -410,7 +412,8 @@ def idf_l1(spark, sf_dir):
 def unfold_terms(encoded, vocabulary):
     """(pmid, token, weight) of the non-zero term weights."""
     items = records(encoded, ["pmid"], vector_entries("term_weights"), "place").where("value <> 0")
-    words = encoded.sparkSession.createDataFrame(list(enumerate(vocabulary)), "place int, token string")
+    # Written, so that its size is known and the entries need not be shuffled for a small one.
+    words = materialise(encoded.sparkSession.createDataFrame(list(enumerate(vocabulary)), "place int, token string"), "words")
     return items.join(words, "place").select("pmid", "token", F.col("value").alias("weight"))
 
 
