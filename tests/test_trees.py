@@ -86,3 +86,13 @@ def test_rate_draws_features(spark):
     one, two = (M.fit_trees(rows, params).featureImportances.toArray() for _ in range(2))
     assert one == pytest.approx(two)
     assert not np.allclose(one, M.fit_trees(rows, replace(params, feature_rate=1.0)).featureImportances.toArray())
+
+
+def test_thresholds_of_many_values():
+    """Every step of equal weight, and the lowest values where most of the weight is zero."""
+    ones = np.ones(1000)
+    got = T.candidate_thresholds(np.arange(1.0, 1001.0), ones, 1000.0, 31)
+    assert len(got) == 31 and np.diff(got).min() >= 31 and np.diff(got).max() <= 32
+    assert T.candidate_thresholds(np.arange(1.0, 1001.0), ones, 100_000.0, 31)[:3].tolist() == [0.5, 1.5, 2.5]
+    assert T.candidate_thresholds(np.array([2.0, -1.0]), ones[:2], 5.0, 31).tolist() == [-0.5, 1.0]
+    assert not len(T.candidate_thresholds(np.array([2.0]), ones[:1], 1.0, 31))
