@@ -96,3 +96,33 @@ def test_thresholds_of_many_values():
     assert T.candidate_thresholds(np.arange(1.0, 1001.0), ones, 100_000.0, 31)[:3].tolist() == [0.5, 1.5, 2.5]
     assert T.candidate_thresholds(np.array([2.0, -1.0]), ones[:2], 5.0, 31).tolist() == [-0.5, 1.0]
     assert not len(T.candidate_thresholds(np.array([2.0]), ones[:1], 1.0, 31))
+
+
+def test_leaves_of_few_rows_are_grown_in_one_pass(spark, monkeypatch):
+    """The same trees however many rows a task may take, and a deep one without a pass a level."""
+    rows = table(spark, *noisy(400, 4))
+    params = M.TreeParams(max_depth=12, trees=2)
+    found, best = [], T.Grower._best
+    for most in (T.LOCAL_ROWS, 60, 0):
+        passes = []
+        monkeypatch.setattr(T, "LOCAL_ROWS", most)
+        monkeypatch.setattr(T.Grower, "_best", lambda *a, passes=passes: passes.append(1) or best(*a))
+        model = M.fit_trees(rows, params)
+        said = {r["pmid"]: r["probability"][1] for r in model.transform(rows).collect()}
+        found.append((len(passes), [t.numNodes for t in model.trees], model.featureImportances.toArray(), said))
+    assert found[0][0] == 2 < found[1][0] <= found[2][0] and found[2][0] > 8
+    for _, nodes, shares, said in found[1:]:
+        assert nodes == found[0][1] and shares == pytest.approx(found[0][2]) and said == pytest.approx(found[0][3])
+
+
+def test_a_vocabulary_reaches_the_jvm_in_one_call(spark, monkeypatch):
+    terms = ["b", "a b", "", "\n", "ü", "z"]
+    one = M.count_model(terms)
+    with monkeypatch.context() as patched:
+        patched.setattr(M.CountVectorizerModel, "_new_java_array", None)
+        two = M.count_model(["x", "y", ""])
+    rows = spark.createDataFrame([(["z", "", "b", "b", "none"],)], "tokens array<string>")
+    assert one.vocabulary == terms and two.vocabulary == ["x", "y", ""]
+    got = one.setInputCol("tokens").setOutputCol("n").transform(rows).first()["n"]
+    assert got == Vectors.sparse(6, {0: 2.0, 2: 1.0, 5: 1.0})
+    assert M.count_model(["\0\1\2\n", "a"]).vocabulary == ["\0\1\2\n", "a"]
