@@ -352,9 +352,7 @@ _LISTS = f"""cleaned AS ({' UNION ALL '.join(map(_sql_cleaned, T.TEXT_FIELDS))})
 )
 def run_matrix(spark, sf_dir):
     lists = P.field_tokens(full_corpus(spark, sf_dir), P.run_fields(RUNS), V.STOP_WORDS, V.LEXICON)
-    return P.run_matrix(lists, RUNS).select(
-        "run", "pmid", F.size("tokens").alias("n_tokens"), F.md5(T.join_tokens("tokens")).alias("bow_md5")
-    )
+    return P.run_matrix(lists, RUNS, made={"n_tokens": F.size, "bow_md5": lambda tokens: F.md5(T.join_tokens(tokens))})
 
 
 @query(

@@ -9,6 +9,7 @@ import __spark_entry__ as contract
 from docsieve.catalog import views as V
 from docsieve.operators import features, rows, splits
 from docsieve.plans import preprocess as P
+from docsieve.catalog import model_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -83,3 +84,26 @@ def test_rounds_do_not_multiply_the_shuffle(spark):
     out = splits.assign_splits(lab, splits.holdout_cuts(lab, 200))
     top = plan(out).split("BroadcastExchange")[0]
     assert "BroadcastHashJoin" in top and "Exchange hashpartitioning" not in top
+
+
+def test_runs_share_grams_and_what_is_made_of_tokens(spark):
+    """Longer n-grams go on from shorter, lists too short for them as by a run of its own; made columns replace the bags."""
+    rows = [(i, [f"w{k % 3}" for k in range(i)], [f"v{k}" for k in range(5 - i)]) for i in range(6)] + [(9, None, ["a"])]
+    lists = spark.createDataFrame(rows, "pmid long, title array<string>, abstract array<string>")
+    runs = {"one": (("title",), 1), "two": (("title", "abstract"), 2), "three": (("abstract", "title"), 3)}
+    for keep_empty in (False, True):
+        want = {(r["pmid"], n): r["tokens"] for n, (f, k) in runs.items() for r in P.combine_fields(lists, f, k, keep_empty).collect()}
+        found = {(r["pmid"], r["run"]): r["tokens"] for r in P.run_matrix(lists, runs, keep_empty).collect()}
+        made = {"n": F.size, "text": lambda t: F.array_join(t, "|")}
+        short = P.run_matrix(lists, runs, keep_empty, made=made)
+        assert found == want and short.columns == ["run", "pmid", "n", "text"]
+        assert {(r["pmid"], r["run"]): r["text"] for r in short.collect()} == {k: None if t is None else "|".join(t) for k, t in want.items()}
+
+
+def test_the_test_set_is_cut_into_tokens_with_the_training_set(spark, monkeypatch):
+    folds, scores = [], spark.createDataFrame([(1, "x", True, "x")], "pmid int, correct_label string, result boolean, prediction string")
+    monkeypatch.setattr(model_queries, "_fold", lambda *a: folds.append(1) or ("train", "labels", "test", "test labels"))
+    monkeypatch.setattr(model_queries.M, "fit_final", lambda *a: "model")
+    monkeypatch.setattr(model_queries.M, "evaluate", lambda *a: (scores, a))
+    assert model_queries.test_eval(spark, "") == ("model", "test", "test labels") and folds == [1]
+    assert model_queries.test_results(spark, "").columns == ["pmid", "correct_label", "consistent"] and folds == [1, 1]
