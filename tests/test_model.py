@@ -234,3 +234,12 @@ def test_final_model_save_load_stream(spark, data):
 def test_early_stop_uses_first_of_equal_scores(spark):
     df = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5), (0, 3, 0.4), (0, 4, 0.4)], "round int, iteration int, err double")
     assert best_iteration(df, 10).first()["best_iteration"] == 3
+
+
+def test_encoded_rows_do_not_carry_every_feature_name(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "c"])], "pmid int, tokens array<string>")
+    params = M.TreeParams(min_df=1)
+    stages = M.fit_encoder(rows, params)
+    got = M.encode(stages, rows)
+    assert not got.schema["features"].metadata
+    assert got.select("features").collect() == M.assemble(rows, params).select("features").collect()
