@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from docsieve.functions import stemming
 from docsieve.functions import text as T
 from docsieve.functions.stemming import stem, stem_tokens
 from docsieve.functions.token_rules import replace_tokens
@@ -226,3 +227,14 @@ def test_phrases_are_masked_whole(spark, block):
     assert [got[i][0] for i in range(6)] == want == [got[i][1] for i in range(6)]
     none = mask_phrases(df, lexicon.limit(0)).select("i", "tokens").collect()
     assert {r.i: r.tokens for r in none} == dict(enumerate(lists))
+
+
+def test_words_that_no_step_looks_at_skip_the_steps():
+    """A word without an end that some step looks for is its own stem, and is not worked through."""
+    plain = ["bezulich", "Heoka", "elleierb", "a1b2", "échê", "storan", "x", ""]
+    before = stemming._stem.cache_info().misses
+    assert [stemming.stem(w) for w in plain] == [w.lower() for w in plain]
+    assert stemming._stem.cache_info().misses == before
+    ends = ["", "s", "ies", "ied", "eed", "ing", "y", "ally", "logy", "fulness", "ization", "ement", "ll", "e", "ion", "us"]
+    for word in [root + end for root in ("hop", "relat", "tr", "sk", "agr", "ha") for end in ends] + list(stemming.IRREGULAR):
+        assert stemming.stem(word) == stemming._stem.__wrapped__(word)
