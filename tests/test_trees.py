@@ -126,3 +126,41 @@ def test_a_vocabulary_reaches_the_jvm_in_one_call(spark, monkeypatch):
     got = one.setInputCol("tokens").setOutputCol("n").transform(rows).first()["n"]
     assert got == Vectors.sparse(6, {0: 2.0, 2: 1.0, 5: 1.0})
     assert M.count_model(["\0\1\2\n", "a"]).vocabulary == ["\0\1\2\n", "a"]
+
+
+def test_sums_do_not_grow_with_the_files(spark):
+    """Each task sends sums of its own: their number hangs on the cores, and no task gets two groups of features."""
+    rows = table(spark, *noisy(400, 5))
+    params = M.TreeParams(max_depth=3, trees=2)
+    want = M.fit_trees(rows, params).featureImportances.toArray()
+    weighted = M.with_weight(rows, M.balance_factor(rows)).withColumn("margin", F.lit(0.0))
+    layout = T.layout_of(weighted, "pmid", 5)
+    many = materialise(T.binned(weighted, layout).repartition(60))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+    try:
+        assert many.rdd.getNumPartitions() == 60
+        grower = T.Grower(many, layout)
+        assert grower.rows.rdd.getNumPartitions() <= T.PASSES_PER_CORE * spark.sparkContext.defaultParallelism
+        got = M.fit_trees(rows.repartition(60), params).featureImportances.toArray()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == pytest.approx(want)
+    grower.close()
+
+
+def test_many_groups_of_features(spark, monkeypatch):
+    rows = table(spark, *noisy(300, 6))
+    params = M.TreeParams(max_depth=3, trees=2)
+    want = M.fit_trees(rows, params).featureImportances.toArray()
+    asked, by_id = [], type(rows).repartitionById
+    monkeypatch.setattr(type(rows), "repartitionById", lambda df, n, c: asked.append(n) or by_id(df, n, c))
+    monkeypatch.setattr(T, "BLOCK_CELLS", 8)
+    assert M.fit_trees(rows, params).featureImportances.toArray() == pytest.approx(want)
+    assert max(asked) > 8
+
+
+def test_cells_of_several_tasks_meet():
+    keys = np.array([1, 4, 9, 0, 4, 9, 9])
+    got = T._merged(keys, np.arange(7.0), np.ones(7))
+    assert [x.tolist() for x in got] == [[0, 1, 4, 9], [3, 0, 5, 13], [1, 1, 2, 3]]
+    assert [len(x) for x in T._merged(keys[:0], np.zeros(0))] == [0, 0]
