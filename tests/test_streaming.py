@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docsieve.catalog import model_queries as Q
 from docsieve.plans import model as M
 from docsieve.session import materialise, scratch_path
 from docsieve.streaming import completion as C
@@ -81,3 +82,17 @@ def test_a_batch_written_twice_counts_once(spark, parts):
     mark = jvm.org.apache.hadoop.fs.Path(f"{sink}/upto=7/_SUCCESS")
     mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(mark, False)
     assert scores(C.newest_scores(spark, sink)) == got
+
+
+def test_texts_meet_their_vectors_before_they_are_cut(spark, tmp_path):
+    """The same tokens and pairs as by a join of token lists, without moving the lists."""
+    docs = [(1, "Some words\nand 3 more", "en", "a"), (2, "others", "en", "b"), (2, "others", "en", "b"), (3, None, None, "c"), (None, "no key", "en", "d")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = spark.createDataFrame([(2, [1.0]), (3, None), (7, [2.0]), (None, [3.0])], "pmid bigint, embedding array<double>")
+    whole = Q.with_vectors(spark, str(tmp_path), vectors)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.rindex("ArrowEval") < plan.index("Join")  # from the top: the tokens, below them the join
+    texts = Q.bags(spark, str(tmp_path))
+    assert sorted(map(str, whole.select("pmid", "tokens").collect())) == sorted(map(str, texts.collect()))
+    both = texts.join(vectors, "pmid").select("pmid", "tokens", "embedding")
+    assert sorted(map(str, whole.where("there").select("pmid", "tokens", "embedding").collect())) == sorted(map(str, both.collect()))
