@@ -243,3 +243,13 @@ def test_encoded_rows_do_not_carry_every_feature_name(spark):
     got = M.encode(stages, rows)
     assert not got.schema["features"].metadata
     assert got.select("features").collect() == M.assemble(rows, params).select("features").collect()
+
+
+def test_fits_of_a_grid_share_their_bins(data, monkeypatch):
+    docs, labels = data
+    made, bins = [], Boosting.bins
+    monkeypatch.setattr(Boosting, "bins", lambda self: made.append(len(self)) or bins(self))
+    grid = {"min_df": [2], "max_depth": [2, 1], "feature_rate": [0.5, 1.0]}
+    found = X.grid_search(docs.drop("embedding"), labels, grid, 2, replace(PARAMS, trees=2), 2)
+    assert len(made) == 2 + 1  # one a fold, not one a fit, and the final fit's
+    assert found.scores.where("mean_f1 BETWEEN 0 AND 1").count() == 4

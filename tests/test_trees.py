@@ -164,3 +164,24 @@ def test_cells_of_several_tasks_meet():
     got = T._merged(keys, np.arange(7.0), np.ones(7))
     assert [x.tolist() for x in got] == [[0, 1, 4, 9], [3, 0, 5, 13], [1, 1, 2, 3]]
     assert [len(x) for x in T._merged(keys[:0], np.zeros(0))] == [0, 0]
+
+
+@pytest.mark.parametrize("depth,rate", [(3, 1.0), (30, 1.0), (5, 0.5)])
+def test_one_task_grows_the_chain_that_many_passes_grow(spark, monkeypatch, depth, rate):
+    rows = table(spark, *noisy(300, 4))
+    params = M.TreeParams(max_depth=depth, trees=5, feature_rate=rate)
+    found, grow, passes = [], T.Grower._best, []
+    monkeypatch.setattr(T.Grower, "_best", lambda self, *args: passes.append(1) or grow(self, *args))
+    for most in (T.LOCAL_ENTRIES, 0):
+        monkeypatch.setattr(T, "LOCAL_ENTRIES", most)
+        chain = M.open_chain(rows, params)
+        for upto in (3, 20, 23) if depth == 3 else (5,):  # margins are written on the way
+            chain.grow(upto)
+        found.append((len(chain), chain.model, len(passes)))
+        chain.close()
+    (n, one, none), (same, many, some) = found
+    assert n == same and none == 0 < some  # no pass over the table for a tree
+    assert [t.numNodes for t in one.trees] == [t.numNodes for t in many.trees]
+    assert one.featureImportances.toArray() == pytest.approx(many.featureImportances.toArray(), abs=1e-9)
+    said = [{r["pmid"]: r["probability"][1] for r in m.transform(rows).collect()} for m in (one, many)]
+    assert said[0] == pytest.approx(said[1], abs=1e-9)
