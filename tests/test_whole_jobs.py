@@ -34,3 +34,15 @@ def test_final_fit_grows_all_trees(spark, monkeypatch):
     monkeypatch.setattr(Q.M, "fit_final", lambda *a: seen.append(a[-1]) or SimpleNamespace(stages=["one"]))
     assert [r["kind"] for r in Q.final_fit(spark, "").collect()] == ["str"]
     assert (seen[0].trees, seen[0].max_depth, seen[0].min_df) == (148, 4, 2)
+
+
+def test_test_results_are_stored_beside_the_metrics(spark, monkeypatch, tmp_path):
+    seen = []
+    results = spark.createDataFrame([(1, "Relevant", "Relevant", True), (2, "Relevant", "Not Relevant", False)], "pmid int, correct_label string, prediction string, result boolean")
+    monkeypatch.setattr(Q, "_fold", lambda *a: ("train", "labels", "test", "test labels"))
+    monkeypatch.setattr(Q.M, "fit_final", lambda *a: seen.append(a[-1]) or "model")
+    monkeypatch.setattr(Q.M, "evaluate", lambda *a: (results.orderBy("result"), "metrics"))
+    monkeypatch.setattr(Q, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    assert Q.test_eval(spark, "") == "metrics" and seen[0].trees == 148
+    stored = spark.read.option("header", True).csv(f"{tmp_path}/final-pipeline/test_results_per_instance")
+    assert sorted((r["pmid"], r["result"]) for r in stored.collect()) == [("1", "true"), ("2", "false")]
