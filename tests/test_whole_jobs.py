@@ -46,3 +46,12 @@ def test_test_results_are_stored_beside_the_metrics(spark, monkeypatch, tmp_path
     assert Q.test_eval(spark, "") == "metrics" and seen[0].trees == 148
     stored = spark.read.option("header", True).csv(f"{tmp_path}/final-pipeline/test_results_per_instance")
     assert sorted((r["pmid"], r["result"]) for r in stored.collect()) == [("1", "true"), ("2", "false")]
+
+
+def test_prefixes_of_all_trees(spark, monkeypatch):
+    table = spark.createDataFrame([(1, "train", 1.0)], "pmid int, split string, target double")
+    given = []
+    monkeypatch.setattr(Q, "_encoded", lambda *a: given.append(a[-1]) or table)
+    asked(monkeypatch, Q.M, "fit_trees")
+    (_, params), _ = settings(Q.prefix_f1, spark)
+    assert given == [params] and (params.trees, params.max_depth, params.min_df) == (2000, 4, 2)
