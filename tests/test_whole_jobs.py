@@ -55,3 +55,15 @@ def test_prefixes_of_all_trees(spark, monkeypatch):
     asked(monkeypatch, Q.M, "fit_trees")
     (_, params), _ = settings(Q.prefix_f1, spark)
     assert given == [params] and (params.trees, params.max_depth, params.min_df) == (2000, 4, 2)
+
+
+def test_holdout_metrics_of_all_rounds(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(1, ["a"])], "pmid int, tokens array<string>")
+    spark.createDataFrame([(1, [0.5])], "vec_id int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(Q, "labelled_bags", lambda *a: (docs, docs.select("pmid", F.lit("Relevant").alias("label"))))
+    monkeypatch.setattr(Q, "materialise", lambda df, *a: df)
+    asked(monkeypatch, Q.X, "repeated_holdout")
+    _, named = settings(lambda spark, _: Q.holdout_metrics(spark, str(tmp_path)), spark)
+    params = named["params"]
+    assert named["rounds"] == 200 and (params.trees, params.patience, params.max_depth, params.min_df) == (2000, 200, 4, 2)
+    assert params.use_embedding and params.use_idf
