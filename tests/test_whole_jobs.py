@@ -67,3 +67,10 @@ def test_holdout_metrics_of_all_rounds(spark, monkeypatch, tmp_path):
     params = named["params"]
     assert named["rounds"] == 200 and (params.trees, params.patience, params.max_depth, params.min_df) == (2000, 200, 4, 2)
     assert params.use_embedding and params.use_idf
+
+
+def test_grid_search_over_the_whole_grid(spark, monkeypatch):
+    monkeypatch.setattr(Q, "labelled_bags", lambda *a: ("docs", "labels"))
+    asked(monkeypatch, Q.X, "grid_search")
+    (_, _, grid), named = settings(Q.grid, spark)
+    assert grid == Q.X.DEFAULT_GRID and named["folds"] == 5 and named["params"].trees == 148
