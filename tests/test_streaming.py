@@ -1,5 +1,8 @@
 """Documents and vectors that arrive apart."""
 
+import glob
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +99,21 @@ def test_texts_meet_their_vectors_before_they_are_cut(spark, tmp_path):
     assert sorted(map(str, whole.select("pmid", "tokens").collect())) == sorted(map(str, texts.collect()))
     both = texts.join(vectors, "pmid").select("pmid", "tokens", "embedding")
     assert sorted(map(str, whole.where("there").select("pmid", "tokens", "embedding").collect())) == sorted(map(str, both.collect()))
+
+
+def test_batches_do_not_grow_with_the_documents(spark, tmp_path, monkeypatch):
+    """Some 8 batches an arrival, where 200 documents a file and three files a batch made one for every 600."""
+    n, asked = 400 * max(3, spark.sparkContext.defaultParallelism) * Q.BATCHES, []
+    docs = spark.range(n, numPartitions=1).select(F.col("id").alias("pmid"), F.lit("t").alias("title"))
+    paths = iter([f"{tmp_path}/{name}" for name in ("arrivals", "scores", "stream")])
+    monkeypatch.setattr(Q, "final_model", lambda *a: None)
+    monkeypatch.setattr(Q, "new_documents", lambda *a: docs)
+    monkeypatch.setattr(Q, "scratch_path", lambda *a: next(paths))
+    stream = lambda *a, max_files: asked.append((len(glob.glob(f"{a[2]}/*.parquet")), max_files)) or SimpleNamespace(awaitTermination=lambda: None)
+    monkeypatch.setattr(Q, "score_stream", stream)
+    monkeypatch.setattr(Q.M, "score", lambda *a: docs.select("pmid", F.lit(0.5).alias("probability")))
+    monkeypatch.setattr(Q.P, "preprocess", lambda *a: docs)
+    monkeypatch.setattr(Q, "latest_scores", lambda *a: docs.select("pmid", F.lit(0.5).alias("probability")))
+    assert Q.incremental_score(spark, "").where("equals_batch").count() == n
+    assert len(asked) == 2 and all(0 < files <= arrival * Q.BATCHES * most for arrival, (files, most) in enumerate(asked, start=1))
+    assert spark.read.parquet(f"{tmp_path}/arrivals").count() == 2 * n
