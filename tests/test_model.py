@@ -3,8 +3,11 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from docsieve.catalog import model_queries
 from docsieve.operators.metrics import best_iteration
 from docsieve.plans import experiment as X
 from docsieve.plans import model as M
@@ -253,3 +256,14 @@ def test_fits_of_a_grid_share_their_bins(data, monkeypatch):
     found = X.grid_search(docs.drop("embedding"), labels, grid, 2, replace(PARAMS, trees=2), 2)
     assert len(made) == 2 + 1  # one a fold, not one a fit, and the final fit's
     assert found.scores.where("mean_f1 BETWEEN 0 AND 1").count() == 4
+
+
+def test_the_two_fits_of_an_early_stop_share_their_bins(spark, monkeypatch):
+    rows = [(i, "train" if i % 3 else "val", float(i % 4 == 0), Vectors.dense([float(i % 4 == 0), i % 5 / 5])) for i in range(90)]
+    schema = StructType([StructField("pmid", IntegerType()), StructField("split", StringType()), StructField("target", DoubleType()), StructField("features", VectorUDT())])
+    table = materialise(spark.createDataFrame(rows, schema))
+    made, bins = [], Boosting.bins
+    monkeypatch.setattr(model_queries, "_encoded", lambda *a: table)
+    monkeypatch.setattr(Boosting, "bins", lambda self: made.append(len(self)) or bins(self))
+    row = model_queries.early_stop(spark, "").first()
+    assert len(made) == 1 and row["few_trees"] and row["same_as_full_fit"] and row["stopped_inside"]
